@@ -164,7 +164,7 @@ def iqr_outliers(
             F.count(v).alias(f"n{i}"),
             count_if((v < q[0] - reach) | (v > q[1] + reach)).alias(f"out{i}"),
         ]
-    one = work.agg(*aggs).withColumn("_q", quartiles)
+    one = work.agg(F.first("_q").alias("_q"), *aggs)
     rows = []
     for i, c in enumerate(columns):
         q = F.col("_q")[f"c{i}"]

@@ -563,15 +563,13 @@ def date_range_filter(spark, d):
 
 @register(
     "contains_search",
-    """SELECT doc_id, source FROM documents WHERE contains(text, '100%') OR contains(source, 'src_1') OR contains(text, '_the_')
-    OR contains(source, '100%') OR contains(text, 'src_1') OR contains(source, '_the_')""",
+    """SELECT page_id, url FROM pages WHERE contains(html, '%%%') OR contains(url, '%%%') OR contains(html, 'utm_source=')
+    OR contains(url, 'utm_source=')""",
 )
 def contains_search(spark, d):
-    df = Tables(spark, d).documents
-    hit = F.lit(False)
-    for word in ("100%", "src_1", "_the_"):
-        hit = hit | contains_any(["text", "source"], word)
-    return df.where(hit).select("doc_id", "source")
+    df = Tables(spark, d).pages
+    hit = contains_any(["html", "url"], "%%%") | contains_any(["html", "url"], "utm_source=")
+    return df.where(hit).select("page_id", "url")
 
 
 @register(

@@ -1,6 +1,11 @@
 """All registered queries."""
 
-from plumbline.plans import bound_mapping, bound_quality  # noqa: F401
+from plumbline.plans import (  # noqa: F401
+    bound_compare,
+    bound_mapping,
+    bound_profile,
+    bound_quality,
+)
 from plumbline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
