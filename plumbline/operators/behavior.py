@@ -24,6 +24,7 @@ from plumbline.functions.fixed import (
     SEGMENT_WIN_BACK,
 )
 from plumbline.operators.ordered import quantile_struct
+from plumbline.sources.tables import constant_rows
 
 HORIZONS = [1, 7, 30]
 
@@ -488,7 +489,7 @@ def action_triggers(kpis: DataFrame) -> DataFrame:
 def benchmark_comparison(kpis: DataFrame, industry: str, benchmarks=BENCHMARKS) -> DataFrame:
     """KPI rows (metric, value in percent) against the industry range."""
     rows = [b for b in benchmarks if b[1] == industry]
-    ranges = kpis.sparkSession.createDataFrame(rows, "metric string, industry string, low double, high double")
+    ranges = constant_rows(kpis.sparkSession, rows, "metric string, industry string, low double, high double")
     v = F.col("value")
     position = F.when(v < F.col("low"), "below").when(v > F.col("high"), "above").otherwise("in_range")
     return kpis.join(F.broadcast(ranges), "metric").withColumn("position", F.when(v.isNotNull(), position))

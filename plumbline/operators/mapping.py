@@ -18,6 +18,7 @@ from plumbline.functions.columns import (
 )
 from plumbline.operators.ordered import histogram_quantiles, take_per_group
 from plumbline.operators.rules import FINDING_COLUMNS
+from plumbline.sources.tables import constant_rows
 
 Pair = tuple[str, str, str]  # name, source column, target column
 
@@ -245,7 +246,7 @@ def grain_inference(df: DataFrame, field: str, candidates: list[list[str]]) -> D
         hist, ["_gid"], "values", "keys", {"p50_distinct_per_key": 0.5, "p90_distinct_per_key": 0.9}
     )
     labels = [(gid, name, i + 1) for i, (name, gid) in enumerate(ids.items())]
-    named = df.sparkSession.createDataFrame(labels, "_gid long, grain string, position int")
+    named = constant_rows(df.sparkSession, labels, "_gid long, grain string, position int")
     out = totals.join(quantiles, "_gid").join(F.broadcast(named), "_gid").drop("_gid")
     first = Window.partitionBy(F.lit(1))
     ok = F.when(F.col("max_distinct_per_key") == 1, F.col("position"))
@@ -308,7 +309,7 @@ def field_availability(
         rows.append((spec["name"], status, table, column))
     spark = next(iter(frames.values())).sparkSession
     schema = "field_name string, status string, source_table string, source_column string"
-    base = spark.createDataFrame(rows, schema)
+    base = constant_rows(spark, rows, schema)
     for table, column in dict.fromkeys((r[2], r[3]) for r in rows if r[1] in ("exact", "fallback", "approx_only")):
         lists = grain_candidates(frames[table].columns, (grains or {}).get(table, []))
         if not lists:

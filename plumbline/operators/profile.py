@@ -13,6 +13,7 @@ from plumbline.functions.columns import (
 )
 from plumbline.functions.fixed import NONE_LABEL
 from plumbline.operators.ordered import long_values, shares, wide_to_rows
+from plumbline.sources.tables import constant_rows
 
 UNBOUND = "未命中"
 
@@ -293,4 +294,4 @@ def field_dictionary(
         "table_name string, physical_column string, logical_field string, column_type string, "
         "column_comment string, field_role string, assessment_note string"
     )
-    return df.sparkSession.createDataFrame(rows, schema)
+    return constant_rows(df.sparkSession, rows, schema)

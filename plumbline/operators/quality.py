@@ -30,6 +30,7 @@ from plumbline.operators.ordered import (
     take_per_group,
     wide_to_rows,
 )
+from plumbline.sources.tables import constant_rows
 
 CONTROL_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 WIDE_SPACE = r"\s{3,}"
@@ -373,7 +374,7 @@ def contract_check(df: DataFrame, expected: list[str]) -> DataFrame:
         for c in expected
     ]
     schema = "column_name string, exists boolean, severity string, status string"
-    return df.sparkSession.createDataFrame(rows, schema)
+    return constant_rows(df.sparkSession, rows, schema)
 
 
 def column_category(name: str, dtype) -> str:

@@ -2,6 +2,7 @@
 
 from plumbline.plans import (  # noqa: F401
     bound_compare,
+    bound_labels,
     bound_mapping,
     bound_profile,
     bound_quality,

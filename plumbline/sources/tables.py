@@ -5,11 +5,21 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from plumbline.functions.columns import blank_to_null, non_blank, time_prefix, to_number
 
 
+def constant_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few fixed rows as a frame, built from literals inside the plan."""
+    kind = StructType.fromDDL(schema)
+    structs = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, kind.fields)]) for row in rows
+    ]
+    cells = F.array(*structs) if structs else F.array().cast(ArrayType(kind))
+    return spark.range(0, 1, 1, 1).select(F.inline(cells))
+
+
 def scan(
     spark: SparkSession,
     source: str,
@@ -34,7 +44,7 @@ def describe(df: DataFrame) -> DataFrame:
         for i, f in enumerate(df.schema.fields)
     ]
     schema = "position int, column_name string, data_type string, nullable boolean, comment string"
-    return df.sparkSession.createDataFrame(rows, schema)
+    return constant_rows(df.sparkSession, rows, schema)
 
 
 def resolve_table(spark: SparkSession, candidates: list[str]) -> tuple[str | None, str]:
