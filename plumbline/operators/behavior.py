@@ -413,10 +413,14 @@ def anomaly_insights(rate: DataFrame, confidence: float) -> DataFrame:
     return rate.where(c > 0.05).select(*_insight("anomaly", "churn_rate", severity, c, confidence))
 
 
-@F.pandas_udf("double")
-def two_sided_p(z: pd.Series) -> pd.Series:
-    """Two-sided normal p-value; used only on one row per feature."""
-    return z.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2.0)))
+def two_sided_p(z: Column | str) -> Column:
+    """Two-sided normal p-value of a z score; meant for one row per feature."""
+
+    @F.pandas_udf("double")
+    def p_value(scores: pd.Series) -> pd.Series:
+        return scores.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2.0)))
+
+    return p_value(z)
 
 
 def feature_lift(events: DataFrame, user_flags: DataFrame, flag: str = "retained") -> DataFrame:

@@ -127,14 +127,16 @@ def downstream_paths(edges: DataFrame, bases: DataFrame, max_hops: int = 100) ->
     Breadth first: a table is expanded once per base, along its shortest path
     (the smallest one in name order when several are equally short), so edges
     back to known tables appear once and cycles end. Each round is one join
-    with the edges; its results are checkpointed, so plans stay short and a lost
+    with the edges; its results are written out, so plans stay short and a lost
     executor costs no more than the current round.
     """
-    links = edges.select("source_table", "target_table").distinct()
-    frontier = bases.select(
-        F.col("table_name").alias("base_table"),
-        F.col("table_name").alias("node"),
-        F.array("table_name").alias("path"),
+    links = cut(edges.select("source_table", "target_table").distinct())
+    frontier = cut(
+        bases.select(
+            F.col("table_name").alias("base_table"),
+            F.col("table_name").alias("node"),
+            F.array("table_name").alias("path"),
+        )
     )
     visited = frontier.select("base_table", "node")
     out = None
@@ -149,8 +151,8 @@ def downstream_paths(edges: DataFrame, bases: DataFrame, max_hops: int = 100) ->
             break
         out = step if out is None else out.unionByName(step)
         new = step.join(visited, ["base_table", "node"], "left_anti")
-        frontier = new.groupBy("base_table", "node").agg(F.min("path").alias("path"))
-        visited = cut(visited.unionByName(frontier.select("base_table", "node")))
+        frontier = cut(new.groupBy("base_table", "node").agg(F.min("path").alias("path")))
+        visited = visited.unionByName(frontier.select("base_table", "node"))
     else:
         raise RuntimeError(f"paths longer than {max_hops} hops")
     if out is None:
@@ -177,15 +179,17 @@ def base_columns(column_edges: DataFrame, statements: DataFrame, bases: DataFram
     steps = column_edges.where(non_blank("source_table") & non_blank("source_column")).join(
         queried, "statement_id", "left_semi"
     )
-    steps = steps.select(
-        F.concat_ws(".", "target_table", normalize_column("target_column")).alias("at"),
-        F.col("statement_id").alias("_by"),
-        F.col("source_table").alias("_table"),
-        F.concat_ws(".", "source_table", normalize_column("source_column")).alias("_next"),
-        normalize_column("source_column").alias("_column"),
+    steps = cut(
+        steps.select(
+            F.concat_ws(".", "target_table", normalize_column("target_column")).alias("at"),
+            F.col("statement_id").alias("_by"),
+            F.col("source_table").alias("_table"),
+            F.concat_ws(".", "source_table", normalize_column("source_column")).alias("_next"),
+            normalize_column("source_column").alias("_column"),
+        )
     )
     fields = ["statement_id", "target_table", "target_column", "target_kind", "expression_sql"]
-    is_base = bases.select(F.col("table_name").alias("table"), F.lit(True).alias("_base"))
+    is_base = cut(bases.select(F.col("table_name").alias("table"), F.lit(True).alias("_base")))
     frontier = column_edges.where(ok).select(
         *fields,
         F.col("source_table").alias("table"),

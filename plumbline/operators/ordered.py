@@ -3,21 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint a frame in the folder the cluster names for it."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="plumbline-")
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the one the cluster names for checkpoints."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="plumbline-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    The plan starts anew from the files, so it stays short over many rounds,
+    its rows are fixed, and a lost executor never means starting from the top.
+    """
+    path = f"{shared_folder(df.sparkSession)}/plumbline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ordered_running(
@@ -31,7 +42,7 @@ def ordered_running(
 
     Rows are range-partitioned by the order. Each range runs on its own and adds
     the totals of the ranges before it; only one row per range is ever brought
-    together. The ranged frame is checkpointed because the range of a row must
+    together. The ranged frame is written out because the range of a row must
     not change between its two uses.
     """
     sums = sums or {}
