@@ -96,13 +96,21 @@ def url_decode(c: Column | str) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
 
 
+def without_separators(c: Column | str) -> Column:
+    return F.regexp_replace(F.coalesce(col(c), F.lit("")), r"[\\/]+", "")
+
+
+def last_part(c: Column | str) -> Column:
+    return F.element_at(F.split(F.coalesce(col(c), F.lit("")), r"[\\/]"), -1)
+
+
 def compact_signature(c: Column | str) -> Column:
     """Decoded text without any separators, equal for all spellings of one path."""
-    return F.regexp_replace(F.coalesce(url_decode(c), F.lit("")), r"[\\/]+", "")
+    return without_separators(url_decode(c))
 
 
 def decoded_file_name(c: Column | str) -> Column:
-    return F.element_at(F.split(F.coalesce(url_decode(c), F.lit("")), r"[\\/]"), -1)
+    return last_part(url_decode(c))
 
 
 def has_percent_encoding(c: Column | str) -> Column:

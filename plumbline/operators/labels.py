@@ -20,17 +20,17 @@ from plumbline.functions.fixed import (
 )
 from plumbline.functions.paths import (
     canonical_label,
-    compact_signature,
-    decoded_file_name,
     family_bucket,
     first_pattern,
     has_percent_encoding,
     has_separator,
+    last_part,
     normalize_path,
     segments,
     slashes,
     strip,
     url_decode,
+    without_separators,
 )
 from plumbline.operators.ordered import take_per_group
 
@@ -414,21 +414,23 @@ def layer_hits(found: dict[str, DataFrame]) -> DataFrame:
 
 def value_forms(df: DataFrame, layer: str, fields: list[str], reference: str) -> DataFrame:
     """Each value of a layer against a reference text: exact, decoded, compact, file name."""
-    spark_ref = F.lit(reference)
-    long = df.select(*[F.col(f).cast("string").alias(f) for f in fields]).unpivot([], fields, "compare_field", "raw_value")
-    v = F.col("raw_value")
-    return long.where(F.coalesce(v, F.lit("")) != "").select(
+    texts = df.select(*[F.col(f).cast("string").alias(f) for f in fields])
+    long = texts.unpivot([], fields, "compare_field", "raw_value")
+    v, decoded, wanted = F.col("raw_value"), F.col("decoded_value"), url_decode(F.lit(reference))
+    long = long.where(F.coalesce(v, F.lit("")) != "").withColumn("decoded_value", url_decode(v))
+    long = long.withColumn("compact_signature", without_separators(decoded))
+    return long.select(
         F.lit(layer).alias("layer"),
         "compare_field",
         "raw_value",
-        url_decode(v).alias("decoded_value"),
-        compact_signature(v).alias("compact_signature"),
+        "decoded_value",
+        "compact_signature",
         has_separator(v).alias("has_separator"),
         has_percent_encoding(v).alias("has_percent_encoding"),
-        (v == spark_ref).alias("exact_match"),
-        (url_decode(v) == url_decode(spark_ref)).alias("decoded_match"),
-        (compact_signature(v) == compact_signature(spark_ref)).alias("compact_match"),
-        (decoded_file_name(v) == decoded_file_name(spark_ref)).alias("same_file_name"),
+        (v == reference).alias("exact_match"),
+        (decoded == wanted).alias("decoded_match"),
+        (F.col("compact_signature") == without_separators(wanted)).alias("compact_match"),
+        (last_part(decoded) == last_part(wanted)).alias("same_file_name"),
     )
 
 

@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 from plumbline.functions.fixed import ADD, FAMILY_DEFAULT, MERGE, RULE_ALIAS, RULE_TARGET, RULE_UNCOVERED
 from plumbline.functions.paths import (
     canonical_label,
-    compact_signature,
-    decoded_file_name,
     family_bucket,
     has_percent_encoding,
     has_separator,
+    last_part,
     platform_cascade,
     url_decode,
+    without_separators,
 )
 from plumbline.operators import labels
 from plumbline.plans.registry import Tables, big, derive, derive_sql, filled, pct, register
@@ -464,9 +464,9 @@ def decode_sql(c: str) -> str:
 )
 def url_signature(spark, d):
     long = derive(Tables(spark, d).pages, FORMS).unpivot("page_id", ["plain", "encoded", "flat"], "form", "v")
-    return long.select(
-        "page_id", "form", url_decode("v").alias("decoded"), compact_signature("v").alias("signature"),
-        decoded_file_name("v").alias("file_name"), has_percent_encoding("v").alias("encoded"), has_separator("v").alias("separated"),
+    return long.withColumn("decoded", url_decode("v")).select(
+        "page_id", "form", "decoded", without_separators("decoded").alias("signature"), last_part("decoded").alias("file_name"),
+        has_percent_encoding("v").alias("encoded"), has_separator("v").alias("separated"),
     )
 
 
