@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 from plumbline.functions.columns import (
     DAY_BUCKETS,
@@ -16,18 +17,20 @@ from plumbline.functions.columns import (
     ratio,
     text,
 )
-from plumbline.operators.ordered import histogram_quantiles, take_per_group
+from plumbline.operators.ordered import by_type, histogram_quantiles, take_per_group
 from plumbline.operators.rules import FINDING_COLUMNS
 from plumbline.sources.tables import constant_rows
 
 Pair = tuple[str, str, str]  # name, source column, target column
 
 
-def pair_rows(df: DataFrame, pairs: list[Pair]) -> DataFrame:
+def pair_rows(df: DataFrame, pairs: list[Pair], as_text: bool = True) -> DataFrame:
     """(pair, source, target) rows of all pairs from one scan, both sides known."""
     cells = {}
     for i, (_, source, target) in enumerate(pairs):
-        s, t = F.col(source).cast("string"), F.col(target).cast("string")
+        s, t = F.col(source), F.col(target)
+        if as_text:
+            s, t = s.cast("string"), t.cast("string")
         cells[f"_{i}"] = F.when(s.isNotNull() & t.isNotNull(), F.struct(s.alias("s"), t.alias("t")))
     long = df.select(*[c.alias(k) for k, c in cells.items()]).unpivot([], list(cells), "_k", "_cell")
     names = F.create_map(*[F.lit(x) for i, p in enumerate(pairs) for x in (f"_{i}", p[0])])
@@ -39,24 +42,40 @@ def pair_rows(df: DataFrame, pairs: list[Pair]) -> DataFrame:
 
 
 def source_stats(df: DataFrame, pairs: list[Pair]) -> DataFrame:
-    """Rows and distinct targets per (pair, source).
+    """Rows and distinct targets per (pair, source), keys as text.
 
     Rows are first merged per (pair, source, target), so one source that holds
     most rows is spread over all tasks by its targets.
     """
-    links = pair_rows(df, pairs).groupBy("pair_name", "source_value", "target_value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return _count_targets(pair_rows(df, pairs))
+
+
+def _count_targets(rows: DataFrame) -> DataFrame:
+    links = rows.groupBy("pair_name", "source_value", "target_value").agg(F.count(F.lit(1)).alias("n"))
     return links.groupBy("pair_name", "source_value").agg(
         F.sum("n").alias("row_count"), F.count(F.lit(1)).alias("target_distinct_cnt")
     )
 
 
 def _target_histogram(df: DataFrame, pairs: list[Pair]) -> DataFrame:
-    """Sources and rows per (pair, number of targets): few rows however large the data."""
-    return source_stats(df, pairs).groupBy("pair_name", "target_distinct_cnt").agg(
-        F.count(F.lit(1)).alias("sources"), F.sum("row_count").alias("rows")
-    )
+    """Sources and rows per (pair, number of targets): few rows however large the data.
+
+    Pairs of equal key types run together with native keys.
+    """
+    columns = {c: F.col(c) for _, s, t in pairs for c in (s, t)}
+    native = {k: (i, c) for i, group in enumerate(by_type(df, columns)) for k, c in group.items()}
+    kinds: dict[tuple[int, int], list[Pair]] = {}
+    for pair in pairs:
+        kinds.setdefault((native[pair[1]][0], native[pair[2]][0]), []).append(pair)
+    out = None
+    for group in kinds.values():
+        casts = {c: native[c][1] for _, s, t in group for c in (s, t)}
+        rows = pair_rows(df.select(*[v.alias(c) for c, v in casts.items()]), group, as_text=False)
+        hist = _count_targets(rows).groupBy("pair_name", "target_distinct_cnt").agg(
+            F.count(F.lit(1)).alias("sources"), F.sum("row_count").alias("rows")
+        )
+        out = hist if out is None else out.unionByName(hist)
+    return out
 
 
 def mapping_summary(df: DataFrame, pairs: list[Pair]) -> DataFrame:
@@ -225,8 +244,11 @@ def grain_inference(df: DataFrame, field: str, candidates: list[list[str]]) -> D
     usable = grain_candidates(df.columns, candidates)
     names = list(dict.fromkeys(k for keys in usable for k in keys))
     alias = {k: f"_k{i}" for i, k in enumerate(names)}
+    def plain(c: str) -> Column:
+        return text(c) if isinstance(df.schema[c].dataType, StringType) else F.col(c)
+
     base = df.where(F.col(field).isNotNull()).select(
-        *[text(k).alias(alias[k]) for k in names], text(field).alias("_value")
+        *[plain(k).alias(alias[k]) for k in names], plain(field).alias("_value")
     )
     ids = {}
     for keys in usable:

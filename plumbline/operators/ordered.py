@@ -6,6 +6,18 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import (
+    BooleanType,
+    DataType,
+    DateType,
+    DecimalType,
+    DoubleType,
+    FloatType,
+    IntegralType,
+    StringType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -130,6 +142,65 @@ def long_values(df: DataFrame, columns: dict[str, Column], keep: list[str] | Non
     return long.select(*keep, names[F.col("_field")].alias("field"), "value")
 
 
+def _key_type(dtype: DataType) -> str:
+    """Type under which values of a column can share a column with others."""
+    if isinstance(dtype, IntegralType):
+        return "bigint"
+    if isinstance(dtype, (FloatType, DoubleType)):
+        return "double"
+    if isinstance(dtype, (StringType, DateType, TimestampType, TimestampNTZType, BooleanType, DecimalType)):
+        return dtype.simpleString()
+    return "string"
+
+
+def by_type(df: DataFrame, columns: dict[str, Column]) -> list[dict[str, Column]]:
+    """Columns grouped by type, cast to the common type of their group.
+
+    Values keep their native form, which is shorter to shuffle than text.
+    """
+    schema = df.select(*[c.alias(k) for k, c in columns.items()]).schema
+    groups: dict[str, dict[str, Column]] = {}
+    for k, c in columns.items():
+        kind = _key_type(schema[k].dataType)
+        groups.setdefault(kind, {})[k] = c.cast(kind)
+    return list(groups.values())
+
+
+def distinct_profile(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """(field, total_rows, null_rows, distinct_values), exact, for many columns.
+
+    Equal values are merged in every task before the shuffle, and a column that
+    holds one value in most rows is no hot spot. Each type group reads only its
+    own columns.
+    """
+    out = None
+    for group in by_type(df, columns):
+        per_value = long_values(df, group).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+        stats = per_value.groupBy("field").agg(
+            F.sum("n").alias("total_rows"),
+            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_rows"),
+            F.count("value").alias("distinct_values"),
+        )
+        out = stats if out is None else out.unionByName(stats)
+    return out
+
+
+def grouped_distinct(df: DataFrame, keys: dict[str, Column], distinct: dict[str, Column]) -> DataFrame:
+    """Rows and several exact distinct counts per group, through one shuffle of merged values."""
+    groups = by_type(df, distinct)
+    if len(groups) > 1:
+        groups = [{k: c.cast("string") for k, c in distinct.items()}]
+    base = df.select(*[c.alias(k) for k, c in keys.items()], *[c.alias(f"_v_{k}") for k, c in groups[0].items()])
+    long = long_values(base, {k: F.col(f"_v_{k}") for k in distinct}, keep=list(keys))
+    per_value = long.groupBy(*keys, "field", "value").agg(F.count(F.lit(1)).alias("n"))
+    first = next(iter(distinct))
+    is_field = {k: F.col("field") == k for k in distinct}
+    return per_value.groupBy(*keys).agg(
+        F.sum(F.when(is_field[first], F.col("n"))).alias("row_count"),
+        *[F.count(F.when(is_field[k], F.col("value"))).alias(k) for k in distinct],
+    )
+
+
 def wide_to_rows(one_row: DataFrame, rows: list[list[Column]], names: list[str]) -> DataFrame:
     """Turn a one-row aggregate into one row per entry of ``rows``."""
     structs = [F.struct(*[c.alias(n) for c, n in zip(row, names)]) for row in rows]

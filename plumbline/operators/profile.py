@@ -12,7 +12,7 @@ from plumbline.functions.columns import (
     ratio,
 )
 from plumbline.functions.fixed import NONE_LABEL
-from plumbline.operators.ordered import long_values, shares, wide_to_rows
+from plumbline.operators.ordered import distinct_profile, grouped_distinct, shares, wide_to_rows
 from plumbline.sources.tables import constant_rows
 
 UNBOUND = "未命中"
@@ -28,22 +28,15 @@ def field_profile(
     """
     physical = fields if isinstance(fields, dict) else {f: f for f in fields}
     names = list(physical)
-    ratio_of = ratio(F.col("null_rows"), F.col("total_rows"))
     bound = F.create_map(*[F.lit(x) for f in names for x in (f, physical[f] or UNBOUND)])
     if exact:
-        values = long_values(df, {f: F.col(f"`{f}`").cast("string") for f in names})
-        per_value = values.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
-        stats = per_value.groupBy("field").agg(
-            F.sum("n").alias("total_rows"),
-            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_rows"),
-            F.count("value").alias("distinct_values"),
-        )
+        stats = distinct_profile(df, {f: F.col(f"`{f}`") for f in names})
         return stats.select(
             F.col("field").alias("logical_field"),
             bound[F.col("field")].alias("physical_column"),
             "total_rows",
             "null_rows",
-            ratio_of.alias("null_ratio"),
+            ratio(F.col("null_rows"), F.col("total_rows")).alias("null_ratio"),
             "distinct_values",
         )
     one = df.agg(
@@ -85,16 +78,24 @@ def distribution_with_measures(
     paid: Column,
     amount: str,
     n: int = 30,
-    exact: bool = False,
     label: str = NONE_LABEL,
 ) -> DataFrame:
-    """Distribution with entity count, distinct paid entities and amount per value."""
-    entities = F.count_distinct(F.col(entity)) if exact else F.approx_count_distinct(F.col(entity))
-    counts = df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit(label)).alias("field_value")).agg(
-        F.count(F.lit(1)).alias("row_count"),
-        entities.alias("entity_cnt"),
-        F.count_distinct(F.when(paid, F.col(entity))).alias("paid_cnt"),
-        F.round(F.sum(F.coalesce(F.col(amount), F.lit(0.0))), 2).alias("amount_sum"),
+    """Distribution with entities, paid entities and amount per value, all exact.
+
+    Rows are merged per (value, entity) first, so both distinct counts come
+    from one shuffle and a frequent value is spread over many tasks.
+    """
+    value = F.coalesce(F.col(column).cast("string"), F.lit(label)).alias("field_value")
+    per_entity = df.groupBy(value, F.col(entity).alias("_entity")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bool_or(F.coalesce(paid, F.lit(False))).alias("paid"),
+        F.sum(F.coalesce(F.col(amount), F.lit(0.0))).alias("amount"),
+    )
+    counts = per_entity.groupBy("field_value").agg(
+        F.sum("n").alias("row_count"),
+        F.count("_entity").alias("entity_cnt"),
+        F.count(F.when(F.col("paid"), F.col("_entity"))).alias("paid_cnt"),
+        F.round(F.sum("amount"), 2).alias("amount_sum"),
     )
     total = df.agg(F.count(F.lit(1))).scalar()
     top = counts.orderBy(F.desc("row_count"), F.asc("field_value")).limit(n)
@@ -166,14 +167,23 @@ def overview(
     exact: bool = True,
 ) -> DataFrame:
     """Totals, distinct counts, conditional distinct counts, sums and time ranges."""
-    count = F.count_distinct if exact else F.approx_count_distinct
     aggs = [F.count(F.lit(1)).alias("total_rows")]
-    aggs += [count(F.col(c)).alias(f"distinct_{c}") for c in distinct]
-    aggs += [count(F.when(p, F.col(c))).alias(name) for name, (c, p) in (distinct_if or {}).items()]
+    wanted = {f"distinct_{c}": F.col(c) for c in distinct}
+    wanted |= {name: F.when(p, F.col(c)) for name, (c, p) in (distinct_if or {}).items()}
+    if not exact:
+        aggs += [F.approx_count_distinct(c).alias(name) for name, c in wanted.items()]
     aggs += [F.round(F.sum(F.coalesce(F.col(c), F.lit(0.0))), 2).alias(f"{c}_sum") for c in sums or []]
     for c in times or []:
         aggs += [F.min(c).cast("string").alias(f"min_{c}"), F.max(c).cast("string").alias(f"max_{c}")]
-    return df.agg(*aggs)
+    one = df.agg(*aggs)
+    if not exact or not wanted:
+        return one
+    picks = [
+        F.coalesce(F.max(F.when(F.col("field") == name, F.col("distinct_values"))), F.lit(0)).alias(name)
+        for name in wanted
+    ]
+    counts = distinct_profile(df, wanted).agg(F.struct(*picks).alias("d")).scalar()
+    return one.withColumn("_d", counts).select(*one.columns, "_d.*")
 
 
 def entity_preview(
@@ -186,10 +196,7 @@ def entity_preview(
 ) -> DataFrame:
     """Rows and distinct counts per key, first n by the order."""
     base = df.where(where) if where is not None else df
-    out = base.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(
-        F.count(F.lit(1)).alias("row_count"),
-        *[F.count_distinct(F.col(c)).alias(name) for name, c in distinct.items()],
-    )
+    out = grouped_distinct(base, keys, {name: F.col(c) for name, c in distinct.items()})
     return out.orderBy(*order).limit(n)
 
 
@@ -208,10 +215,8 @@ def two_key_distribution(
 
 def text_distribution(df: DataFrame, column: str, distinct: dict[str, str], n: int = 20) -> DataFrame:
     """Values of a free-text field with rows and distinct counts of other fields."""
-    out = df.where(F.col(column).isNotNull()).groupBy(column).agg(
-        F.count(F.lit(1)).alias("row_count"),
-        *[F.count_distinct(F.col(c)).alias(name) for name, c in distinct.items()],
-    )
+    rows = df.where(F.col(column).isNotNull())
+    out = grouped_distinct(rows, {column: F.col(column)}, {name: F.col(c) for name, c in distinct.items()})
     return out.orderBy(F.desc("row_count"), F.asc(column)).limit(n)
 
 

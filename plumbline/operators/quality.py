@@ -25,6 +25,7 @@ from plumbline.functions.columns import (
 from plumbline.functions.fixed import VIDEO_SUFFIX_CHECK
 from plumbline.functions.paths import has_suffix
 from plumbline.operators.ordered import (
+    distinct_profile,
     long_values,
     quantile_struct,
     take_per_group,
@@ -93,20 +94,14 @@ def key_duplication(df: DataFrame, keys: list[str]) -> DataFrame:
     ``expansion_rows`` is the other metric in use, rows minus distinct keys,
     which also counts rows without a key.
     """
-    values = long_values(df, {k: F.col(k).cast("string") for k in keys})
-    per_key = values.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
-    has_value = F.col("value").isNotNull()
-    stats = per_key.groupBy("field").agg(
-        F.count("value").alias("distinct_keys"),
-        F.coalesce(F.sum(F.when(has_value, F.col("n"))), F.lit(0)).alias("total_keys"),
-        F.sum("n").alias("total_rows"),
-    )
+    stats = distinct_profile(df, {k: F.col(k) for k in keys})
+    known = F.col("total_rows") - F.col("null_rows")
     return stats.select(
         F.col("field").alias("key_name"),
-        "distinct_keys",
-        "total_keys",
-        percent(F.col("total_keys") - F.col("distinct_keys"), F.col("total_keys")).alias("dup_rate_pct"),
-        (F.col("total_rows") - F.col("distinct_keys")).alias("expansion_rows"),
+        F.col("distinct_values").alias("distinct_keys"),
+        known.alias("total_keys"),
+        percent(known - F.col("distinct_values"), known).alias("dup_rate_pct"),
+        (F.col("total_rows") - F.col("distinct_values")).alias("expansion_rows"),
     )
 
 

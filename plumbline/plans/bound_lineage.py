@@ -8,6 +8,7 @@ feed the orders they take part in.
 from pyspark.sql import functions as F
 
 from plumbline.operators import lineage
+from plumbline.operators.ordered import cut
 from plumbline.plans.registry import Tables, register
 
 STATEMENTS_SQL = """
@@ -66,7 +67,7 @@ def table_edges(spark, d):
 
 def parts(spark, d):
     st = statements(Tables(spark, d))
-    edges, made = lineage.table_edges(st), lineage.produced_tables(st)
+    edges, made = cut(lineage.table_edges(st)), lineage.produced_tables(st)  # edges are read many times
     return st, edges, made, lineage.base_tables(edges, made)
 
 

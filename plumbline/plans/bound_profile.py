@@ -95,7 +95,7 @@ def full_distribution(spark, d):
 )
 def distribution_measures(spark, d):
     return profile.distribution_with_measures(
-        detail(Tables(spark, d)), "spu", "child_order_id", F.col("pay_time").isNotNull(), "amount", 30, exact=True
+        detail(Tables(spark, d)), "spu", "child_order_id", F.col("pay_time").isNotNull(), "amount", 30
     )
 
 
