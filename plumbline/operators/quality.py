@@ -222,6 +222,8 @@ def time_sanity(
 def time_text_range(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Earliest, latest and distinct values of text columns that look like times."""
     columns = columns or [c for c in string_columns(df) if any(w in c.lower() for w in TIME_WORDS)]
+    if not columns:
+        raise ValueError("no text column looks like a time")
     values = long_values(df, {c: F.col(f"`{c}`").cast("string") for c in columns})
     distinct = values.where(non_blank("value")).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
     return distinct.groupBy(F.col("field").alias("column_name")).agg(
