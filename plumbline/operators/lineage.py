@@ -139,6 +139,7 @@ def downstream_paths(edges: DataFrame, bases: DataFrame, max_hops: int = 100) ->
         )
     )
     visited = frontier.select("base_table", "node")
+    sources = links.select("source_table").distinct()  # tables without outgoing edges need no further round
     out = None
     for _ in range(max_hops):
         step = frontier.join(links, F.col("node") == F.col("source_table")).select(
@@ -147,16 +148,16 @@ def downstream_paths(edges: DataFrame, bases: DataFrame, max_hops: int = 100) ->
             F.concat("path", F.array("target_table")).alias("path"),
         )
         step = cut(step)
-        if step.isEmpty():
-            break
         out = step if out is None else out.unionByName(step)
-        new = step.join(visited, ["base_table", "node"], "left_anti")
+        new = step.join(visited, ["base_table", "node"], "left_anti").join(
+            sources, F.col("node") == F.col("source_table"), "left_semi"
+        )
         frontier = cut(new.groupBy("base_table", "node").agg(F.min("path").alias("path")))
+        if frontier.isEmpty():
+            break
         visited = visited.unionByName(frontier.select("base_table", "node"))
     else:
         raise RuntimeError(f"paths longer than {max_hops} hops")
-    if out is None:
-        out = frontier.where(F.lit(False))
     return out.select(
         "base_table",
         F.col("node").alias("downstream_table"),

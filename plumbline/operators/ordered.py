@@ -289,9 +289,9 @@ def exact_quantiles(
     for k, p in enumerate(probs):
         pos = (F.col("n") - 1) * F.lit(float(p))
         lo, hi = F.col(f"lo{k}"), F.col(f"hi{k}")
-        rows.append(
-            F.struct(F.lit(float(p)).alias("prob"), (lo + (hi - lo) * (pos - F.floor(pos))).alias("value"))
-        )
+        between = (F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi
+        value = F.when(lo == hi, lo).otherwise(between)
+        rows.append(F.struct(F.lit(float(p)).alias("prob"), value.alias("value")))
     return found.select("field", "n", F.inline(F.array(*rows)))
 
 
