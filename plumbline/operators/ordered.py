@@ -224,14 +224,16 @@ def histogram_quantiles(
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], accuracy: int = 50_000
+    df: DataFrame, columns: list[str], probs: list[float], accuracy: int = 50_000, spread: bool = False
 ) -> DataFrame:
     """Exact interpolated quantiles of many numeric columns: (field, n, prob, value).
 
     A bounded sketch first brackets every quantile. A second pass keeps single
     values only inside the brackets and merges everything between them into one
-    counter each, so what is sorted is a small part of the data. A rank outside
-    its bracket raises an error instead of giving a wrong value.
+    counter each, so what is sorted is a small part of the data (about
+    4 / accuracy of the rows per quantile). A rank outside its bracket raises
+    an error instead of giving a wrong value. ``spread`` sorts even that part in
+    many tasks, for tables of very many rows.
     """
     eps = 2.0 / accuracy
     bounds = {p: (max(0.0, p - eps), min(1.0, p + eps)) for p in probs}
@@ -265,11 +267,16 @@ def exact_quantiles(
         .groupBy("field", "anchor", "outside")
         .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     )
-    w = Window.partitionBy("field")
-    running = w.orderBy(F.asc_nulls_first("anchor"), "outside").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumns(
-        {"_cum": F.sum("n").over(running), "_all": F.sum("n").over(w)}
-    ).withColumn("_prev", F.col("_cum") - F.col("n"))
+    order = [F.asc_nulls_first("anchor"), F.asc("outside")]
+    if spread:
+        placed = ordered_running(counted, [F.asc("field"), *order], {"_cum": "n"})
+        fields = placed.groupBy("field").agg(F.min(F.col("_cum") - F.col("n")).alias("_start"), F.sum("n").alias("_all"))
+        ranked = placed.join(F.broadcast(fields), "field").withColumn("_cum", F.col("_cum") - F.col("_start"))
+    else:
+        w = Window.partitionBy("field")
+        running = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counted.withColumns({"_cum": F.sum("n").over(running), "_all": F.sum("n").over(w)})
+    ranked = ranked.withColumn("_prev", F.col("_cum") - F.col("n"))
 
     def at(rank: Column) -> Column:
         found = (
@@ -296,11 +303,16 @@ def exact_quantiles(
 
 
 def quantile_struct(
-    df: DataFrame, columns: list[str], probs: list[float], exact: bool = True, accuracy: int = 50_000
+    df: DataFrame,
+    columns: list[str],
+    probs: list[float],
+    exact: bool = True,
+    accuracy: int = 50_000,
+    spread: bool = False,
 ) -> Column:
     """Scalar struct ``column -> array of quantiles``, for use inside expressions."""
     if exact:
-        long = exact_quantiles(df, columns, probs, accuracy)
+        long = exact_quantiles(df, columns, probs, accuracy, spread)
         picks = [
             F.array(
                 *[

@@ -142,14 +142,20 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 
 def iqr_outliers(
-    df: DataFrame, columns: list[str] | None = None, factor: float = 1.5, exact: bool = True
+    df: DataFrame,
+    columns: list[str] | None = None,
+    factor: float = 1.5,
+    exact: bool = True,
+    spread: bool = False,
 ) -> DataFrame:
     """Quartiles, fences and the rows outside them, for all columns together.
 
-    Reads the table for the quartiles and once more for the counts.
+    Reads the table for the quartiles and once more for the counts. Quartiles and
+    fences are shown with six decimals, rows are counted against the full values.
+    ``spread`` is that of ``exact_quantiles``.
     """
     columns = columns or numeric_columns(df)
-    quartiles = quantile_struct(df, columns, [0.25, 0.75], exact)
+    quartiles = quantile_struct(df, columns, [0.25, 0.75], exact, spread=spread)
     work = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
     work = work.withColumn("_q", quartiles)
     aggs = []
@@ -166,7 +172,8 @@ def iqr_outliers(
         q = F.col("_q")[f"c{i}"]
         reach = (q[1] - q[0]) * factor
         n, out = F.col(f"n{i}"), F.col(f"out{i}")
-        rows.append([F.lit(c), q[0], q[1], q[0] - reach, q[1] + reach, n, out, percent(out, n, 4)])
+        shown = [F.round(v, 6) for v in (q[0], q[1], q[0] - reach, q[1] + reach)]
+        rows.append([F.lit(c), *shown, n, out, percent(out, n, 4)])
     names = [
         "column_name", "q1", "q3", "lower_fence", "upper_fence", "value_count", "outlier_count", "outlier_pct",
     ]

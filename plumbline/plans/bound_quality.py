@@ -134,8 +134,8 @@ def iqr_sql(table: str, columns: list[str]) -> str:
     for c in columns:
         out = "count(*) FILTER (WHERE v < q1 - r OR v > q3 + r)"
         parts.append(
-            f"""SELECT '{c}' AS column_name, any_value(q1) AS q1, any_value(q3) AS q3, any_value(q1 - r) AS lower_fence,
-            any_value(q3 + r) AS upper_fence, count(*) AS value_count, {out} AS outlier_count, {pct(out, 'count(*)', 4)} AS outlier_pct
+            f"""SELECT '{c}' AS column_name, round(any_value(q1), 6) AS q1, round(any_value(q3), 6) AS q3, round(any_value(q1 - r), 6) AS lower_fence,
+            round(any_value(q3 + r), 6) AS upper_fence, count(*) AS value_count, {out} AS outlier_count, {pct(out, 'count(*)', 4)} AS outlier_pct
             FROM (SELECT CAST({c} AS DOUBLE) AS v FROM {table} WHERE {c} IS NOT NULL),
                  (SELECT q1, q3, (q3 - q1) * 1.5 AS r FROM (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1,
                     quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM {table}))"""
@@ -148,6 +148,11 @@ def iqr_outliers(spark, d):
     return quality.iqr_outliers(Tables(spark, d).lineitem, NUMBERS[:2] + ["l_tax"])
 
 
+@register("iqr_outliers_spread", iqr_sql("orders", ["o_totalprice"]))
+def iqr_outliers_spread(spark, d):
+    return quality.iqr_outliers(Tables(spark, d).orders, ["o_totalprice"], spread=True)
+
+
 @register("iqr_outliers_customer", iqr_sql("customer", ["c_acctbal", "c_nationkey"]))
 def iqr_outliers_customer(spark, d):
     return quality.iqr_outliers(Tables(spark, d).customer, ["c_acctbal", "c_nationkey"])

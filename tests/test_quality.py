@@ -222,15 +222,15 @@ def test_pages_agree(spark):
     assert ordered.page(df, order, 40, 25).collect() == ordered.page(df, order, 40, 25, deep=True).orderBy(*order).collect()
 
 
-@pytest.mark.parametrize("accuracy", [10, 1000])
-def test_exact_quantiles(spark, accuracy):
+@pytest.mark.parametrize("accuracy, spread", [(10, False), (1000, False), (10, True)])
+def test_exact_quantiles(spark, accuracy, spread):
     df = spark.range(2000).select(
         (F.col("id") * 7919 % 2003 / 7.0).alias("a"), (F.col("id") % 3).alias("b"), F.when(F.col("id") < 0, 1.0).alias("c")
     )
     probs = [0.0, 0.2, 0.25, 0.5, 0.75, 0.9, 1.0]
     want = df.agg(*[F.percentile(c, probs).alias(c) for c in ("a", "b")]).first()
-    got = {(r.field, r.prob): r.value for r in ordered.exact_quantiles(df, ["a", "b", "c"], probs, accuracy).collect()}
+    got = {(r.field, r.prob): r.value for r in ordered.exact_quantiles(df, ["a", "b", "c"], probs, accuracy, spread).collect()}
     for c in ("a", "b"):
         for p, w in zip(probs, want[c]):
-            assert got[(c, p)] == pytest.approx(w, abs=1e-9)
+            assert got[(c, p)] == w
     assert not any(k[0] == "c" for k in got)
