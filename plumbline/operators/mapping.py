@@ -10,7 +10,6 @@ from pyspark.sql.types import StringType
 from plumbline.functions.columns import (
     DAY_BUCKETS,
     TARGET_BUCKETS,
-    blank_to_null,
     bucket,
     bucket_position,
     count_if,
@@ -355,11 +354,6 @@ def ratio_metric(
     return df.groupBy(*by).agg(value) if by else df.agg(value)
 
 
-def normalised_pairs(df: DataFrame, columns: dict[str, bool]) -> DataFrame:
-    """Key columns as trimmed text (upper case where the flag says so), blank as NULL."""
-    return df.select(*[blank_to_null(c, upper).alias(c) for c, upper in columns.items()])
-
-
 def empty_key_findings(df: DataFrame, key: str, scope: str = "") -> DataFrame:
     """A finding when a key column has no usable value at all."""
     one = df.agg(F.count(F.lit(1)).alias("n"), count_if(F.col(key).isNotNull()).alias("filled"))

@@ -58,9 +58,8 @@ def ordered_running(
     not change between its two uses.
     """
     sums = sums or {}
-    spark = df.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(df.repartitionByRange(partitions, *order).withColumn("_range", F.spark_partition_id()))
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    ranged = cut(ranged.withColumn("_range", F.spark_partition_id()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("_range").agg(
         F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(f"_sum_{out}") for out, c in sums.items()]

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import MAPPED_GENDERS
 from plumbline.operators import compare
-from plumbline.plans.registry import Tables, big, derive, derive_sql, filled, norm, pct, register
+from plumbline.plans.registry import Tables, derive, derive_sql, filled, norm, pct, register
 
 #: orders with customers that do not exist and blank keys
 CHILD = {

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import profile, quality
 from plumbline.plans.bound_mapping import BASE_SQL, detail
 from plumbline.plans.bound_quality import FILES_SQL, files
-from plumbline.plans.registry import Tables, big, filled, norm, pct, register, share
+from plumbline.plans.registry import Tables, filled, norm, pct, register, share
 
 DETAIL_FIELDS = [
     "shop_id", "shop_name", "product_id", "spu", "sku_id", "child_order_id", "live_room_id", "pay_time", "pay_date", "anchor_id",
@@ -191,7 +191,6 @@ def longest_texts(spark, d):
     return profile.longest_texts(Tables(spark, d).documents, "text", ["doc_id", "lang"])
 
 
-RISK_FIELDS = ["doc_id", "spu", "folder_path", "video_time"]
 RISK_SQL = f"SELECT *, CASE WHEN doc_id % 20 = 0 THEN 'x' END AS video_time, CASE WHEN doc_id % 2 = 0 THEN 'y' END AS half FROM ({FILES_SQL})"
 
 
