@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bpe, counts, records, secret_scan, simhash
+from plumbline.llm import bpe, counts, language, records, secret_scan, simhash
 from plumbline.llm.frames import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,19 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(listed(F.filter("spans", lambda s: s["kind"] != "random")), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )
+
+
+def held_out() -> Column:
+    return F.coalesce(language.fold("doc_id") == 0, F.lit(False))
+
+
+def language_model(docs: DataFrame) -> language.Model:
+    """Trained on the documents outside the held-out fold; those without an id are in no fold."""
+    return language.train(docs.where(language.fold("doc_id") != 0).select("text", "lang"))
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language_model(docs)
+    return language.identify(docs.select("doc_id", "text", held_out().alias("held_out")), model, keep=["doc_id", "held_out"])
