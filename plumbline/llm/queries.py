@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bpe, counts, language, records, secret_scan, simhash
+from plumbline.llm import bpe, counts, language, mixing, records, secret_scan, simhash
 from plumbline.llm.frames import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = language_model(docs)
     return language.identify(docs.select("doc_id", "text", held_out().alias("held_out")), model, keep=["doc_id", "held_out"])
+
+
+@query("op6_source_mix")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    # a row for each row of the table, equal ones included
+    each = mixed.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return each.select("doc_id", "size", "source_size", "target", "taken")
