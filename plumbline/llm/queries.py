@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bpe, counts, language, mixing, records, secret_scan, simhash
+from plumbline.llm import bpe, chat, counts, language, mixing, records, secret_scan, simhash
 from plumbline.llm.frames import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,38 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     # a row for each row of the table, equal ones included
     each = mixed.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     return each.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP5_SQL = r"""
+WITH all_turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), escaped AS (
+  SELECT *, regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g') AS role_out, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS text_out
+  FROM all_turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(role_out) + length(text_out) + length('<|start|><|text|><|end|>')) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+
+@query("op5_chat_format", OP5_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    words = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", words), (-7, 1, "assistant", words)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    back = chat.read_back(chat.format_chats(rows, BYTES))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
