@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bpe, chat, counts, language, mixing, records, secret_scan, simhash, topk
+from plumbline.llm import bpe, chat, counts, language, mixing, records, secret_scan, simhash, topk, vector_dedup
 from plumbline.llm.frames import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,27 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return topk.top_products(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), usable AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(x, lambda c: c <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.98
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(counts.n, 0) AS n_links, least.component_id, v.vec_id = least.component_id AS kept
+FROM v JOIN least ON v.vec_id = least.a LEFT JOIN counts ON v.vec_id = counts.a
+"""
+
+
+@query("op4_embedding_near_duplicates", OP4_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, folder, "embeddings"))
