@@ -7,21 +7,52 @@ return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import queries
-from plumbline.llm.frames import settle
+from plumbline.llm import language, mixing, queries, secret_scan, simhash
+from plumbline.llm.frames import settle, spare_name
+
+#: least mean probability of a text's words for its language; texts in which no language has that much go
+LEAST_SCORE = 0.35
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language: those without a letter, and those in which no language stands out, go."""
+    lang, score = spare_name(docs, "lang_found"), spare_name(docs, "lang_score")
+    found = language.identify(docs, queries.language_model(docs), lang=lang, score=score)
+    return found.where((F.col(lang) != language.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.one_of_each(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret."""
+    found = secret_scan.redact(secret_scan.find_secrets(docs))
+    return found.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed_rows(docs, mixing.mix(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row and the text decoded from them, as digests."""
+    """Digests of the token ids of every row and of the text decoded from them."""
     return queries.encoding_digests(docs)
 
 
 STAGES = [
+    ("language_id", identify_language),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("secret_scan", redact_secrets),
+    ("source_mix", mix_sources),
     ("bpe_encoding", encode),
 ]
 
+#: SQL has neither the language model nor the fingerprints' hash, the cube method or the encoding
 ORACLE_SQL = None
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField
 
-from plumbline.llm.frames import components, over_texts, settle, spanning_edges, whole_groups, with_splits
+from plumbline.llm.frames import components, over_texts, settle, spanning_edges, spare_name, whole_groups, with_splits
 
 #: seed of the shingles' hash, words of a shingle, and the most bits in which linked fingerprints differ
 SEED, SHINGLE, THRESHOLD = 42, 3, 3
@@ -145,6 +145,20 @@ def linked_fingerprints(prints: DataFrame, node: str = "node", threshold: int =
     return components(settle(found.distinct()), "a", "b")
 
 
+def component_ids(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(fingerprint, component_id) of settled rows (doc_id, fingerprint): the smallest id reachable over links."""
+    classes = settle(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
+    roots = settle(linked_fingerprints(classes, "fingerprint", threshold))
+    first = classes.join(roots, classes.fingerprint == roots.node).select("root", "first_id")
+    least = settle(first.groupBy("root").agg(F.min("first_id").alias("least_id")))
+    reached = settle(roots.join(least, "root").select(F.col("node").alias("fingerprint"), "root", "least_id"))
+    return settle(
+        classes.join(reached, "fingerprint", "left").select(
+            "fingerprint", F.coalesce("root", "fingerprint").alias("root"), F.coalesce("least_id", "first_id").alias("component_id")
+        )
+    )
+
+
 def near_duplicates(
     df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: int = THRESHOLD, shingle: int = SHINGLE, seed: int = SEED
 ) -> DataFrame:
@@ -155,19 +169,30 @@ def near_duplicates(
     ones included, share the fingerprint zero. Equal fingerprints are merged in
     every task before they are compared, so a mass of copies is one row.
     """
-    rows = settle(
-        fingerprints(df.select(df[f"`{doc_id}`"].alias("doc_id"), df[f"`{text}`"].alias("text")), "text", "fingerprint", ["doc_id"], shingle, seed)
-    )
-    classes = settle(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
-    roots = settle(linked_fingerprints(classes, "fingerprint", threshold))
-    placed = settle(
-        classes.join(roots, classes.fingerprint == roots.node, "left").select(
-            "fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")
-        )
-    )
-    linked = placed.join(roots.select("root").distinct(), "root", "left_semi")
-    least = settle(linked.groupBy("root").agg(F.min("first_id").alias("least_id")))
-    found = settle(
-        placed.join(least, "root", "left").select("fingerprint", F.coalesce("least_id", "first_id").alias("component_id"))
-    )
-    return rows.join(found, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    given = df.select(df[f"`{doc_id}`"].alias("doc_id"), df[f"`{text}`"].alias("text"))
+    rows = settle(fingerprints(given, "text", "fingerprint", ["doc_id"], shingle, seed))
+    return rows.join(component_ids(rows, threshold), "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def one_of_each(
+    df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: int = THRESHOLD, shingle: int = SHINGLE, seed: int = SEED
+) -> DataFrame:
+    """The rows of the frame, one of each component: that of the smallest id (null last), of equal ids the one whose hash is least.
+
+    Of rows equal in all columns one is kept. Texts without words are one
+    component, as their fingerprints are equal.
+    """
+    mark = spare_name(df, "mark")
+    marked = df.withColumn(mark, F.xxhash64(*[df[f"`{c}`"] for c in df.columns]))
+    given = marked.select(marked[f"`{doc_id}`"].alias("doc_id"), marked[mark].alias("mark"), marked[f"`{text}`"].alias("text"))
+    rows = settle(fingerprints(given, "text", "fingerprint", ["doc_id", "mark"], shingle, seed))
+    roots = component_ids(rows, threshold).select("fingerprint", "root")
+    # the first of each fingerprint, merged in every task, then of each component
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    firsts = settle(rows.groupBy("fingerprint").agg(first))
+    kept = firsts.join(roots, "fingerprint").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.mark")
+    kept = settle(kept)
+    found = marked.join(kept, (marked[mark] == kept["mark"]) & marked[doc_id].eqNullSafe(kept["doc_id"]), "left_semi").drop(mark)
+    again = rows.join(kept.withColumnsRenamed({"doc_id": "kept_id", "mark": "kept_mark"}), (F.col("mark") == F.col("kept_mark")) & F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    repeated = again.groupBy("doc_id", "mark").count().where("count > 1")
+    return found if repeated.isEmpty() else found.dropDuplicates()
