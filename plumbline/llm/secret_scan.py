@@ -162,7 +162,9 @@ def symbol_shares(df: DataFrame, text: str = "text") -> dict[str, np.ndarray]:
     n = {chr(r.byte): r.n for r in rows}
     out = {}
     for name, alphabet in ALPHABETS.items():
-        counts = np.array([n.get(c, 0) for c in alphabet], float) + 1
+        # words in one case have the letters of all words
+        both = alphabet in (alphabet.upper(), alphabet.lower())
+        counts = np.array([n.get(c, 0) + (n.get(c.swapcase(), 0) if both and c.isalpha() else 0) for c in alphabet], float) + 1
         out[name] = counts / counts.sum()
     return out
 
