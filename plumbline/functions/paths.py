@@ -16,7 +16,8 @@ from plumbline.functions.fixed import (
     VIDEO_EXTENSIONS,
 )
 
-EDGE_BLANKS = r"^\s+|\s+$"
+#: white space of every script, such as the ideographic blank
+EDGE_BLANKS = r"(?U)^\s+|\s+$"
 EXTENSION = r"\.([A-Za-z0-9]{2,8})$"
 LAST_SEGMENT = r"([^\\/]+)$"
 

@@ -499,13 +499,23 @@ def frame_diff(
     """Keyed comparison of two frames: one row per difference.
 
     Exact for all columns but ``floats``, which may differ by a relative error
-    below the tolerance. Keys must be unique on both sides.
+    below the tolerance. NULL keys are keys like others. A key that occurs more
+    than once on a side is reported as ``repeated_key`` (``exact_diff`` compares
+    such rows). A column of one side only is a row without keys.
     """
     floats = floats or []
-    values = [c for c in left.columns if c not in keys]
-    a = left.select(*keys, F.struct(*values).alias("_l"))
-    b = right.select(*keys, F.struct(*values).alias("_r"))
-    joined = a.join(b, keys, "full_outer")
+    values = [c for c in left.columns if c not in keys and c in right.columns]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        row = F.struct(F.lit(1).alias("_one"), *[F.col(f"`{c}`") for c in values])
+        return df.groupBy(*[F.col(f"`{k}`").alias(f"_{name}{i}") for i, k in enumerate(keys)]).agg(
+            F.any_value(row).alias(f"_{name}"), F.count(F.lit(1)).alias(f"_{name}_rows")
+        )
+
+    same = F.lit(True)
+    for i in range(len(keys)):
+        same = same & F.col(f"_l{i}").eqNullSafe(F.col(f"_r{i}"))
+    joined = side(left, "l").join(side(right, "r"), same, "full_outer")
     bad = []
     for c in values:
         x, y = F.col("_l")[c], F.col("_r")[c]
@@ -515,25 +525,44 @@ def frame_diff(
             bad.append(F.when(~close, F.lit(c)))
         else:
             bad.append(F.when(~x.eqNullSafe(y), F.lit(c)))
+    wrong = F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>")
     diff = (
         F.when(F.col("_l").isNull(), "only_right")
         .when(F.col("_r").isNull(), "only_left")
-        .when(F.size(F.array_compact(F.array(*bad))) > 0, "values_differ")
+        .when((F.col("_l_rows") > 1) | (F.col("_r_rows") > 1), "repeated_key")
+        .when(F.size(wrong) > 0, "values_differ")
     )
     out = joined.withColumn("difference", diff).where(F.col("difference").isNotNull())
-    changed = F.array_join(F.array_compact(F.array(*bad)), ",")
-    return out.select(
-        *keys, "difference", F.when(F.col("difference") == "values_differ", changed).alias("columns")
+    out = out.select(
+        *[F.when(F.col("_l").isNull(), F.col(f"_r{i}")).otherwise(F.col(f"_l{i}")).alias(k) for i, k in enumerate(keys)],
+        "difference",
+        F.when(F.col("difference") == "values_differ", F.array_join(wrong, ",")).alias("columns"),
     )
+    single = [(c, "column_only_left") for c in left.columns if c not in right.columns]
+    single += [(c, "column_only_right") for c in right.columns if c not in left.columns]
+    for c, kind in single:
+        row = left.sparkSession.range(1).select(
+            *[F.lit(None).cast(left.schema[k].dataType).alias(k) for k in keys], F.lit(kind).alias("difference"), F.lit(c).alias("columns")
+        )
+        out = out.unionByName(row)
+    return out
 
 
 def exact_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows (with multiplicity) found on one side only."""
-    columns = left.columns
-    a = left.groupBy(*columns).agg(F.count(F.lit(1)).alias("left_rows"))
-    b = right.select(*columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("right_rows"))
-    both = a.select("*", F.lit(0).cast("long").alias("right_rows")).unionByName(
-        b.select("*", F.lit(0).cast("long").alias("left_rows"))
-    )
-    merged = both.groupBy(*columns).agg(F.sum("left_rows").alias("left_rows"), F.sum("right_rows").alias("right_rows"))
-    return merged.where("left_rows <> right_rows")
+    """Rows (with multiplicity) found on one side only.
+
+    Frames with different columns have no row in common: all rows are reported,
+    with NULL in the columns that their side lacks.
+    """
+    apart = set(left.columns) != set(right.columns)
+    columns = [*left.columns, *[c for c in right.columns if c not in left.columns]]
+
+    def side(df: DataFrame, other: DataFrame, mine: str, theirs: str) -> DataFrame:
+        whole = [F.col(f"`{c}`") if c in df.columns else F.lit(None).cast(other.schema[c].dataType).alias(c) for c in columns]
+        mark = F.lit(mine if apart else "").alias("_side")
+        counted = df.select(*whole, mark).groupBy(*columns, "_side").agg(F.count(F.lit(1)).alias(mine))
+        return counted.withColumn(theirs, F.lit(0).cast("long"))
+
+    both = side(left, right, "left_rows", "right_rows").unionByName(side(right, left, "right_rows", "left_rows"))
+    merged = both.groupBy(*columns, "_side").agg(F.sum("left_rows").alias("left_rows"), F.sum("right_rows").alias("right_rows"))
+    return merged.where("left_rows <> right_rows").drop("_side")

@@ -8,7 +8,7 @@ source_column, lineage_status, target_kind, expression_sql``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.columns import col, count_if, non_blank
 from plumbline.functions.fixed import (
@@ -121,7 +121,26 @@ def base_tables(edges: DataFrame, produced: DataFrame) -> DataFrame:
     return sources.join(produced.select("table_name"), "table_name", "left_anti")
 
 
-def downstream_paths(edges: DataFrame, bases: DataFrame, max_hops: int = 100) -> DataFrame:
+def downstream_tables(edges: DataFrame, bases: DataFrame) -> DataFrame:
+    """(base_table, downstream_table): every table reached from each base table, once, without the ways there.
+
+    Breadth first; the set of known pairs ends the rounds, also in cycles.
+    Each round is one join with the edges and one write.
+    """
+    links = cut(edges.select("source_table", "target_table").distinct())
+    frontier = bases.select(F.col("table_name").alias("base_table"), F.col("table_name").alias("node"))
+    known = None
+    while True:
+        step = frontier.join(links, F.col("node") == F.col("source_table")).select("base_table", F.col("target_table").alias("node")).distinct()
+        frontier = cut(step if known is None else step.join(known, ["base_table", "node"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        known = frontier if known is None else known.unionByName(frontier)
+    found = frontier if known is None else known
+    return found.select("base_table", F.col("node").alias("downstream_table"))
+
+
+def downstream_paths(edges: DataFrame, bases: DataFrame) -> DataFrame:
     """Every outgoing edge of every table reached from each base table.
 
     Breadth first: a table is expanded once per base, along its shortest path
@@ -141,7 +160,7 @@ def downstream_paths(edges: DataFrame, bases: DataFrame, max_hops: int = 100) ->
     visited = frontier.select("base_table", "node")
     sources = links.select("source_table").distinct()  # tables without outgoing edges need no further round
     out = None
-    for _ in range(max_hops):
+    while True:
         step = frontier.join(links, F.col("node") == F.col("source_table")).select(
             "base_table",
             F.col("target_table").alias("node"),
@@ -156,8 +175,6 @@ def downstream_paths(edges: DataFrame, bases: DataFrame, max_hops: int = 100) ->
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier.select("base_table", "node"))
-    else:
-        raise RuntimeError(f"paths longer than {max_hops} hops")
     return out.select(
         "base_table",
         F.col("node").alias("downstream_table"),
@@ -169,7 +186,7 @@ def downstream_paths(edges: DataFrame, bases: DataFrame, max_hops: int = 100) ->
 # --- columns -----------------------------------------------------------------
 
 
-def base_columns(column_edges: DataFrame, statements: DataFrame, bases: DataFrame, max_hops: int = 100) -> DataFrame:
+def base_columns(column_edges: DataFrame, statements: DataFrame, bases: DataFrame) -> DataFrame:
     """Base columns behind every column edge, with path and producing statements.
 
     All acyclic ways from a column up to base tables are followed, one join per
@@ -199,7 +216,7 @@ def base_columns(column_edges: DataFrame, statements: DataFrame, bases: DataFram
         F.array().cast("array<string>").alias("chain"),
     )
     found = None
-    for _ in range(max_hops):
+    while True:
         marked = cut(frontier.join(is_base, "table", "left"))
         done = marked.where("_base")
         found = done if found is None else found.unionByName(done)
@@ -215,8 +232,6 @@ def base_columns(column_edges: DataFrame, statements: DataFrame, bases: DataFram
             F.concat("way", F.array("_next")).alias("way"),
             F.concat("chain", F.array("_by")).alias("chain"),
         )
-    else:
-        raise RuntimeError(f"column ways longer than {max_hops} hops")
     return found.select(
         *fields,
         F.col("table").alias("base_table"),
@@ -281,7 +296,7 @@ def dictionary(tables: DataFrame, metadata: DataFrame, bases: DataFrame, produce
     return named.join(metadata, "table_name", "left").na.fill("", blank)
 
 
-def related_tables(edges: DataFrame, paths: DataFrame) -> DataFrame:
+def related_tables(edges: DataFrame, reached: DataFrame) -> DataFrame:
     """(table, relation, related table): direct upstream, direct and all downstream.
 
     The long form holds the lists of the catalog without gathering any of them
@@ -297,7 +312,7 @@ def related_tables(edges: DataFrame, paths: DataFrame) -> DataFrame:
         F.lit("direct_downstream").alias("relation"),
         F.col("target_table").alias("related_table"),
     )
-    reach = paths.select(
+    reach = reached.select(
         F.col("base_table").alias("table_name"),
         F.lit("all_downstream").alias("relation"),
         F.col("downstream_table").alias("related_table"),
@@ -317,18 +332,11 @@ def table_index(tables: DataFrame, related: DataFrame) -> DataFrame:
     return out.withColumn("table_layer", table_layer("table_name"))
 
 
-def relation_lists(related: DataFrame, most: int = 100) -> DataFrame:
-    """Neighbour lists as text for display; longer lists show the first ``most`` and the count.
-
-    The full lists are the rows of ``related_tables``.
-    """
-    w = Window.partitionBy("table_name", "relation").orderBy("related_table")
-    shown = related.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most)
-    texts = shown.groupBy("table_name", "relation").agg(
-        F.array_join(F.sort_array(F.collect_list("related_table")), ", ").alias("tables")
+def relation_lists(related: DataFrame) -> DataFrame:
+    """Complete neighbour lists as text, with their lengths; the rows of ``related_tables`` are the same in long form."""
+    return related.groupBy("table_name", "relation").agg(
+        F.array_join(F.sort_array(F.collect_list("related_table")), ", ").alias("tables"), F.count(F.lit(1)).alias("table_count")
     )
-    sizes = related.groupBy("table_name", "relation").agg(F.count(F.lit(1)).alias("table_count"))
-    return texts.join(sizes, ["table_name", "relation"])
 
 
 def field_index(dictionary_rows: DataFrame, column_edges: DataFrame, resolved: DataFrame) -> DataFrame:

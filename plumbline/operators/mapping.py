@@ -193,7 +193,7 @@ def mapping_checks(
 
 def mapping_findings(summary: DataFrame, max_targets: dict[str, int] | None = None, scope: str = "") -> DataFrame:
     """Findings for multi-mapped pairs and for sources with too many targets."""
-    multi = summary.where("multi_mapping_ratio > 0").select(
+    multi = summary.where("multi_mapping_source_keys > 0").select(
         F.concat(F.col("pair_name"), F.lit(" is not unique")).alias("check"),
         "multi_mapping_source_keys",
         "multi_mapping_ratio",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -20,16 +19,9 @@ from pyspark.sql.types import (
 )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the one the cluster names for checkpoints."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="plumbline-")
-        sc.setCheckpointDir(folder)
-    return folder
+def shared_folder(spark: SparkSession) -> str | None:
+    """Folder for intermediate tables: the one the cluster names for checkpoints, if any."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -37,8 +29,12 @@ def cut(df: DataFrame) -> DataFrame:
 
     The plan starts anew from the files, so it stays short over many rounds,
     its rows are fixed, and a lost executor never means starting from the top.
+    A session without that folder keeps the frame in Spark's own storage.
     """
-    path = f"{shared_folder(df.sparkSession)}/plumbline-{uuid.uuid4().hex}"
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
+        return df.persist()
+    path = f"{folder}/plumbline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -109,14 +105,8 @@ def shares(
     ).drop("_running")
 
 
-def page(df: DataFrame, order: list[Column], offset: int, size: int, deep: bool = False) -> DataFrame:
-    """Rows offset+1 .. offset+size of a total order.
-
-    The default sorts and takes the head; ``deep`` numbers all rows in
-    parallel, for offsets too large for one task.
-    """
-    if not deep:
-        return df.orderBy(*order).offset(offset).limit(size)
+def page(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
+    """Rows offset+1 .. offset+size of a total order; all rows are numbered in parallel, so any offset will do."""
     rn = F.col("_rn")
     numbered = ordered_running(df, order, row_number="_rn")
     return numbered.where((rn > offset) & (rn <= offset + size)).drop("_rn")
@@ -223,7 +213,7 @@ def histogram_quantiles(
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], accuracy: int = 50_000, spread: bool = False
+    df: DataFrame, columns: list[str], probs: list[float], accuracy: int = 50_000
 ) -> DataFrame:
     """Exact interpolated quantiles of many numeric columns: (field, n, prob, value).
 
@@ -231,8 +221,8 @@ def exact_quantiles(
     values only inside the brackets and merges everything between them into one
     counter each, so what is sorted is a small part of the data (about
     4 / accuracy of the rows per quantile). A rank outside its bracket raises
-    an error instead of giving a wrong value. ``spread`` sorts even that part in
-    many tasks, for tables of very many rows.
+    an error instead of giving a wrong value. Even that part is sorted in many
+    tasks, by ranges of field and value.
     """
     eps = 2.0 / accuracy
     bounds = {p: (max(0.0, p - eps), min(1.0, p + eps)) for p in probs}
@@ -267,14 +257,9 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     )
     order = [F.asc_nulls_first("anchor"), F.asc("outside")]
-    if spread:
-        placed = ordered_running(counted, [F.asc("field"), *order], {"_cum": "n"})
-        fields = placed.groupBy("field").agg(F.min(F.col("_cum") - F.col("n")).alias("_start"), F.sum("n").alias("_all"))
-        ranked = placed.join(F.broadcast(fields), "field").withColumn("_cum", F.col("_cum") - F.col("_start"))
-    else:
-        w = Window.partitionBy("field")
-        running = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        ranked = counted.withColumns({"_cum": F.sum("n").over(running), "_all": F.sum("n").over(w)})
+    placed = ordered_running(counted, [F.asc("field"), *order], {"_cum": "n"})
+    fields = placed.groupBy("field").agg(F.min(F.col("_cum") - F.col("n")).alias("_start"), F.sum("n").alias("_all"))
+    ranked = placed.join(F.broadcast(fields), "field").withColumn("_cum", F.col("_cum") - F.col("_start"))
     ranked = ranked.withColumn("_prev", F.col("_cum") - F.col("n"))
 
     def at(rank: Column) -> Column:
@@ -307,11 +292,10 @@ def quantile_struct(
     probs: list[float],
     exact: bool = True,
     accuracy: int = 50_000,
-    spread: bool = False,
 ) -> Column:
     """Scalar struct ``column -> array of quantiles``, for use inside expressions."""
     if exact:
-        long = exact_quantiles(df, columns, probs, accuracy, spread)
+        long = exact_quantiles(df, columns, probs, accuracy)
         picks = [
             F.array(
                 *[

@@ -146,16 +146,14 @@ def iqr_outliers(
     columns: list[str] | None = None,
     factor: float = 1.5,
     exact: bool = True,
-    spread: bool = False,
 ) -> DataFrame:
     """Quartiles, fences and the rows outside them, for all columns together.
 
     Reads the table for the quartiles and once more for the counts. Quartiles and
     fences are shown with six decimals, rows are counted against the full values.
-    ``spread`` is that of ``exact_quantiles``.
     """
     columns = columns or numeric_columns(df)
-    quartiles = quantile_struct(df, columns, [0.25, 0.75], exact, spread=spread)
+    quartiles = quantile_struct(df, columns, [0.25, 0.75], exact)
     work = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
     work = work.withColumn("_q", quartiles)
     aggs = []
@@ -381,16 +379,20 @@ def contract_check(df: DataFrame, expected: list[str]) -> DataFrame:
     return constant_rows(df.sparkSession, rows, schema)
 
 
-def column_category(name: str, dtype) -> str:
-    """Category guess of a column: identifier, flag, temporal, measure, descriptive, dimension."""
+def column_category(name: str, dtype, identifiers: tuple[str, ...] = (), times: tuple[str, ...] = ()) -> str:
+    """Category guess of a column: identifier, flag, temporal, measure, descriptive, dimension.
+
+    The last word of the name decides, words being parted by underscores.
+    Names that run words together, such as ``o_orderkey``, are only taken for
+    keys or times if their last word is passed in.
+    """
     low = name.lower()
+    last = low.rsplit("_", 1)[-1]
     if isinstance(dtype, BooleanType) or low.startswith(("is_", "has_")):
         return "flag"
-    if low == "id" or low.endswith(("_id", "key", "_no")):
+    if last in ("id", "key", "no", *identifiers):
         return "identifier"
-    if isinstance(dtype, (DateType, TimestampType, TimestampNTZType)) or any(
-        low == w or low.endswith("_" + w) or low.endswith(w) for w in ("time", "date", "_dt")
-    ):
+    if isinstance(dtype, (DateType, TimestampType, TimestampNTZType)) or last in ("time", "date", "dt", *times):
         return "temporal"
     if isinstance(dtype, NumericType):
         return "measure"

@@ -190,6 +190,7 @@ HEALTH_METRICS = [
     "basename_conflict",
     "update_time_filled",
     "folder_suffix",
+    "video_suffix",
     "distinct_file_id",
     "distinct_source_id",
 ]
@@ -207,11 +208,12 @@ def health_metrics(
         count_if(F.col("basename_conflict")).alias("basename_conflict"),
         count_if(non_blank("image_update_time")).alias("update_time_filled"),
         count_if(F.col("folder_suffix")).alias("folder_suffix"),
+        count_if(F.col("path_ext_std").isin(VIDEO_EXTENSIONS)).alias("video_suffix"),
         F.count_distinct(file_id).alias("distinct_file_id"),
         F.count_distinct(source_id).alias("distinct_source_id"),
     )
-    rows = [[F.lit(m), F.col(m), percent(F.col(m), F.col("total"))] for m in HEALTH_METRICS]
-    return wide_to_rows(one, rows, ["metric", "row_count", "row_rate_pct"])
+    rows = [[F.lit(m), F.col(m), percent(F.col(m), F.col("total")), F.col("total")] for m in HEALTH_METRICS]
+    return wide_to_rows(one, rows, ["metric", "row_count", "row_rate_pct", "total_rows"])
 
 
 def extension_distribution(projected: DataFrame, n: int = 30) -> DataFrame:
@@ -250,30 +252,34 @@ def health_findings(
     """Health metrics beyond their limits as findings rows.
 
     ``limits`` maps a metric to ("max" | "min", percent): above a maximum or
-    below a minimum the metric becomes a finding.
+    below a minimum the metric becomes a finding. The counts are compared, not
+    the rounded rate. A table without rows is the finding ``empty_set``.
     """
     limits = limits or {
         "fallback_to_full_path": ("max_reached", 20.0),
         "update_time_filled": ("min", 95.0),
         "full_path_std_filled": ("min", 99.0),
         "folder_suffix": ("max", 0.0),
+        "video_suffix": ("max", 0.0),
     }
-    metric, rate = F.col("metric"), F.col("row_rate_pct")
-    hit = F.lit(False)
+    metric, n, total = F.col("metric"), F.col("row_count") * F.lit(100.0), F.col("total_rows")
+    empty = (metric == HEALTH_METRICS[0]) & (total == 0)
+    hit = empty
     detail = F.lit("")
     for name, (kind, limit) in limits.items():
-        broken = {"max": rate > limit, "max_reached": rate >= limit, "min": rate < limit}[kind]
-        hit = hit | ((metric == name) & broken)
+        bound = total * F.lit(float(limit))
+        broken = {"max": n > bound, "max_reached": n >= bound, "min": n < bound}[kind]
+        hit = hit | ((metric == name) & (total > 0) & broken)
         sign = {"max": ">", "max_reached": ">=", "min": "<"}[kind]
         detail = F.when(metric == name, F.lit(f"{name} rate {sign} {limit}")).otherwise(detail)
     return metrics.where(hit).select(
-        metric.alias("check"),
+        F.when(empty, "empty_set").otherwise(metric).alias("check"),
         F.lit(scope).alias("scope"),
         F.lit("medium").alias("severity"),
         F.lit("fail").alias("status"),
         "row_count",
         "row_rate_pct",
         F.lit(None).cast("string").alias("bucket"),
-        detail.alias("detail"),
+        F.when(empty, "no rows").otherwise(detail).alias("detail"),
         F.array().cast("array<string>").alias("sample"),
     )

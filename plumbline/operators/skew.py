@@ -50,7 +50,13 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.01, fraction: float | N
 
 def row_salt(salts: int, columns: list[str]) -> Column:
     """Salt that depends on the row only, so a retried task gives the same salt."""
-    return F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(salts)).cast("int")
+    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(salts)).cast("int")
+
+
+def salt_columns(df: DataFrame, keys: list[str]) -> list[str]:
+    """All columns outside the keys that can be hashed; the keys themselves if there are none."""
+    plain = [f.name for f in df.schema.fields if f.name not in keys and "map<" not in f.dataType.simpleString()]
+    return plain or keys
 
 
 #: aggregate -> (first stage, second stage)
@@ -70,7 +76,7 @@ def two_stage_agg(
     ``aggs`` maps an output name to (count | sum | min | max | avg, column). A
     hot key is spread over up to ``salts`` tasks in the first stage.
     """
-    salt_by = salt_by or [c for c in df.columns if c not in keys][:4] or keys
+    salt_by = salt_by or salt_columns(df, keys)
     first, second, final = [], [], []
     for i, (out, (fn, column)) in enumerate(aggs.items()):
         c = F.col(column) if column != "*" else F.lit(1)
@@ -94,14 +100,16 @@ def salted_join(
     """Equi-join in which the rows of heavy keys are spread over several tasks.
 
     Only keys above ``share`` of the large side are salted; the matching rows
-    of the small side are repeated once per salt, all others stay single.
+    of the small side are repeated once per salt, all others stay single. Rows
+    without a key match nothing, so they are always spread. The salt comes from
+    all other columns, or from those in ``salt_by``.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("the salted side must be the preserved side")
-    salt_by = salt_by or [c for c in large.columns if c != key][:4] or [key]
+    salt_by = salt_by or salt_columns(large, [key])
     heavy = F.broadcast(heavy_keys(large, key, share, fraction).withColumn("_heavy", F.lit(True)))
     salted = large.join(heavy, key, "left").withColumn(
-        "_salt", F.when(F.col("_heavy"), row_salt(salts, salt_by)).otherwise(F.lit(0))
+        "_salt", F.when(F.col("_heavy") | F.col(key).isNull(), row_salt(salts, salt_by)).otherwise(F.lit(0))
     )
     copies = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     spread = small.join(heavy, key, "left").withColumn("_salt", F.explode(copies)).drop("_heavy")

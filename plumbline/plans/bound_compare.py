@@ -155,28 +155,33 @@ def mismatch_samples(spark, d):
 
 @register(
     "frame_diff",
-    """WITH a AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 11 <> 0),
-    b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
-        CASE WHEN o_orderkey % 17 = 0 THEN o_totalprice * 1.01 WHEN o_orderkey % 19 = 0 THEN o_totalprice * (1 + 1e-9) ELSE o_totalprice END AS o_totalprice
-      FROM orders WHERE o_orderkey % 9 <> 0),
-    j AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, a.o_orderkey AS ka, b.o_orderkey AS kb,
+    """WITH o AS (SELECT * REPLACE (CASE WHEN o_orderkey % 5000 = 1 THEN NULL WHEN o_orderkey % 100 = 5 THEN o_orderkey + 1 ELSE o_orderkey END AS o_orderkey), o_orderkey AS k FROM orders),
+    ar AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM o WHERE k % 11 <> 0),
+    br AS (SELECT o_orderkey, CASE WHEN k % 13 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+        CASE WHEN k % 17 = 0 THEN o_totalprice * 1.01 WHEN k % 19 = 0 THEN o_totalprice * (1 + 1e-9) ELSE o_totalprice END AS o_totalprice
+      FROM o WHERE k % 9 <> 0),
+    a AS (SELECT o_orderkey, any_value(o_orderstatus) AS o_orderstatus, any_value(o_totalprice) AS o_totalprice, count(*) AS n FROM ar GROUP BY 1),
+    b AS (SELECT o_orderkey, any_value(o_orderstatus) AS o_orderstatus, any_value(o_totalprice) AS o_totalprice, count(*) AS n FROM br GROUP BY 1),
+    j AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, a.n AS ka, b.n AS kb, coalesce(a.n > 1 OR b.n > 1, false) AS rep,
         a.o_orderstatus IS DISTINCT FROM b.o_orderstatus AS ds,
         NOT coalesce(abs(a.o_totalprice - b.o_totalprice) <= greatest(abs(a.o_totalprice), abs(b.o_totalprice)) * 1e-6, false) AS dp
-      FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey)
-    SELECT o_orderkey, CASE WHEN ka IS NULL THEN 'only_right' WHEN kb IS NULL THEN 'only_left' ELSE 'values_differ' END AS difference,
-      CASE WHEN ka IS NOT NULL AND kb IS NOT NULL THEN concat_ws(',', CASE WHEN ds THEN 'o_orderstatus' END, CASE WHEN dp THEN 'o_totalprice' END) END AS columns
-    FROM j WHERE ka IS NULL OR kb IS NULL OR ds OR dp""",
+      FROM a FULL JOIN b ON a.o_orderkey IS NOT DISTINCT FROM b.o_orderkey)
+    SELECT o_orderkey, CASE WHEN ka IS NULL THEN 'only_right' WHEN kb IS NULL THEN 'only_left' WHEN rep THEN 'repeated_key' ELSE 'values_differ' END AS difference,
+      CASE WHEN ka IS NOT NULL AND kb IS NOT NULL AND NOT rep THEN concat_ws(',', CASE WHEN ds THEN 'o_orderstatus' END, CASE WHEN dp THEN 'o_totalprice' END) END AS columns
+    FROM j WHERE ka IS NULL OR kb IS NULL OR rep OR ds OR dp
+    UNION ALL SELECT NULL, 'column_only_right', 'k'""",
 )
 def frame_diff(spark, d):
-    df = Tables(spark, d).orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
-    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    k, price = F.col("k"), F.col("o_totalprice")
+    key = F.when(k % 5000 == 1, None).when(k % 100 == 5, k + 1).otherwise(k)
+    df = Tables(spark, d).orders.withColumn("k", F.col("o_orderkey")).select(key.alias("o_orderkey"), "o_orderstatus", "o_totalprice", "k")
     right = df.where(k % 9 != 0).withColumns(
         {
             "o_orderstatus": F.when(k % 13 == 0, "X").otherwise(F.col("o_orderstatus")),
             "o_totalprice": F.when(k % 17 == 0, price * 1.01).when(k % 19 == 0, price * (1 + 1e-9)).otherwise(price),
         }
     )
-    return compare.frame_diff(df.where(k % 11 != 0), right, ["o_orderkey"], ["o_totalprice"])
+    return compare.frame_diff(df.where(k % 11 != 0).drop("k"), right, ["o_orderkey"], ["o_totalprice"])
 
 
 @register(

@@ -138,7 +138,7 @@ def all_tables(edges):
 )
 def catalog_index(spark, d):
     _, edges, _, bases = parts(spark, d)
-    related = lineage.related_tables(edges, lineage.downstream_paths(edges, bases))
+    related = lineage.related_tables(edges, lineage.downstream_tables(edges, bases))
     return lineage.table_index(all_tables(edges), related)
 
 
@@ -149,20 +149,18 @@ def catalog_index(spark, d):
 )
 def related_tables(spark, d):
     _, edges, _, bases = parts(spark, d)
-    return lineage.related_tables(edges, lineage.downstream_paths(edges, bases))
+    return lineage.related_tables(edges, lineage.downstream_tables(edges, bases))
 
 
 @register(
     "relation_lists",
     f"""{BASE}, r AS (SELECT DISTINCT target_table AS table_name, 'direct_upstream' AS relation, source_table AS related_table FROM edge
-      UNION ALL SELECT DISTINCT source_table, 'direct_downstream', target_table FROM edge),
-    n AS (SELECT *, row_number() OVER (PARTITION BY table_name, relation ORDER BY related_table) AS rn, count(*) OVER (PARTITION BY table_name, relation) AS c FROM r)
-    SELECT table_name, relation, string_agg(related_table, ', ' ORDER BY related_table) FILTER (WHERE rn <= 20) AS tables, max(c) AS table_count FROM n GROUP BY 1, 2""",
+      UNION ALL SELECT DISTINCT source_table, 'direct_downstream', target_table FROM edge UNION ALL SELECT DISTINCT base_table, 'all_downstream', node FROM walk)
+    SELECT table_name, relation, string_agg(related_table, ', ' ORDER BY related_table) AS tables, count(*) AS table_count FROM r GROUP BY 1, 2""",
 )
 def relation_lists(spark, d):
-    _, edges, _, _ = parts(spark, d)
-    none = edges.select(F.col("source_table").alias("base_table"), F.col("target_table").alias("downstream_table")).where(F.lit(False))
-    return lineage.relation_lists(lineage.related_tables(edges, none), 20)
+    _, edges, _, bases = parts(spark, d)
+    return lineage.relation_lists(lineage.related_tables(edges, lineage.downstream_tables(edges, bases)))
 
 
 #: column metadata from three sources, derived from orders, customer and supplier
@@ -260,7 +258,7 @@ def field_index(spark, d):
 )
 def base_table_summary(spark, d):
     _, edges, _, bases = parts(spark, d)
-    related = lineage.related_tables(edges, lineage.downstream_paths(edges, bases))
+    related = lineage.related_tables(edges, lineage.downstream_tables(edges, bases))
     return lineage.base_table_summary(bases, related, lineage.merge_metadata(metadata(Tables(spark, d))))
 
 

@@ -39,12 +39,6 @@ def field_profile_lineitem(spark, d):
     return profile.field_profile(Tables(spark, d).lineitem, LINEITEM, exact=True)
 
 
-@register("field_profile_sketch")
-def field_profile_sketch(spark, d):
-    """Same with bounded sketches; distinct values are approximate, so there is no SQL."""
-    return profile.field_profile(Tables(spark, d).lineitem, LINEITEM)
-
-
 @register(
     "canonical_projection",
     f"SELECT pay_date, pay_hour, count(*) AS row_count, count(spu) AS with_spu, count(anchor_id) AS with_anchor FROM ({BASE_SQL}) GROUP BY 1, 2",
@@ -246,17 +240,3 @@ def base_table_election(spark, d):
 )
 def entity_coverage(spark, d):
     return profile.entity_coverage(Tables(spark, d).part, "p_brand", "p_type")
-
-
-@register(
-    "field_dictionary",
-    """SELECT 'orders' AS table_name, c AS physical_column, l AS logical_field, t AS column_type, '' AS column_comment, r AS field_role,
-      n AS assessment_note, (SELECT count(*) FROM orders) AS record_count FROM (VALUES ('o_orderkey', 'order_id', 'bigint', 'key', 'row key'),
-      ('o_custkey', '', 'bigint', '', ''), ('o_orderstatus', '', 'string', '', ''), ('o_totalprice', 'amount', 'double', '', ''),
-      ('o_orderdate', '', 'timestamp_ntz', '', ''), ('o_orderpriority', '', 'string', '', '')) v(c, l, t, r, n)""",
-)
-def field_dictionary(spark, d):
-    df = Tables(spark, d).orders
-    bound = {"order_id": "o_orderkey", "amount": "o_totalprice", "title": None}
-    out = profile.field_dictionary(df, "orders", bound, {"order_id": ("key", "row key")})
-    return out.withColumn("record_count", df.agg(F.count(F.lit(1))).scalar())

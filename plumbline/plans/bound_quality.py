@@ -150,7 +150,7 @@ def iqr_outliers(spark, d):
 
 @register("iqr_outliers_spread", iqr_sql("orders", ["o_totalprice"]))
 def iqr_outliers_spread(spark, d):
-    return quality.iqr_outliers(Tables(spark, d).orders, ["o_totalprice"], spread=True)
+    return quality.iqr_outliers(Tables(spark, d).orders, ["o_totalprice"])
 
 
 @register("iqr_outliers_customer", iqr_sql("customer", ["c_acctbal", "c_nationkey"]))
@@ -419,11 +419,12 @@ HEALTH = {
     "basename_conflict": "count(*) FILTER (WHERE basename_conflict)",
     "update_time_filled": f"count(*) FILTER (WHERE {filled('image_update_time')})",
     "folder_suffix": "count(*) FILTER (WHERE folder_suffix)",
+    "video_suffix": f"count(*) FILTER (WHERE path_ext_std IN ({', '.join(repr(x) for x in VIDEO_EXTENSIONS)}))",
     "distinct_file_id": "count(DISTINCT file_id)",
     "distinct_source_id": "count(DISTINCT platform_source_id)",
 }
 HEALTH_SQL = f"WITH p AS ({PROJECTED_SQL}) " + rows_sql(
-    [f"SELECT '{m}' AS metric, {e} AS row_count, {pct(e, 'count(*)')} AS row_rate_pct FROM p" for m, e in HEALTH.items()]
+    [f"SELECT '{m}' AS metric, {e} AS row_count, {pct(e, 'count(*)')} AS row_rate_pct, count(*) AS total_rows FROM p" for m, e in HEALTH.items()]
 )
 
 
@@ -437,9 +438,9 @@ def health_metrics(spark, d):
     f"""SELECT metric AS "check", 'files' AS scope, 'medium' AS severity, 'fail' AS status, row_count, row_rate_pct,
       CAST(NULL AS STRING) AS bucket, CASE metric WHEN 'fallback_to_full_path' THEN 'fallback_to_full_path rate >= 20.0'
         WHEN 'update_time_filled' THEN 'update_time_filled rate < 95.0' WHEN 'full_path_std_filled' THEN 'full_path_std_filled rate < 99.0'
-        ELSE 'folder_suffix rate > 0.0' END AS detail FROM ({HEALTH_SQL})
-    WHERE (metric = 'fallback_to_full_path' AND row_rate_pct >= 20) OR (metric = 'update_time_filled' AND row_rate_pct < 95)
-      OR (metric = 'full_path_std_filled' AND row_rate_pct < 99) OR (metric = 'folder_suffix' AND row_rate_pct > 0)""",
+        ELSE concat(metric, ' rate > 0.0') END AS detail FROM ({HEALTH_SQL})
+    WHERE (metric = 'fallback_to_full_path' AND row_count * 100 >= 20 * total_rows) OR (metric = 'update_time_filled' AND row_count * 100 < 95 * total_rows)
+      OR (metric = 'full_path_std_filled' AND row_count * 100 < 99 * total_rows) OR (metric IN ('folder_suffix', 'video_suffix') AND row_count > 0)""",
 )
 def health_findings(spark, d):
     return rules.health_findings(rules.health_metrics(projected(Tables(spark, d))), scope="files").drop("sample")
@@ -608,7 +609,7 @@ def result_page(spark, d):
 @register("result_page_deep", PAGE_SQL)
 def result_page_deep(spark, d):
     counts = Tables(spark, d).lineitem.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("row_count"))
-    return ordered.page(counts, [F.desc("row_count"), F.asc("l_partkey")], 120, 80, deep=True)
+    return ordered.page(counts, [F.desc("row_count"), F.asc("l_partkey")], 120, 80)
 
 
 SCORE_SQL = f"""
@@ -661,15 +662,3 @@ def confidence_cap(spark, d):
 )
 def structure_findings(spark, d):
     return quality.structure_findings(dirty(Tables(spark, d)))
-
-
-@register(
-    "contract_check",
-    f"""SELECT c AS column_name, c <> 'sku' AND c <> 'weight_factor' AS exists, CASE WHEN c IN ('sku', 'weight_factor') THEN 'critical' ELSE 'low' END AS severity,
-      CASE WHEN c IN ('sku', 'weight_factor') THEN 'fail' ELSE 'pass' END AS status, (SELECT count(*) FROM ({FILES_SQL})) AS row_count
-    FROM (SELECT unnest(['file_id', 'spu', 'sku', 'weight_factor']) AS c)""",
-)
-def contract_check(spark, d):
-    df = files(Tables(spark, d))
-    rows = df.agg(F.count(F.lit(1))).scalar()
-    return quality.contract_check(df, ["file_id", "spu", "sku", "weight_factor"]).withColumn("row_count", rows)

@@ -66,6 +66,39 @@ def salted_join(spark, d):
     )
 
 
+#: a third of all rows without a key
+NO_KEY = "CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_suppkey END"
+NO_KEY_SQL = f"(SELECT *, {NO_KEY} AS hot_key FROM lineitem)"
+
+
+def no_key_join(spark, d, how):
+    t = Tables(spark, d)
+    suppliers = t.supplier.where("s_suppkey % 4 <> 1").withColumnRenamed("s_suppkey", "hot_key")
+    return skew.salted_join(t.lineitem.withColumn("hot_key", F.expr(NO_KEY)), suppliers, "hot_key", how, salts=8)
+
+
+@register(
+    "salted_left_join_null_keys",
+    f"""SELECT hot_key IS NULL AS no_key, s_name IS NULL AS unmatched, count(*) AS row_count, {big('sum(l_linenumber)')} AS line_sum
+    FROM {NO_KEY_SQL} LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 4 <> 1) ON hot_key = s_suppkey GROUP BY 1, 2""",
+)
+def salted_left_join_null_keys(spark, d):
+    return no_key_join(spark, d, "left").groupBy(F.col("hot_key").isNull().alias("no_key"), F.col("s_name").isNull().alias("unmatched")).agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum(F.col("l_linenumber").cast("long")).alias("line_sum")
+    )
+
+
+@register(
+    "salted_anti_join_null_keys",
+    f"""SELECT hot_key IS NULL AS no_key, count(*) AS row_count, {big('sum(l_linenumber)')} AS line_sum
+    FROM {NO_KEY_SQL} WHERE hot_key IS NULL OR hot_key NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 4 <> 1) GROUP BY 1""",
+)
+def salted_anti_join_null_keys(spark, d):
+    return no_key_join(spark, d, "left_anti").groupBy(F.col("hot_key").isNull().alias("no_key")).agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum(F.col("l_linenumber").cast("long")).alias("line_sum")
+    )
+
+
 @register(
     "salted_left_join",
     f"""SELECT s_name IS NULL AS unmatched, count(*) AS row_count FROM {HOT_SQL} LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 4 <> 1)

@@ -12,8 +12,11 @@ EVENT_SCHEMA = (
 MAX_DURATION_MS = 24 * 60 * 60 * 1000
 
 
-def read_events(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Event log from JSON (an array or one object per line), CSV or parquet."""
+def read_events(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFrame:
+    """Event log from JSON lines, CSV, parquet, or (``json``) files that each hold one array.
+
+    A file with an array is read by one task; large logs come as lines.
+    """
     if fmt == "parquet":
         return spark.read.parquet(path)
     reader = spark.read.schema(EVENT_SCHEMA)

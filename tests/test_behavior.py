@@ -181,9 +181,12 @@ def test_event_sources(spark, tmp_path, events):
     path = str(tmp_path / "log.json")
     with open(path, "w") as f:
         f.write('[{"user_id": "u", "timestamp": "2024-01-01T10:00:00", "action": "login", "duration": 5, "feature": "x"},\n {"user_id": "v"}]')
-    got = read_events(spark, path)
+    got = read_events(spark, path, "json")
     assert got.schema.simpleString() == spark.createDataFrame([], EVENT_SCHEMA).schema.simpleString()
     assert {r.user_id: r.duration for r in got.collect()} == {"u": 5, "v": None}
+    lines = str(tmp_path / "lines")
+    got.write.json(lines)
+    assert read_events(spark, lines).count() == 2
     csv = str(tmp_path / "csv")
     got.write.csv(csv, header=True)
     assert read_events(spark, csv, "csv").count() == 2

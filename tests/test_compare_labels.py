@@ -153,6 +153,18 @@ def test_frame_diff(spark, by):
     assert compare.exact_diff(a, a.unionByName(a.limit(1))).count() == 1
 
 
+def test_frames_with_other_columns_null_keys_and_repeated_keys(spark):
+    a = spark.createDataFrame([(1, "x"), (None, "n"), (2, "y"), (2, "z")], "k int, v string")
+    b = a.withColumn("more", F.lit(1))
+    got = {(r.k, r.difference, r.columns) for r in compare.frame_diff(a, b, ["k"]).collect()}
+    assert got == {(2, "repeated_key", None), (None, "column_only_right", "more")}
+    assert {r.difference for r in compare.frame_diff(b, a, ["k"]).collect()} == {"repeated_key", "column_only_left"}
+    c = a.where("v = 'n'").withColumn("v", F.lit("m"))
+    (row,) = compare.frame_diff(a.where("v = 'n'"), c, ["k"]).collect()
+    assert (row.k, row.difference, row["columns"]) == (None, "values_differ", "v")
+    assert compare.exact_diff(a, b).count() == 8 and compare.exact_diff(a, a).count() == 0
+
+
 def test_gap_class_order(spark, by):
     v = spark.createDataFrame([(i,) for i in range(5)], "value int")
     layers = {n: v.where(F.col("value") > i) for i, n in enumerate(["source", "result", "reference", "rules"])}

@@ -108,3 +108,9 @@ def test_cascade_prefers_paths(spark):
         spark, P.platform_cascade([("path", ["抖音", "天猫"])], "label", ["抖音", "天猫"]), cases, "path string, label string"
     )
     assert got == ["抖音", "天猫", None, "天猫"]
+
+
+def test_blanks_of_every_script_are_stripped(spark):
+    df = spark.createDataFrame([("\u3000a\u3000/\u3000/ b\u2003",)], "p string")
+    row = df.select(P.segments("p").alias("s"), P.strip("p").alias("t")).first()
+    assert row.s == ["a", "b"] and row.t == "a\u3000/\u3000/ b"

@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from plumbline.operators import ordered, quality, rules
 
@@ -181,9 +182,30 @@ def test_null_path_is_other_family(projected, by):
 def test_health_findings(projected, by):
     metrics = rules.health_metrics(projected)
     assert by(metrics, "metric")["use_concat_path"]["row_count"] == 2
-    assert set(by(rules.health_findings(metrics), "check")) == {
-        "fallback_to_full_path", "update_time_filled", "full_path_std_filled", "folder_suffix",
-    }
+    assert {"fallback_to_full_path", "update_time_filled", "full_path_std_filled", "folder_suffix"} <= set(
+        by(rules.health_findings(metrics), "check")
+    )
+    assert set(by(rules.health_findings(rules.health_metrics(projected.limit(0))), "check")) == {"empty_set"}
+
+
+def test_rare_rows_are_still_findings(spark, by):
+    metrics = spark.createDataFrame(
+        [("folder_suffix", 1, 0.0, 40_000), ("video_suffix", 1, 0.0, 40_000), ("update_time_filled", 37_999, 95.0, 40_000)],
+        "metric string, row_count long, row_rate_pct double, total_rows long",
+    )
+    assert set(by(rules.health_findings(metrics), "check")) == {"folder_suffix", "video_suffix", "update_time_filled"}
+
+
+@pytest.mark.parametrize("name", ["candidate", "mandate", "runtime", "monkey", "turkey", "o_orderkey"])
+def test_words_within_names_do_not_decide_the_category(name):
+    assert quality.column_category(name, StringType()) == "dimension"
+
+
+def test_category_by_the_last_word():
+    assert [quality.column_category(n, StringType()) for n in ("id", "user_id", "row_key", "pay_date", "end_time")] == [
+        "identifier", "identifier", "identifier", "temporal", "temporal",
+    ]
+    assert quality.column_category("o_orderkey", StringType(), identifiers=("orderkey",)) == "identifier"
 
 
 def test_verdicts_and_samples(spark, projected, by):
@@ -219,17 +241,18 @@ def test_ordered_running_matches_driver(spark):
 def test_pages_agree(spark):
     df = spark.range(300).select((F.col("id") % 17).alias("v"), "id")
     order = [F.desc("v"), F.asc("id")]
-    assert ordered.page(df, order, 40, 25).collect() == ordered.page(df, order, 40, 25, deep=True).orderBy(*order).collect()
+    want = df.orderBy(*order).offset(40).limit(25).collect()
+    assert ordered.page(df, order, 40, 25).orderBy(*order).collect() == want
 
 
-@pytest.mark.parametrize("accuracy, spread", [(10, False), (1000, False), (10, True)])
-def test_exact_quantiles(spark, accuracy, spread):
+@pytest.mark.parametrize("accuracy", [10, 1000])
+def test_exact_quantiles(spark, accuracy):
     df = spark.range(2000).select(
         (F.col("id") * 7919 % 2003 / 7.0).alias("a"), (F.col("id") % 3).alias("b"), F.when(F.col("id") < 0, 1.0).alias("c")
     )
     probs = [0.0, 0.2, 0.25, 0.5, 0.75, 0.9, 1.0]
     want = df.agg(*[F.percentile(c, probs).alias(c) for c in ("a", "b")]).first()
-    got = {(r.field, r.prob): r.value for r in ordered.exact_quantiles(df, ["a", "b", "c"], probs, accuracy, spread).collect()}
+    got = {(r.field, r.prob): r.value for r in ordered.exact_quantiles(df, ["a", "b", "c"], probs, accuracy).collect()}
     for c in ("a", "b"):
         for p, w in zip(probs, want[c]):
             assert got[(c, p)] == w
