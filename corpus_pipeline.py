@@ -13,7 +13,7 @@ from plumbline.llm import language, mixing, queries, secret_scan, simhash
 from plumbline.llm.frames import settle, spare_name
 
 #: least mean probability of a text's words for its language; texts in which no language has that much go
-LEAST_SCORE = 0.35
+LEAST_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

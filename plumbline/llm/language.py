@@ -37,7 +37,9 @@ DOCS_PER_LABEL, WORDS_PER_DOC, MOST_LABELS, LEXICON_COUNT, PASSES, DECAY = 400,
 #: words, padding included, that the sums run over at once
 CELLS = 1 << 18
 #: words a worker remembers, besides those of one batch
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 400_000
+#: new words whose features are worked out at once
+AT_ONCE = 4000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -90,15 +92,16 @@ class Model:
             self.forget()
         self.rows.fresh = []
         at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-        if self.rows.fresh:
-            slots = [features(w, self.lexicon) for w in self.rows.fresh]
+        fresh = self.rows.fresh
+        start, need = len(self.rows) - len(fresh), len(self.rows)
+        if need > len(self.known):
+            self.known = np.concatenate([self.known, np.empty((max(need, 10_000), len(self.labels)), np.float32)])
+        for lo in range(0, len(fresh), AT_ONCE):
+            slots = [features(w, self.lexicon) for w in fresh[lo : lo + AT_ONCE]]
             sizes = np.array([len(s) for s in slots])
             flat = np.array([x for s in slots for x in s])
             made = np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0) * (8 / sizes)[:, None] + self.bias
-            start, need = len(self.rows) - len(slots), len(self.rows)
-            if need > len(self.known):
-                self.known = np.concatenate([self.known, np.empty((max(need, 10_000), len(self.labels)), np.float32)])
-            self.known[start:need] = made
+            self.known[start + lo : start + lo + len(slots)] = made
         return self.known[at]
 
 
