@@ -187,7 +187,7 @@ def downstream_paths(edges: DataFrame, bases: DataFrame) -> DataFrame:
 
 
 def base_columns(column_edges: DataFrame, statements: DataFrame, bases: DataFrame) -> DataFrame:
-    """Base columns behind every column edge, with path and producing statements.
+    """Base columns behind every column edge, with path and producing statements (and the edge's file, if it has one).
 
     All acyclic ways from a column up to base tables are followed, one join per
     level. A (table, column) already on the way is not visited again.
@@ -206,7 +206,7 @@ def base_columns(column_edges: DataFrame, statements: DataFrame, bases: DataFram
             normalize_column("source_column").alias("_column"),
         )
     )
-    fields = ["statement_id", "target_table", "target_column", "target_kind", "expression_sql"]
+    fields = ["statement_id", *[c for c in ("file_path",) if c in column_edges.columns], "target_table", "target_column", "target_kind", "expression_sql"]
     is_base = cut(bases.select(F.col("table_name").alias("table"), F.lit(True).alias("_base")))
     frontier = column_edges.where(ok).select(
         *fields,
@@ -320,8 +320,17 @@ def related_tables(edges: DataFrame, reached: DataFrame) -> DataFrame:
     return up.unionByName(down).unionByName(reach).distinct()
 
 
-def table_index(tables: DataFrame, related: DataFrame) -> DataFrame:
-    """Layer and number of direct and transitive neighbours of every table."""
+def table_index(
+    tables: DataFrame,
+    related: DataFrame,
+    bases: DataFrame | None = None,
+    produced: DataFrame | None = None,
+    metadata: DataFrame | None = None,
+) -> DataFrame:
+    """Layer, comment and number of direct and transitive neighbours of every table.
+
+    With base and produced tables also its role, with merged metadata its number of columns.
+    """
     counts = related.groupBy("table_name").agg(
         *[
             count_if(F.col("relation") == r).alias(f"{r}_count")
@@ -329,7 +338,12 @@ def table_index(tables: DataFrame, related: DataFrame) -> DataFrame:
         ]
     )
     out = tables.select("table_name").distinct().join(counts, "table_name", "left").na.fill(0)
-    return out.withColumn("table_layer", table_layer("table_name"))
+    if bases is not None and produced is not None:
+        out = lineage_role(out, bases, produced)
+    if metadata is not None:
+        columns = metadata.groupBy("table_name").agg(F.count(F.lit(1)).alias("column_count"))
+        out = out.join(columns, "table_name", "left").na.fill(0, ["column_count"])
+    return out.withColumns({"table_layer": table_layer("table_name"), "table_comment": table_comment("table_name")})
 
 
 def relation_lists(related: DataFrame) -> DataFrame:
@@ -365,9 +379,7 @@ def field_index(dictionary_rows: DataFrame, column_edges: DataFrame, resolved: D
 
 def base_table_summary(bases: DataFrame, related: DataFrame, metadata: DataFrame) -> DataFrame:
     """Base tables with layer, columns, direct and transitive downstream counts."""
-    counted = table_index(bases, related).drop("direct_upstream_count")
-    columns = metadata.groupBy("table_name").agg(F.count(F.lit(1)).alias("column_count"))
-    return counted.join(columns, "table_name", "left").na.fill(0, ["column_count"])
+    return table_index(bases, related, metadata=metadata).drop("direct_upstream_count", "table_comment")
 
 
 def assessment(frames: dict[str, tuple[str, DataFrame]]) -> DataFrame:

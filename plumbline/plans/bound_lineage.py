@@ -85,7 +85,7 @@ def lineage_paths(spark, d):
     return lineage.downstream_paths(edges, bases)
 
 
-COLUMN_SQL = """ce AS (SELECT statement_id, target_table, concat('Key_', CASE WHEN target_table LIKE 'ads%' THEN 'o' ELSE 'x' END) AS target_column, source_table,
+COLUMN_SQL = """ce AS (SELECT statement_id, file_path, target_table, concat('Key_', CASE WHEN target_table LIKE 'ads%' THEN 'o' ELSE 'x' END) AS target_column, source_table,
     CASE WHEN source_table LIKE 'dws%' AND statement_id LIKE '%7' THEN NULL ELSE 'key_x' END AS source_column,
     CASE WHEN source_table LIKE 'dws%' AND statement_id LIKE '%7' THEN 'constant' ELSE 'ok' END AS lineage_status, target_kind, 'key' AS expression_sql FROM edge)"""
 
@@ -94,6 +94,7 @@ def column_edges(edges):
     constant = F.col("source_table").like("dws%") & F.col("statement_id").like("%7")
     return edges.select(
         "statement_id",
+        "file_path",
         "target_table",
         F.concat(F.lit("Key_"), F.when(F.col("target_table").like("ads%"), "o").otherwise("x")).alias("target_column"),
         "source_table",
@@ -104,12 +105,12 @@ def column_edges(edges):
     )
 
 
-RESOLVED_SQL = """way AS (SELECT ce.statement_id, target_table, target_column, target_kind, expression_sql, source_table AS node, concat(source_table, '.', source_column) AS path,
+RESOLVED_SQL = """way AS (SELECT ce.statement_id, ce.file_path, target_table, target_column, target_kind, expression_sql, source_table AS node, concat(source_table, '.', source_column) AS path,
     '' AS chain FROM ce WHERE lineage_status = 'ok'
-    UNION ALL SELECT w.statement_id, w.target_table, w.target_column, w.target_kind, w.expression_sql, n.source_table, concat(n.source_table, '.', n.source_column, ' -> ', w.path),
+    UNION ALL SELECT w.statement_id, w.file_path, w.target_table, w.target_column, w.target_kind, w.expression_sql, n.source_table, concat(n.source_table, '.', n.source_column, ' -> ', w.path),
       concat(n.statement_id, CASE WHEN w.chain = '' THEN '' ELSE ' -> ' END, w.chain)
     FROM way w JOIN ce n ON n.target_table = w.node AND lower(n.target_column) = 'key_x' AND n.source_column IS NOT NULL),
-  resolved AS (SELECT DISTINCT statement_id, target_table, target_column, target_kind, expression_sql, node AS base_table, 'key_x' AS base_column, path, chain AS producer_chain
+  resolved AS (SELECT DISTINCT statement_id, file_path, target_table, target_column, target_kind, expression_sql, node AS base_table, 'key_x' AS base_column, path, chain AS producer_chain
     FROM way WHERE node IN (SELECT table_name FROM base))"""
 
 
@@ -119,50 +120,6 @@ def lineage_columns(spark, d):
     return lineage.base_columns(column_edges(edges), st, bases)
 
 
-TABLES_SQL = "tb AS (SELECT DISTINCT table_name FROM (SELECT source_table AS table_name FROM edge UNION ALL SELECT target_table FROM edge))"
-
-
-def all_tables(edges):
-    names = edges.select(F.col("source_table").alias("table_name")).unionByName(
-        edges.select(F.col("target_table").alias("table_name"))
-    )
-    return names.distinct()
-
-
-@register(
-    "catalog_index",
-    f"""{BASE}, {TABLES_SQL}, up AS (SELECT target_table AS table_name, count(DISTINCT source_table) AS n FROM edge GROUP BY 1),
-    dn AS (SELECT source_table AS table_name, count(DISTINCT target_table) AS n FROM edge GROUP BY 1), al AS (SELECT base_table AS table_name, count(DISTINCT node) AS n FROM walk GROUP BY 1)
-    SELECT table_name, coalesce(up.n, 0) AS direct_upstream_count, coalesce(dn.n, 0) AS direct_downstream_count, coalesce(al.n, 0) AS all_downstream_count, '未识别层级' AS table_layer
-    FROM tb LEFT JOIN up USING (table_name) LEFT JOIN dn USING (table_name) LEFT JOIN al USING (table_name)""",
-)
-def catalog_index(spark, d):
-    _, edges, _, bases = parts(spark, d)
-    related = lineage.related_tables(edges, lineage.downstream_tables(edges, bases))
-    return lineage.table_index(all_tables(edges), related)
-
-
-@register(
-    "related_tables",
-    f"""{BASE} SELECT DISTINCT target_table AS table_name, 'direct_upstream' AS relation, source_table AS related_table FROM edge
-    UNION ALL SELECT DISTINCT source_table, 'direct_downstream', target_table FROM edge UNION ALL SELECT DISTINCT base_table, 'all_downstream', node FROM walk""",
-)
-def related_tables(spark, d):
-    _, edges, _, bases = parts(spark, d)
-    return lineage.related_tables(edges, lineage.downstream_tables(edges, bases))
-
-
-@register(
-    "relation_lists",
-    f"""{BASE}, r AS (SELECT DISTINCT target_table AS table_name, 'direct_upstream' AS relation, source_table AS related_table FROM edge
-      UNION ALL SELECT DISTINCT source_table, 'direct_downstream', target_table FROM edge UNION ALL SELECT DISTINCT base_table, 'all_downstream', node FROM walk)
-    SELECT table_name, relation, string_agg(related_table, ', ' ORDER BY related_table) AS tables, count(*) AS table_count FROM r GROUP BY 1, 2""",
-)
-def relation_lists(spark, d):
-    _, edges, _, bases = parts(spark, d)
-    return lineage.relation_lists(lineage.related_tables(edges, lineage.downstream_tables(edges, bases)))
-
-
 #: column metadata from three sources, derived from orders, customer and supplier
 METADATA_SQL = """
   SELECT concat('ODS.`T', o_custkey % 200, '`') AS table_name, concat('Col_', o_orderkey % 9, CASE o_orderkey % 4 WHEN 0 THEN '_id' WHEN 1 THEN '_time' WHEN 2 THEN '_amt' ELSE '_path' END) AS column_name,
@@ -210,6 +167,52 @@ MERGED_SQL = f"""md AS (SELECT lower(replace(table_name, '`', '')) AS table_name
     coalesce(cm.comment_source, 'inferred') AS column_comment_source FROM ky LEFT JOIN ty USING (table_name, column_name) LEFT JOIN cm USING (table_name, column_name))"""
 
 
+TABLES_SQL = "tb AS (SELECT DISTINCT table_name FROM (SELECT source_table AS table_name FROM edge UNION ALL SELECT target_table FROM edge))"
+
+
+def all_tables(edges):
+    names = edges.select(F.col("source_table").alias("table_name")).unionByName(
+        edges.select(F.col("target_table").alias("table_name"))
+    )
+    return names.distinct()
+
+
+@register(
+    "catalog_index",
+    f"""{BASE}, {TABLES_SQL}, {MERGED_SQL}, up AS (SELECT target_table AS table_name, count(DISTINCT source_table) AS n FROM edge GROUP BY 1),
+    dn AS (SELECT source_table AS table_name, count(DISTINCT target_table) AS n FROM edge GROUP BY 1), al AS (SELECT base_table AS table_name, count(DISTINCT node) AS n FROM walk GROUP BY 1)
+    SELECT table_name, coalesce(up.n, 0) AS direct_upstream_count, coalesce(dn.n, 0) AS direct_downstream_count, coalesce(al.n, 0) AS all_downstream_count, '未识别层级' AS table_layer, concat('未识别层级表，名称推断自 `', table_name, '`。') AS table_comment,
+      CASE WHEN table_name IN (SELECT table_name FROM base) THEN 'base_table' WHEN table_name IN (SELECT table_name FROM made) THEN 'produced_local'
+        WHEN table_name LIKE 'virtual.%' THEN 'virtual' ELSE 'external_reference' END AS lineage_role, (SELECT count(*) FROM mm WHERE mm.table_name = tb.table_name) AS column_count
+    FROM tb LEFT JOIN up USING (table_name) LEFT JOIN dn USING (table_name) LEFT JOIN al USING (table_name)""",
+)
+def catalog_index(spark, d):
+    _, edges, made, bases = parts(spark, d)
+    related = lineage.related_tables(edges, lineage.downstream_tables(edges, bases))
+    return lineage.table_index(all_tables(edges), related, bases, made, lineage.merge_metadata(metadata(Tables(spark, d))))
+
+
+@register(
+    "related_tables",
+    f"""{BASE} SELECT DISTINCT target_table AS table_name, 'direct_upstream' AS relation, source_table AS related_table FROM edge
+    UNION ALL SELECT DISTINCT source_table, 'direct_downstream', target_table FROM edge UNION ALL SELECT DISTINCT base_table, 'all_downstream', node FROM walk""",
+)
+def related_tables(spark, d):
+    _, edges, _, bases = parts(spark, d)
+    return lineage.related_tables(edges, lineage.downstream_tables(edges, bases))
+
+
+@register(
+    "relation_lists",
+    f"""{BASE}, r AS (SELECT DISTINCT target_table AS table_name, 'direct_upstream' AS relation, source_table AS related_table FROM edge
+      UNION ALL SELECT DISTINCT source_table, 'direct_downstream', target_table FROM edge UNION ALL SELECT DISTINCT base_table, 'all_downstream', node FROM walk)
+    SELECT table_name, relation, string_agg(related_table, ', ' ORDER BY related_table) AS tables, count(*) AS table_count FROM r GROUP BY 1, 2""",
+)
+def relation_lists(spark, d):
+    _, edges, _, bases = parts(spark, d)
+    return lineage.relation_lists(lineage.related_tables(edges, lineage.downstream_tables(edges, bases)))
+
+
 @register("metadata_merge", f"WITH {MERGED_SQL} SELECT * FROM mm")
 def metadata_merge(spark, d):
     return lineage.merge_metadata(metadata(Tables(spark, d)))
