@@ -48,8 +48,12 @@ def backlink_check(child: DataFrame, parent: DataFrame, keys: list[str], name: s
 def backlink_samples(
     child: DataFrame, parent: DataFrame, keys: list[str], order: list[Column], n: int = 20
 ) -> DataFrame:
-    """First child rows without a parent."""
-    return _known_keys(child, keys).join(parent.select(*keys), keys, "left_anti").orderBy(*order).limit(n)
+    """First child rows without a parent.
+
+    No key gives more than n of them, so every task passes on n rows of a key at most.
+    """
+    first = take_per_group(_known_keys(child, keys), keys, order, n)
+    return first.join(parent.select(*keys), keys, "left_anti").orderBy(*order).limit(n)
 
 
 def duplicate_expansion(
@@ -432,7 +436,7 @@ def default_value_summary(
     out = joined.groupBy(_cause(mapped, default).alias("root_cause")).agg(
         F.sum("n").alias("row_cnt"), F.count(F.lit(1)).alias("entity_cnt")
     )
-    total = rows.agg(F.count(F.lit(1))).scalar()
+    total = out.agg(F.sum("row_cnt")).scalar()
     return out.withColumn("row_share_pct", percent(F.col("row_cnt"), total, 4))
 
 

@@ -381,6 +381,7 @@ def anchor_lookup(
     found in the anchor layer are looked up in the downstream layers (frame, id
     column, name column, search columns); without ids the file names are used,
     without names the keyword itself. All anchors are used, none are cut off.
+    Rows without an id or name take no part in the joins.
     """
     found = {name: df.where(contains_any(list(cols), keyword)) for name, (df, cols) in sources.items()}
     hits = found[anchor]
@@ -389,17 +390,10 @@ def anchor_lookup(
     has_ids = ids.agg(F.count(F.lit(1)) > 0).scalar()
     has_names = names.agg(F.count(F.lit(1)) > 0).scalar()
     for name, (df, id_col, name_col, search) in downstream.items():
-        joined = df.join(
-            ids.withColumn("_by_id", F.lit(True)), F.col(id_col).cast("string") == F.col("_id"), "left"
-        ).join(
-            names.withColumn("_by_name", F.lit(True)), F.col(name_col).cast("string") == F.col("_name"), "left"
-        )
-        match = (
-            F.when(has_ids, F.col("_by_id").isNotNull())
-            .when(has_names, F.col("_by_name").isNotNull())
-            .otherwise(contains_any(list(search), keyword))
-        )
-        found[name] = joined.where(match).select(*df.columns)
+        by_id = df.join(ids, F.col(id_col).cast("string") == F.col("_id"), "left_semi")
+        by_name = df.where(~has_ids).join(names, F.col(name_col).cast("string") == F.col("_name"), "left_semi")
+        by_text = df.where(~has_ids & ~has_names).where(contains_any(list(search), keyword))
+        found[name] = by_id.unionByName(by_name).unionByName(by_text)
     return found
 
 

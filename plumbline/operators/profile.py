@@ -68,7 +68,7 @@ def top_distribution(
 ) -> DataFrame:
     """Values with rows, share and cumulative share; ``n=None`` keeps every value."""
     counts = value_counts(df, blank_to_label(column, label))
-    return shares(counts, "field_value", "row_count", df.agg(F.count(F.lit(1))), n)
+    return shares(counts, "field_value", "row_count", counts.agg(F.sum("row_count")), n)
 
 
 def distribution_with_measures(
@@ -97,7 +97,7 @@ def distribution_with_measures(
         F.count(F.when(F.col("paid"), F.col("_entity"))).alias("paid_cnt"),
         F.round(F.sum("amount"), 2).alias("amount_sum"),
     )
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = counts.agg(F.sum("row_count")).scalar()
     top = counts.orderBy(F.desc("row_count"), F.asc("field_value")).limit(n)
     return top.withColumn("row_ratio", ratio(F.col("row_count"), total))
 
@@ -140,8 +140,7 @@ def attribute_clusters(
     counts = per_entity.groupBy(cluster_label(parts).alias("cluster_label")).agg(
         F.count(F.lit(1)).alias("entity_count")
     )
-    total = per_entity.agg(F.count(F.lit(1)))
-    return shares(counts, "cluster_label", "entity_count", total, n)
+    return shares(counts, "cluster_label", "entity_count", counts.agg(F.sum("entity_count")), n)
 
 
 def row_clusters(
@@ -150,7 +149,7 @@ def row_clusters(
     """Rows per combination of attributes ``{name in the label: column}``."""
     parts = {name: blank_to_label(c, label) for name, c in attributes.items()}
     counts = value_counts(df, cluster_label(parts), "cluster_label")
-    return shares(counts, "cluster_label", "row_count", df.agg(F.count(F.lit(1))), n)
+    return shares(counts, "cluster_label", "row_count", counts.agg(F.sum("row_count")), n)
 
 
 def group_count(df: DataFrame, value: Column) -> DataFrame:
