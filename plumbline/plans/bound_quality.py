@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import contains_any, is_blank, keyword_flag, orientation, published_flag
 from plumbline.functions.fixed import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, VIDEO_SUFFIX_CHECK
-from plumbline.operators import ordered, quality, rules
+from plumbline.operators import compare, ordered, quality, rules
+from plumbline.plans import quality_run
 from plumbline.plans.bound_mapping import BASE_SQL, detail
 from plumbline.plans.registry import (
     EVENTS, EVENTS_SQL, FILES, Tables, big, derive, derive_sql, events_frame, filled, pct, register,
@@ -662,3 +663,50 @@ def confidence_cap(spark, d):
 )
 def structure_findings(spark, d):
     return quality.structure_findings(dirty(Tables(spark, d)))
+
+
+#: orders as a bridge to customers, some of which are absent
+BRIDGE = {"order_key": "o_orderkey", "cust": "CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE CAST(o_custkey AS STRING) END", "status": "o_orderstatus"}
+BRIDGE_PARENT = {"cust": "CAST(c_custkey AS STRING)"}
+
+
+def verdict_sql(check: str, bad: str, total: str, bucket: str, detail: str, sample: str, frame: str) -> str:
+    return f"""SELECT '{check}' AS "check", 'bridge' AS scope, CASE WHEN {bad} > 0 THEN 'high' ELSE 'low' END AS severity,
+      CASE WHEN {bad} > 0 THEN 'fail' ELSE 'pass' END AS status, {big(bad)} AS row_count, {pct(bad, total, 4)} AS row_rate_pct,
+      '{bucket}' AS bucket, '{detail}' AS detail, {sample} AS sample FROM {frame}"""
+
+
+def column_sql(name: str, known: bool) -> str:
+    return f"""SELECT 'column {name}', 'bridge', '{'low' if known else 'critical'}', '{'pass' if known else 'fail'}', NULL, NULL,
+      {'NULL' if known else "'bridge_key_missing'"}, '', ''"""
+
+
+@register(
+    "bridge_findings",
+    f"""WITH b AS ({derive_sql('orders', BRIDGE)}), p AS ({derive_sql('customer', BRIDGE_PARENT)} WHERE c_custkey % 5 <> 0),
+    u AS (SELECT sum(n) AS total, sum(n) - count(*) AS bad FROM (SELECT count(*) AS n FROM b GROUP BY coalesce(cust, ''), coalesce(status, ''))),
+    k AS (SELECT count(*) AS total, count(*) FILTER (WHERE NOT {filled('cust')}) AS cust, count(*) FILTER (WHERE NOT {filled('status')}) AS status FROM b),
+    o AS (SELECT order_key FROM b WHERE {filled('cust')} AND cust NOT IN (SELECT cust FROM p)),
+    x AS (SELECT count(*) AS bad, (SELECT count(*) FROM b) AS total FROM o)
+    """
+    + rows_sql(
+        [
+            verdict_sql("key uniqueness", "bad", "total", "wrong_grain", "(cust, status)", "''", "u"),
+            verdict_sql("coverage of cust", "cust", "total", "bridge_key_missing", "", "''", "k"),
+            verdict_sql("coverage of status", "status", "total", "bridge_key_missing", "", "''", "k"),
+            verdict_sql(
+                "customer link", "bad", "total", "bridge_key_missing", "",
+                "(SELECT coalesce(string_agg(s, '|' ORDER BY s), '') FROM (SELECT concat('{\"order_key\":', order_key, '}') AS s FROM o ORDER BY order_key LIMIT 3))", "x",
+            ),
+            column_sql("cust", True), column_sql("status", True), column_sql("sku", False),
+        ]
+    ),
+)
+def bridge_findings(spark, d):
+    t = Tables(spark, d)
+    bridge = derive(t.orders, BRIDGE)
+    parent = derive(t.customer.where("c_custkey % 5 <> 0"), BRIDGE_PARENT)
+    found = quality_run.bridge_findings(bridge, ["cust", "status"], {"customer link": (parent, ["cust"])}, ["cust", "status", "sku"])
+    first = compare.backlink_samples(bridge, parent, ["cust"], [F.asc("order_key")], 3)
+    samples = first.select(F.lit("customer link").alias("code"), "order_key")
+    return rules.with_samples(found, samples).withColumn("sample", F.array_join("sample", "|"))
