@@ -8,6 +8,9 @@ source_column, lineage_status, target_kind, expression_sql``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.columns import col, count_if, non_blank
@@ -121,23 +124,42 @@ def base_tables(edges: DataFrame, produced: DataFrame) -> DataFrame:
     return sources.join(produced.select("table_name"), "table_name", "left_anti")
 
 
+#: rounds after which the tables of a closure's rounds are joined into one
+COMPACT = 8
+
+
+def closure(start: DataFrame, step_from: Callable[[DataFrame], DataFrame], key: list[str]) -> DataFrame:
+    """All rows reached from the first ones, each key once: rounds of steps until nothing is new.
+
+    A round is one write; now and then the rounds so far are joined into one
+    table, so that a long chain does not read ever more of them.
+    """
+    rounds, step = [], start
+    while True:
+        if rounds:
+            step = step.join(reduce(DataFrame.unionByName, rounds).select(*key), key, "left_anti")
+        new = cut(step)
+        if new.isEmpty():
+            return reduce(DataFrame.unionByName, rounds) if rounds else new
+        rounds.append(new)
+        if len(rounds) > COMPACT:
+            rounds = [cut(reduce(DataFrame.unionByName, rounds))]
+        step = step_from(new)
+
+
 def downstream_tables(edges: DataFrame, bases: DataFrame) -> DataFrame:
     """(base_table, downstream_table): every table reached from each base table, once, without the ways there.
 
     Breadth first; the set of known pairs ends the rounds, also in cycles.
-    Each round is one join with the edges and one write.
     """
     links = cut(edges.select("source_table", "target_table").distinct())
-    frontier = bases.select(F.col("table_name").alias("base_table"), F.col("table_name").alias("node"))
-    known = None
-    while True:
-        step = frontier.join(links, F.col("node") == F.col("source_table")).select("base_table", F.col("target_table").alias("node")).distinct()
-        frontier = cut(step if known is None else step.join(known, ["base_table", "node"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        known = frontier if known is None else known.unionByName(frontier)
-    found = frontier if known is None else known
-    return found.select("base_table", F.col("node").alias("downstream_table"))
+
+    def below(rows: DataFrame) -> DataFrame:
+        linked = rows.join(links, F.col("node") == F.col("source_table"))
+        return linked.select("base_table", F.col("target_table").alias("node")).distinct()
+
+    first = below(bases.select(F.col("table_name").alias("base_table"), F.col("table_name").alias("node")))
+    return closure(first, below, ["base_table", "node"]).select("base_table", F.col("node").alias("downstream_table"))
 
 
 def downstream_paths(edges: DataFrame, bases: DataFrame) -> DataFrame:
@@ -186,26 +208,53 @@ def downstream_paths(edges: DataFrame, bases: DataFrame) -> DataFrame:
 # --- columns -----------------------------------------------------------------
 
 
+def column_steps(column_edges: DataFrame, statements: DataFrame) -> DataFrame:
+    """One step up from a column, within statements that hold a query: at, _by, _table, _next, _column."""
+    queried = statements.where("has_query").select("statement_id").distinct()
+    rows = column_edges.where(non_blank("source_table") & non_blank("source_column"))
+    return rows.join(queried, "statement_id", "left_semi").select(
+        F.concat_ws(".", "target_table", normalize_column("target_column")).alias("at"),
+        F.col("statement_id").alias("_by"),
+        F.col("source_table").alias("_table"),
+        F.concat_ws(".", "source_table", normalize_column("source_column")).alias("_next"),
+        normalize_column("source_column").alias("_column"),
+    )
+
+
+def base_sources(column_edges: DataFrame, statements: DataFrame, bases: DataFrame) -> DataFrame:
+    """(target_table, target_column, base_table, base_column): the base columns behind every column, each once.
+
+    Every (column, column above it) pair is followed once, however many ways
+    lead there; ``base_columns`` lists the ways themselves.
+    """
+    start = ["target_table", "target_column"]
+    ok = (F.col("lineage_status") == "ok") & non_blank("source_table") & non_blank("source_column")
+    steps = cut(column_steps(column_edges, statements).select("at", "_table", "_next", "_column").distinct())
+    column = normalize_column("source_column")
+    first = column_edges.where(ok).select(
+        *start, F.col("source_table").alias("table"), column.alias("column"), F.concat_ws(".", "source_table", column).alias("at")
+    ).distinct()
+    base_names = cut(bases.select("table_name"))
+    at_base = F.col("table") == F.col("table_name")
+
+    def above(rows: DataFrame) -> DataFrame:
+        linked = rows.join(base_names, at_base, "left_anti").select(*start, "at").join(steps, "at")
+        return linked.select(
+            *start, F.col("_table").alias("table"), F.col("_column").alias("column"), F.col("_next").alias("at")
+        ).distinct()
+
+    found = closure(first, above, [*start, "at"]).join(base_names, at_base, "left_semi")
+    return found.select(*start, F.col("table").alias("base_table"), F.col("column").alias("base_column"))
+
+
 def base_columns(column_edges: DataFrame, statements: DataFrame, bases: DataFrame) -> DataFrame:
     """Base columns behind every column edge, with path and producing statements (and the edge's file, if it has one).
 
     All acyclic ways from a column up to base tables are followed, one join per
     level. A (table, column) already on the way is not visited again.
     """
-    queried = statements.where("has_query").select("statement_id").distinct()
     ok = (F.col("lineage_status") == "ok") & non_blank("source_table") & non_blank("source_column")
-    steps = column_edges.where(non_blank("source_table") & non_blank("source_column")).join(
-        queried, "statement_id", "left_semi"
-    )
-    steps = cut(
-        steps.select(
-            F.concat_ws(".", "target_table", normalize_column("target_column")).alias("at"),
-            F.col("statement_id").alias("_by"),
-            F.col("source_table").alias("_table"),
-            F.concat_ws(".", "source_table", normalize_column("source_column")).alias("_next"),
-            normalize_column("source_column").alias("_column"),
-        )
-    )
+    steps = cut(column_steps(column_edges, statements))
     fields = ["statement_id", *[c for c in ("file_path",) if c in column_edges.columns], "target_table", "target_column", "target_kind", "expression_sql"]
     is_base = cut(bases.select(F.col("table_name").alias("table"), F.lit(True).alias("_base")))
     frontier = column_edges.where(ok).select(

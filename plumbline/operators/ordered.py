@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -20,8 +21,16 @@ from pyspark.sql.types import (
 
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """Folder for intermediate tables: the one the cluster names for checkpoints, if any."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """Folder for intermediate tables: the one the cluster names for checkpoints, if any.
+
+    A local session without that setting, as in tests, gets one of its own.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None and sc.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="plumbline-")
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,7 +38,8 @@ def cut(df: DataFrame) -> DataFrame:
 
     The plan starts anew from the files, so it stays short over many rounds,
     its rows are fixed, and a lost executor never means starting from the top.
-    A session without that folder keeps the frame in Spark's own storage.
+    A cluster without that folder keeps the frame in Spark's own storage; its
+    plan then grows with the rounds.
     """
     folder = shared_folder(df.sparkSession)
     if folder is None:

@@ -249,7 +249,7 @@ def field_index(spark, d):
     fields = ce.select(F.col("target_table").alias("table_name"), F.col("target_column").alias("column_name")).unionByName(
         ce.where("source_column is not null").select(F.col("source_table").alias("table_name"), F.col("source_column").alias("column_name"))
     )
-    return lineage.field_index(fields.distinct(), ce, lineage.base_columns(ce, st, bases))
+    return lineage.field_index(fields.distinct(), ce, lineage.base_sources(ce, st, bases))
 
 
 @register(

@@ -244,6 +244,15 @@ def test_layered_diamonds_end(spark):
     assert lineage.downstream_tables(edges, spark.createDataFrame([("db.a0x",)], "table_name string")).count() == 60
 
 
+def test_base_columns_of_layered_diamonds_without_their_ways(spark):
+    pairs = [(f"s{i}", f"db.a{i + 1}{y}", "k", f"db.a{i}{x}", "k", "ok") for i in range(30) for x in "xy" for y in "xy"]
+    ce = spark.createDataFrame(pairs, "statement_id string, target_table string, target_column string, source_table string, source_column string, lineage_status string")
+    st = ce.select("statement_id", F.lit(True).alias("has_query")).distinct()
+    bases = spark.createDataFrame([("db.a0x",), ("db.a0y",)], "table_name string")
+    found = lineage.base_sources(ce, st, bases)
+    assert found.count() == 120 and found.where("target_table = 'db.a30x'").count() == 2
+
+
 def test_salts_come_from_all_columns_and_rows_without_key_are_spread(spark):
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
