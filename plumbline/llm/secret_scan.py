@@ -1,7 +1,11 @@
 """Secrets in whole texts: fixed patterns, and strings that a battery of randomness tests takes for random.
 
 A candidate is a maximal run of the characters of an encoding. Its encoding is
-the smallest alphabet that fits it. Three tests ask whether its symbols are
+the smallest alphabet that fits it; strings of digits or of letters alone have
+alphabets of their own. A run with one of / + - _ is also cut into its longest
+pieces without - and _, without + and /, and without any of them, so that a key
+behind a path or a prefix is tested by itself; a run that mixes + or / with - or
+_ has no alphabet, only pieces. Pieces may overlap. Three tests ask whether its symbols are
 drawn evenly from that alphabet: a chi-squared test of their frequencies, a
 runs test around the middle of the alphabet, and the correlation of
 neighbouring symbols. What ordinary text is like comes from the corpus itself:
@@ -36,11 +40,15 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: encodings from the smallest alphabet to the largest
 ALPHABETS = {
+    "digits": "0123456789",
     "hex": "0123456789abcdef",
     "upper_hex": "0123456789ABCDEF",
+    "lower26": "abcdefghijklmnopqrstuvwxyz",
+    "upper26": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "lower36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "upper36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "letters52": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
@@ -48,8 +56,11 @@ ALPHABETS = {
 ENCODINGS = list(ALPHABETS)
 #: shortest candidate that the tests say anything about
 SHORTEST = 20
-CANDIDATE = re.compile(r"(?<![^\W_])[A-Za-z0-9+/_-]{20,}={0,2}(?![^\W_])")
-MIXED = re.compile(r"(?=.*\d)(?=.*[A-Za-z])", re.S)
+#: only ASCII letters and digits border a run: a key may stand in unspaced text of any script
+CANDIDATE = re.compile(r"(?<![^\W_])[A-Za-z0-9+/_-]{20,}={0,2}(?![^\W_])", re.A)
+#: a run of / + - _ alone is ruling, which no encoding gives
+SYMBOL = re.compile(r"[A-Za-z0-9]")
+PIECES = [re.compile(p) for p in (r"[A-Za-z0-9+/]{20,}", r"[A-Za-z0-9_-]{20,}", r"[A-Za-z0-9]{20,}")]
 #: a true random string fails one of the two tests of order this seldom
 ORDER_LEVEL = 1e-4
 #: share of false discoveries among all strings that are reported
@@ -128,18 +139,28 @@ def evidence(chi: float, n: int, shares: np.ndarray) -> float:
     return min(GRID_TOP / GRID * 10.0, z * z / 2 / math.log(10))
 
 
+def pieces(body: str) -> list[tuple[int, int]]:
+    """(start, end) of the strings of a run that are tested: the run itself and its pieces, each once."""
+    spans = {(0, len(body)): None}
+    if not body.isalnum():
+        spans |= {m.span(): None for p in PIECES for m in p.finditer(body)}
+    return list(spans)
+
+
 def candidates(text: str, shares: dict[str, np.ndarray]) -> list[tuple[int, int, str, float]]:
     """(start, end, encoding, evidence) of each candidate; no evidence if its order is not random."""
     out = []
     for m in CANDIDATE.finditer(text):
         body = m[0].rstrip("=")
-        if not MIXED.match(body):
-            continue
-        name = encoding_of(body)
-        if name is not None:
-            chi, runs_p, serial_p = measures(body, ALPHABETS[name])
-            ordered = min(runs_p, serial_p) < ORDER_LEVEL
-            out.append((m.start(), m.end(), name, 0.0 if ordered else evidence(chi, len(body), shares[name])))
+        for start, end in pieces(body):
+            piece = body[start:end]
+            name = encoding_of(piece)
+            if name is not None and SYMBOL.search(piece):
+                chi, runs_p, serial_p = measures(piece, ALPHABETS[name])
+                ordered = min(runs_p, serial_p) < ORDER_LEVEL
+                # padding belongs to the piece before it
+                stop = m.end() if end == len(body) else m.start() + end
+                out.append((m.start() + start, stop, name, 0.0 if ordered else evidence(chi, len(piece), shares[name])))
     return out
 
 

@@ -140,6 +140,28 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert hits >= 0.9 * len(wanted) and false <= 0.02 * len(texts)
 
 
+def test_keys_in_mixed_runs_unspaced_text_and_one_class(spark):
+    draw = random.Random(3)
+    words = (ENGLISH + " " + GERMAN).split()
+    frames = ["https://x.com/my-app/{}", "sk_live+v-{}", "密钥是{}。", "é{}ß", "{}", "-" * 40 + " {}"]
+    alphabets = ["base62", "base62", "base62", "base64url", "letters52", "base62"]
+    rows = []
+    for i in range(240):
+        key = random_string(draw, alphabets[i % 6], 64)
+        rows.append((i, " ".join([*draw.choices(words, k=20), frames[i % 6].format(key), *draw.choices(words, k=20)]), key))
+    rows += [(1000 + i, " ".join(draw.choices(words, k=40)) + " a-b/long_path/of-many+words/in_one-run/without_a-key", None) for i in range(240)]
+    found = secret_scan.find_secrets(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"))
+    clean = {r.doc_id: r.text for r in secret_scan.redact(found).collect()}
+    for kind in range(6):
+        gone = [key not in clean[i] and "[SECRET]" in clean[i] for i, _, key in rows if key and i % 6 == kind]
+        assert sum(gone) >= 0.9 * len(gone), frames[kind]
+    assert sum(clean[i] != t for i, t, key in rows if not key) <= 2
+    key = random_string(draw, "base62", 32)
+    shares = {name: np.full(len(a), 1 / len(a)) for name, a in secret_scan.ALPHABETS.items()}
+    run = f"com/my-app/{key}"
+    assert (11, 43) in [c[:2] for c in secret_scan.candidates(run, shares)] and secret_scan.candidates("-_/" * 20, shares) == []
+
+
 def test_secrets_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "é password=abcdef1 AKIA" + "Z9" * 9 + " " + "0a" * 15), (3, "token: 12345"), (4, "secret=" + "ab12" * 50_000), (None, "api_key='k-9876543'")]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, base string, candidates string")
