@@ -1,7 +1,9 @@
 """Language of words and texts with a linear-chain conditional random field.
 
-A word is a run of letters. Its features are its beginnings and ends, its
-letter n-grams and, where the training words often have it, the word itself.
+A word is a run of letters; a run of more than ``LONG_WORD``, as in unspaced
+script, is cut into consecutive words of that length. A word's features are its
+beginnings and ends, its letter n-grams and, where the training words often have
+it, the word itself.
 The score of a label is a sum of learned weights; learned transitions join the
 labels of neighbouring words. Forward and backward sums give each word's
 probabilities, in texts of one language and in texts that switch. The language
@@ -24,16 +26,16 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, St
 from plumbline.llm.frames import over_texts
 
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
 #: longest beginning and end of a word, and longest n-gram, that are features
 AFFIX, GRAM = 4, 3
-#: words longer than this give features of their first and last letters only
+#: letters of a word at most; a longer run is several words
 LONG_WORD = 64
+WORD = re.compile(rf"[^\W\d_]{{1,{LONG_WORD}}}")
 #: slots of the hashed weights
 SLOTS = 1 << 17
-#: training: labelled documents in expectation for each label, words of each (a stretch at a hashed place),
+#: training: labelled documents in expectation for each label, words and letters of each (a stretch at a hashed place),
 #: labels, least count of a lexicon word, passes, and pull towards zero
-DOCS_PER_LABEL, WORDS_PER_DOC, MOST_LABELS, LEXICON_COUNT, PASSES, DECAY = 400, 128, 256, 5, 30, 1e-3
+DOCS_PER_LABEL, WORDS_PER_DOC, LETTERS_PER_DOC, MOST_LABELS, LEXICON_COUNT, PASSES, DECAY = 400, 128, 2048, 256, 5, 30, 1e-3
 #: words, padding included, that the sums run over at once
 CELLS = 1 << 18
 #: words a worker remembers, besides those of one batch
@@ -43,14 +45,12 @@ AT_ONCE = 4000
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case runs of letters of a whole text."""
+    """Lower-case runs of letters of a whole text, long ones in pieces."""
     return [w for w in WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
 
 
 def features(word: str, lexicon: frozenset[str]) -> list[int]:
     """Slots of a word's affix, n-gram and lexicon features."""
-    if len(word) > LONG_WORD:
-        word = word[: LONG_WORD // 2] + word[-LONG_WORD // 2 :]
     names = [f"<{word[:n]}" for n in range(1, min(AFFIX, len(word)) + 1)]
     names += [f"{word[-n:]}>" for n in range(1, min(AFFIX, len(word)) + 1)]
     names += [word[i : i + n] for n in range(1, GRAM + 1) for i in range(len(word) - n + 1)]
@@ -165,9 +165,9 @@ def fit(texts: list[str], langs: list[str], passes: int = PASSES) -> Model:
     lengths = np.array([len(w) for w in each])
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in each for w in ws))}
     word = np.array([vocabulary[w] for ws in each for w in ws])
-    slots = [features(w, lexicon) for w in vocabulary]
+    slots = [np.array(features(w, lexicon), np.int32) for w in vocabulary]
     sizes = np.array([len(s) for s in slots])
-    flat, bounds = np.array([x for s in slots for x in s]), np.cumsum(sizes) - sizes
+    flat, bounds = np.concatenate(slots).astype(np.int64), np.cumsum(sizes) - sizes
     of_word = np.repeat(np.arange(len(slots)), sizes)
     share = (8 / sizes)[:, None]
     truth = np.zeros((len(word), k))
@@ -180,8 +180,8 @@ def fit(texts: list[str], langs: list[str], passes: int = PASSES) -> Model:
         pairs = np.zeros((k, k))
         wrong = marginals(own[word], lengths, model.transitions, pairs) - truth
         by_word = np.stack([np.bincount(word, wrong[:, j], len(slots)) for j in range(k)], axis=1)
-        lifted = (by_word * share)[of_word]
-        slope = np.stack([np.bincount(flat, lifted[:, j], SLOTS) for j in range(k)], axis=1) / len(word)
+        by_word *= share
+        slope = np.stack([np.bincount(flat, by_word[of_word, j], SLOTS) for j in range(k)], axis=1) / len(word)
         slopes = (
             slope + DECAY * model.weights / SLOTS,
             wrong.sum(0) / len(word),
@@ -195,12 +195,19 @@ def fit(texts: list[str], langs: list[str], passes: int = PASSES) -> Model:
 
 
 def stretch(words: list[str]) -> list[str]:
-    """The part of a long training text that is used, at a place that a checksum picks."""
-    spare = len(words) - WORDS_PER_DOC
+    """The part of a long training text that is used, at a place that a checksum picks.
+
+    In unspaced script, where words are long, it has fewer of them.
+    """
+    most = WORDS_PER_DOC
+    letters = sum(map(len, words))
+    if letters > LETTERS_PER_DOC:
+        most = min(most, max(1, LETTERS_PER_DOC * len(words) // letters))
+    spare = len(words) - most
     if spare <= 0:
         return words
     at = zlib.crc32(" ".join(words[:8]).encode()) % (spare + 1)
-    return words[at : at + WORDS_PER_DOC]
+    return words[at : at + most]
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", docs_per_label: int = DOCS_PER_LABEL) -> Model:
@@ -272,7 +279,10 @@ def identify(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_
 
 
 def label_words(df: DataFrame, model: Model, text: str = "text", words: str = "words", keep: list[str] | None = None) -> DataFrame:
-    """Add (word, lang, probability) of every word, for texts that switch languages."""
+    """Add (word, lang, probability) of every word, for texts that switch languages.
+
+    A run of more than ``LONG_WORD`` letters is several words in a row.
+    """
     kind = ArrayType(StructType([StructField("word", StringType()), StructField("lang", StringType()), StructField("probability", DoubleType())]))
     sent = df.sparkSession.sparkContext.broadcast(model)
 

@@ -63,6 +63,26 @@ def test_languages_of_held_out_and_switching_texts(spark):
     assert [w.lang for w in first.words] == ["en"] * len(ENGLISH.split()) + ["de"] * len(GERMAN.split()) and second.words == []
 
 
+def test_long_runs_of_letters_are_read_whole(spark):
+    chinese, japanese = "我们的城市里有很多人在讨论这个问题并且希望尽快解决它", "わたしたちのまちではおおくのひとがこのもんだいについてはなしあっています"
+    draw = random.Random(5)
+
+    def run(letters, n):
+        return "".join(draw.choices(letters, k=n))
+
+    rows = [(run(a, draw.choice([30, 300, 3000])), lang) for _ in range(40) for a, lang in ((chinese, "zh"), (japanese, "ja"))]
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"))
+    # all but the ends of the text is in the other language
+    text = run(japanese, 40) + run(chinese, 10_000) + run(japanese, 40)
+    df = spark.createDataFrame([(text,), (run(chinese, 640) + run(japanese, 640),)], "text string")
+    first, second = language.label_words(df, model).collect()
+    assert "".join(w.word for w in first.words) == text and max(len(w.word) for w in first.words) == language.LONG_WORD
+    assert [w.lang for w in second.words] == ["zh"] * 10 + ["ja"] * 10
+    assert language.identify(df, model).first().lang_pred == "zh"
+    assert sum(map(len, language.stretch(language.words_of(text)))) <= language.LETTERS_PER_DOC
+    assert len(language.stretch(["word"] * 1000)) == language.WORDS_PER_DOC
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([("some words", None), (None, "en")], "text string, lang string")
     model = language.train(df)
