@@ -20,10 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from plumbline.llm.frames import over_texts
+from plumbline.llm.frames import left_lookup, over_texts, settle
 
 UNKNOWN = "und"
 #: longest beginning and end of a word, and longest n-gram, that are features
@@ -33,11 +33,13 @@ LONG_WORD = 64
 WORD = re.compile(rf"[^\W\d_]{{1,{LONG_WORD}}}")
 #: slots of the hashed weights
 SLOTS = 1 << 17
-#: training: labelled documents in expectation for each label, words and letters of each (a stretch at a hashed place),
-#: labels, least count of a lexicon word, passes, and pull towards zero
-DOCS_PER_LABEL, WORDS_PER_DOC, LETTERS_PER_DOC, MOST_LABELS, LEXICON_COUNT, PASSES, DECAY = 400, 128, 2048, 256, 5, 30, 1e-3
-#: words, padding included, that the sums run over at once
-CELLS = 1 << 18
+#: training: labelled documents of each label, words and letters of each (a stretch at a hashed place),
+#: least count of a lexicon word, passes, and pull towards zero
+DOCS_PER_LABEL, WORDS_PER_DOC, LETTERS_PER_DOC, LEXICON_COUNT, PASSES, DECAY = 400, 128, 2048, 5, 30, 1e-3
+#: words times labels in training, and documents of each label however many labels there are
+TRAINING_CELLS, LEAST_DOCS, MOST_LABELS = 1 << 24, 4, 256
+#: words times labels, padding included, that the sums run over at once
+CELLS = 1 << 20
 #: words a worker remembers, besides those of one batch
 CACHE_ENTRIES = 400_000
 #: new words whose features are worked out at once
@@ -120,7 +122,7 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
     at = 0
     while at < len(order):
         longest = int(lengths[order[at]])
-        some = order[at : at + max(1, CELLS // longest)]
+        some = order[at : at + max(1, CELLS // (longest * k))]
         at += len(some)
         size, first = lengths[some], starts[some]
         live = [int((size > t).sum()) for t in range(longest)]
@@ -144,8 +146,8 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
             if t:
                 into = local[t, :n] * back[:n]
                 if pairs is not None:
-                    joint = ahead[t - 1, :n, :, None] * move * into[:, None, :]
-                    pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+                    before = ahead[t - 1, :n]
+                    pairs += move * ((before / ((before @ move) * into).sum(1, keepdims=True)).T @ into)
                 b = into @ move.T
                 back[:n] = b / b.sum(1, keepdims=True)
     return out
@@ -170,15 +172,15 @@ def fit(texts: list[str], langs: list[str], passes: int = PASSES) -> Model:
     flat, bounds = np.concatenate(slots).astype(np.int64), np.cumsum(sizes) - sizes
     of_word = np.repeat(np.arange(len(slots)), sizes)
     share = (8 / sizes)[:, None]
-    truth = np.zeros((len(word), k))
-    truth[np.arange(len(word)), np.repeat(wanted, lengths)] = 1
+    truth = np.arange(len(word)), np.repeat(wanted, lengths)
     seen_pairs = np.zeros((k, k))
     np.add.at(seen_pairs, (wanted, wanted), np.maximum(lengths - 1, 0))
     moments = [(np.zeros_like(p, np.float64), np.zeros_like(p, np.float64)) for p in (model.weights, model.bias, model.transitions)]
     for n in range(1, passes + 1):
-        own = np.add.reduceat(model.weights[flat], bounds, axis=0) * share + model.bias
+        own = np.stack([np.add.reduceat(model.weights[:, j][flat], bounds) for j in range(k)], axis=1) * share + model.bias
         pairs = np.zeros((k, k))
-        wrong = marginals(own[word], lengths, model.transitions, pairs) - truth
+        wrong = marginals(own[word], lengths, model.transitions, pairs)
+        wrong[truth] -= 1
         by_word = np.stack([np.bincount(word, wrong[:, j], len(slots)) for j in range(k)], axis=1)
         by_word *= share
         slope = np.stack([np.bincount(flat, by_word[of_word, j], SLOTS) for j in range(k)], axis=1) / len(word)
@@ -210,25 +212,44 @@ def stretch(words: list[str]) -> list[str]:
     return words[at : at + most]
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", docs_per_label: int = DOCS_PER_LABEL) -> Model:
-    """Fit on a bounded sample of the labelled rows of a frame, in one task of the cluster.
+def docs_for(labels: int, docs_per_label: int) -> int:
+    """Training documents of each label: the sums of all words and labels stay within TRAINING_CELLS, but for LEAST_DOCS."""
+    return max(min(docs_per_label, LEAST_DOCS), min(docs_per_label, TRAINING_CELLS // (WORDS_PER_DOC * labels**2)))
+
+
+def training_rows(df: DataFrame, text: str = "text", lang: str = "lang", docs_per_label: int = DOCS_PER_LABEL) -> DataFrame | None:
+    """(text, lang) of a bounded sample that has every label; None without labelled rows.
 
-    For each of the ``MOST_LABELS`` most frequent labels, rows are picked by a
-    hash of their text so that about ``docs_per_label`` come together, and at
-    most four times that. Rows without text or label are left out.
+    For each label, different texts are picked by a hash of them, at most
+    ``docs_per_label`` and of many labels fewer, but ``LEAST_DOCS`` where there
+    are so many. Copies of a text count once. Rows without text or label are
+    left out.
     """
     rows = df.select(df[f"`{text}`"].cast("string").alias("text"), df[f"`{lang}`"].cast("string").alias("lang")).where(
         "lang is not null and length(text) > 0"
     )
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()}
-    empty = Model([], np.zeros((1, 0), np.float32), np.zeros(0, np.float32), np.zeros((0, 0), np.float32), frozenset())
-    if not sizes:
-        return empty
+    # numbers of different texts, nearly
+    sizes = settle(rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("texts")).orderBy(F.desc("texts"), "lang").limit(MOST_LABELS))
+    labels = sizes.count()
+    if not labels:
+        return None
+    most = docs_for(labels, docs_per_label)
     fine = 1 << 30
-    share = F.create_map(*[x for lg, n in sizes.items() for x in (F.lit(lg), F.lit(int(min(1.0, docs_per_label / n) * fine)))])
+    # so many in expectation that hardly a label has fewer than it may
+    share = F.least(F.lit(1.0), (2 * most + 30) / F.greatest("texts", F.lit(1)))
     place = F.pmod(F.xxhash64("text"), F.lit(fine))
-    picked = rows.where(F.col("lang").isin(*sizes)).where(place < share[F.col("lang")])
-    picked = picked.orderBy(F.xxhash64("text"), "lang").limit(4 * docs_per_label * len(sizes))
+    near = left_lookup(rows, sizes, ["lang"]).where(place < share * fine).select("text", "lang").distinct()
+    turn = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    picked = near.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= most).select("text", "lang")
+    return picked.orderBy(F.xxhash64("text"), "lang", "text").limit(most * labels)
+
+
+def train(df: DataFrame, text: str = "text", lang: str = "lang", docs_per_label: int = DOCS_PER_LABEL) -> Model:
+    """Fit on a bounded sample of the labelled rows of a frame, in one task of the cluster."""
+    empty = Model([], np.zeros((1, 0), np.float32), np.zeros(0, np.float32), np.zeros((0, 0), np.float32), frozenset())
+    picked = training_rows(df, text, lang, docs_per_label)
+    if picked is None:
+        return empty
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, langs = [], []

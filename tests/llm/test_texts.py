@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from plumbline.llm import chat, language, mixing, secret_scan
 
@@ -83,6 +84,18 @@ def test_long_runs_of_letters_are_read_whole(spark):
     assert len(language.stretch(["word"] * 1000)) == language.WORDS_PER_DOC
 
 
+def test_copies_do_not_push_out_other_labels(spark):
+    # a text that is picked of 3,000 rows, its copies before all other rows
+    tried = spark.range(3000).selectExpr("concat('the people of town number ', id) as text")
+    first = tried.where("pmod(xxhash64(text), 1 << 30) < (1 << 30) * 0.02").orderBy(F.xxhash64("text")).first().text
+    german = [(t, lang) for t, lang in made_texts(60) if lang == "de"]
+    df = spark.createDataFrame([(first, "en")] * 3000 + german, "text string, lang string")
+    assert language.train(df, docs_per_label=100).labels == ["de", "en"]
+    rows = sorted(map(tuple, language.training_rows(df, docs_per_label=100).collect()))
+    assert rows == sorted({(first, "en"), *german})
+    assert language.training_rows(df, docs_per_label=5).groupBy("lang").count().where("count > 5").count() == 0
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([("some words", None), (None, "en")], "text string, lang string")
     model = language.train(df)
