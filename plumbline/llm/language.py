@@ -37,7 +37,7 @@ SLOTS = 1 << 17
 #: least count of a lexicon word, passes, and pull towards zero
 DOCS_PER_LABEL, WORDS_PER_DOC, LETTERS_PER_DOC, LEXICON_COUNT, PASSES, DECAY = 400, 128, 2048, 5, 30, 1e-3
 #: words times labels in training, and documents of each label however many labels there are
-TRAINING_CELLS, LEAST_DOCS, MOST_LABELS = 1 << 24, 4, 256
+TRAINING_CELLS, LEAST_DOCS = 1 << 24, 4
 #: words times labels, padding included, that the sums run over at once
 CELLS = 1 << 20
 #: words a worker remembers, besides those of one batch
@@ -229,7 +229,7 @@ def training_rows(df: DataFrame, text: str = "text", lang: str = "lang", docs_pe
         "lang is not null and length(text) > 0"
     )
     # numbers of different texts, nearly
-    sizes = settle(rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("texts")).orderBy(F.desc("texts"), "lang").limit(MOST_LABELS))
+    sizes = settle(rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("texts")))
     labels = sizes.count()
     if not labels:
         return None

@@ -96,6 +96,13 @@ def test_copies_do_not_push_out_other_labels(spark):
     assert language.training_rows(df, docs_per_label=5).groupBy("lang").count().where("count > 5").count() == 0
 
 
+def test_all_labels_are_learned(spark):
+    rows = [(f"{w} {n}", f"l{n % 300}") for n in range(3000) for w in ("some", "words")]
+    sample = language.training_rows(spark.createDataFrame(rows, "text string, lang string"))
+    assert {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()} == {f"l{n}": language.LEAST_DOCS for n in range(300)}
+    assert [language.docs_for(k, 400) for k in (1, 4, 300)] == [400, 400, 4] and language.docs_for(300, 2) == 2
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([("some words", None), (None, "en")], "text string, lang string")
     model = language.train(df)
