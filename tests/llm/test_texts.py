@@ -86,7 +86,7 @@ def test_long_runs_of_letters_are_read_whole(spark):
 
 def test_copies_do_not_push_out_other_labels(spark):
     # a text that is picked of 3,000 rows, its copies before all other rows
-    tried = spark.range(3000).selectExpr("concat('the people of town number ', id) as text")
+    tried = spark.range(300_000).selectExpr("concat('the people of town number ', id) as text")
     first = tried.where("pmod(xxhash64(text), 1 << 30) < (1 << 30) * 0.02").orderBy(F.xxhash64("text")).first().text
     german = [(t, lang) for t, lang in made_texts(60) if lang == "de"]
     df = spark.createDataFrame([(first, "en")] * 3000 + german, "text string, lang string")
