@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bpe, chat, counts, fill_middle, language, mixing, records, secret_scan, simhash, topk, vector_dedup
+from plumbline.llm import bpe, chat, counts, fill_middle, language, mixing, phrases, records, secret_scan, simhash, topk, vector_dedup
 from plumbline.llm.frames import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,3 +235,40 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("output", 256).alias("output_sha256"),
         F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
     )
+
+
+OP12_SQL = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), pieces AS (
+  SELECT lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM texts
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang
+), sizes AS (SELECT lang, w, unnest(range(1, least(5, len(w)) + 1)) AS k FROM pieces),
+spans AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sizes),
+frequent AS (
+  SELECT lang, w[i:i + k - 1] AS p, count(*) AS f FROM spans GROUP BY 1, 2 HAVING count(*) >= 100
+), inside AS (SELECT lang, p, f, unnest(range(2, len(p))) AS k FROM frequent WHERE len(p) > 2),
+parts AS (SELECT lang, p, f, k, unnest(range(1, len(p) - k + 2)) AS i FROM inside),
+covering AS (SELECT lang, p[i:i + k - 1] AS p, max(f) AS longer FROM parts GROUP BY 1, 2),
+kept AS (
+  SELECT frequent.lang, frequent.p, f AS a FROM frequent LEFT JOIN covering ON frequent.lang = covering.lang AND frequent.p = covering.p
+  WHERE len(frequent.p) > 1 AND NOT coalesce(100 * longer >= 100 * f, false)
+), cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM kept),
+scored AS (
+  SELECT cuts.lang, cuts.p, a, k, x.f AS l, y.f AS r, n, (CAST(1000 AS HUGEINT) * a * n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM cuts JOIN frequent x ON x.lang = cuts.lang AND x.p = cuts.p[1:k] JOIN frequent y ON y.lang = cuts.lang AND y.p = cuts.p[k + 1:len(cuts.p)]
+  JOIN totals ON totals.lang = cuts.lang
+), lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS place FROM scored
+), ranked AS (
+  SELECT *, array_to_string(p, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(p, ' '))) AS rank
+  FROM lowest WHERE place = 1
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+
+@query("op12_phrase_collocations", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
