@@ -89,6 +89,16 @@ def spare_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns of a frame, those that hold maps as JSON text, which Spark can hash."""
+    return [F.to_json(F.struct(df[f"`{f.name}`"])) if "map<" in f.dataType.simpleString() else df[f"`{f.name}`"] for f in df.schema.fields]
+
+
+def row_mark(df: DataFrame) -> Column:
+    """Hash of all columns of a row, whatever their types."""
+    return F.xxhash64(*hashable(df))
+
+
 def left_lookup(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
     """Left join to a settled table; it is sent to every task only if it is counted to be small."""
     return rows.join(F.broadcast(few) if few.count() <= SMALL_ROWS else few, on, "left")

@@ -12,6 +12,7 @@ of a text is the label with the largest share over its words.
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -31,6 +32,7 @@ AFFIX, GRAM = 4, 3
 #: letters of a word at most; a longer run is several words
 LONG_WORD = 64
 WORD = re.compile(rf"[^\W\d_]{{1,{LONG_WORD}}}")
+LETTERS = re.compile(r"[^\W\d_]+")
 #: slots of the hashed weights
 SLOTS = 1 << 17
 #: training: labelled documents of each label, words and letters of each (a stretch at a hashed place),
@@ -40,8 +42,8 @@ DOCS_PER_LABEL, WORDS_PER_DOC, LETTERS_PER_DOC, LEXICON_COUNT, PASSES, DECAY = 4
 TRAINING_CELLS, LEAST_DOCS = 1 << 24, 4
 #: words times labels, padding included, that the sums run over at once
 CELLS = 1 << 20
-#: words a worker remembers, besides those of one batch
-CACHE_ENTRIES = 400_000
+#: words a worker remembers, besides those of one step, and these words times labels
+CACHE_ENTRIES, CACHE_CELLS = 400_000, 1 << 23
 #: new words whose features are worked out at once
 AT_ONCE = 4000
 
@@ -78,19 +80,22 @@ class Model:
     bias: np.ndarray
     transitions: np.ndarray
     lexicon: frozenset[str]
+    #: label of shuffled letters, if it was learned, and its largest mean probability for a text that is read
+    noise: str | None = None
+    noise_limit: float = 1.0
 
     def __post_init__(self):
         self.forget()
 
     def __reduce__(self):
-        return Model, (self.labels, self.weights, self.bias, self.transitions, self.lexicon)
+        return Model, (self.labels, self.weights, self.bias, self.transitions, self.lexicon, self.noise, self.noise_limit)
 
     def forget(self) -> None:
         self.rows, self.known = Rows(), np.empty((0, len(self.labels)), np.float32)
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Scores of the labels for each word."""
-        if len(self.rows) > CACHE_ENTRIES:
+        if len(self.rows) > min(CACHE_ENTRIES, CACHE_CELLS // max(1, len(self.labels))):
             self.forget()
         self.rows.fresh = []
         at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
@@ -153,6 +158,69 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
     return out
 
 
+def long_sums(model: Model, words: list[str], most: int) -> np.ndarray:
+    """Sums of the label probabilities of one long text, ``most`` words at a time.
+
+    The sums from the left are kept at the ends of the pieces only; going back,
+    each piece works out its own again.
+    """
+    move, k = np.exp(model.transitions.astype(np.float64)), len(model.labels)
+
+    def local(lo: int) -> np.ndarray:
+        e = model.scores(words[lo : lo + most]).astype(np.float64)
+        return np.exp(e - e.max(1, keepdims=True))
+
+    def ahead(own: np.ndarray, before: np.ndarray | None) -> np.ndarray:
+        out = np.empty_like(own)
+        for t in range(len(own)):
+            a = own[t] if before is None else (before @ move) * own[t]
+            out[t] = before = a / a.sum()
+        return out
+
+    starts = range(0, len(words), most)
+    entries: list[np.ndarray | None] = [None]
+    for lo in starts[:-1]:
+        entries.append(ahead(local(lo), entries[-1])[-1])
+    sums, back = np.zeros(k), np.ones(k)
+    for lo, entry in zip(reversed(starts), reversed(entries)):
+        own = local(lo)
+        left = ahead(own, entry)
+        for t in range(len(own) - 1, -1, -1):
+            p = left[t] * back
+            sums += p / p.sum()
+            b = (own[t] * back) @ move.T
+            back = b / b.sum()
+    return sums
+
+
+def label_sums(model: Model, each: list[list[str]]) -> np.ndarray:
+    """Sums of the label probabilities over the words of each text; a step holds ``CELLS`` words times labels at most."""
+    k = len(model.labels)
+    most, sums = max(1, CELLS // k), np.zeros((len(each), k))
+    lengths = np.array([len(w) for w in each], np.int64)
+    some: list[int] = []
+
+    def run() -> None:
+        n = lengths[some]
+        p = marginals(model.scores([w for i in some for w in each[i]]), n, model.transitions)
+        sums[some] = np.add.reduceat(p, np.cumsum(n) - n, axis=0)
+        some.clear()
+
+    held = 0
+    for i in np.flatnonzero(lengths).tolist():
+        if lengths[i] > most:
+            sums[i] = long_sums(model, each[i], most)
+            continue
+        if held + lengths[i] > most:
+            run()
+            held = 0
+        some.append(i)
+        held += lengths[i]
+    if some:
+        run()
+    return sums
+
+
 def fit(texts: list[str], langs: list[str], passes: int = PASSES) -> Model:
     """Train on texts with their languages; every word of a text carries its language."""
     labels = sorted(set(langs))
@@ -196,6 +264,26 @@ def fit(texts: list[str], langs: list[str], passes: int = PASSES) -> Model:
     return model
 
 
+def shuffled(text: str) -> str:
+    """The text with the letters of each word in another order, which depends on the word alone."""
+    return LETTERS.sub(lambda m: "".join(random.Random(m.group()).sample(m.group(), len(m.group()))), text)
+
+
+def noise_limit(model: Model, texts: list[str]) -> float:
+    """The share of noise halfway between what nearly all texts (99 %) stay below and nearly all of them, shuffled, reach; at least one half.
+
+    The texts are labelled ones that were not learned from.
+    """
+    at = model.labels.index(model.noise)
+
+    def shares(some: list[str]) -> list[float]:
+        each = [w for w in map(words_of, some) if w]
+        return [float(m[at]) / len(w) for m, w in zip(label_sums(model, each), each)]
+
+    read, noisy = shares(texts), shares([shuffled(t) for t in texts])
+    return max(0.5, (np.quantile(read, 0.99) + np.quantile(noisy, 0.01)) / 2) if read else 0.5
+
+
 def stretch(words: list[str]) -> list[str]:
     """The part of a long training text that is used, at a place that a checksum picks.
 
@@ -244,8 +332,15 @@ def training_rows(df: DataFrame, text: str = "text", lang: str = "lang", docs_pe
     return picked.orderBy(F.xxhash64("text"), "lang", "text").limit(most * labels)
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", docs_per_label: int = DOCS_PER_LABEL) -> Model:
-    """Fit on a bounded sample of the labelled rows of a frame, in one task of the cluster."""
+def train(
+    df: DataFrame, text: str = "text", lang: str = "lang", docs_per_label: int = DOCS_PER_LABEL, noise: str | None = None
+) -> Model:
+    """Fit on a bounded sample of the labelled rows of a frame, in one task of the cluster.
+
+    With ``noise``, a label of that name is learned besides, from the same texts
+    with shuffled letters. A fifth of the sample is then kept from learning;
+    ``noise_limit`` is the largest share of noise in it.
+    """
     empty = Model([], np.zeros((1, 0), np.float32), np.zeros(0, np.float32), np.zeros((0, 0), np.float32), frozenset())
     picked = training_rows(df, text, lang, docs_per_label)
     if picked is None:
@@ -257,26 +352,41 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", docs_per_label:
             texts += batch.column(0).to_pylist()
             langs += batch.column(1).to_pylist()
         if texts:
-            m = fit(texts, langs)
+            limit = 1.0
+            if noise is None:
+                m = fit(texts, langs)
+            else:
+                kept = [zlib.crc32(t.encode()) % 5 == 0 for t in texts]
+                learned = [i for i, k in enumerate(kept) if not k]
+                m = fit([texts[i] for i in learned] + [shuffled(texts[i]) for i in learned], [langs[i] for i in learned] + [noise] * len(learned))
+                m.noise = noise
+                if noise in m.labels:
+                    limit = noise_limit(m, [t for t, k in zip(texts, kept) if k])
             parts = [pa.array([a.tobytes()], pa.binary()) for a in (m.weights, m.bias, m.transitions)]
             listed = [pa.array([x], pa.list_(pa.string())) for x in (m.labels, sorted(m.lexicon))]
-            yield pa.RecordBatch.from_arrays([*listed, *parts], names=["labels", "lexicon", "weights", "bias", "transitions"])
+            parts.append(pa.array([limit], pa.float64()))
+            yield pa.RecordBatch.from_arrays([*listed, *parts], names=["labels", "lexicon", "weights", "bias", "transitions", "noise_limit"])
 
     got = picked.coalesce(1).mapInArrow(
-        run, "labels array<string>, lexicon array<string>, weights binary, bias binary, transitions binary"
+        run, "labels array<string>, lexicon array<string>, weights binary, bias binary, transitions binary, noise_limit double"
     ).first()
     if got is None:
         return empty
     k = len(got.labels)
     weights, bias, moves = (np.frombuffer(bytes(b), np.float32) for b in (got.weights, got.bias, got.transitions))
-    return Model(list(got.labels), weights.reshape(-1, k), bias, moves.reshape(k, k), frozenset(got.lexicon))
+    return Model(list(got.labels), weights.reshape(-1, k), bias, moves.reshape(k, k), frozenset(got.lexicon), noise, got.noise_limit)
 
 
-def identify(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score", keep: list[str] | None = None) -> DataFrame:
+def identify(
+    df: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score", keep: list[str] | None = None, noise: str | None = None
+) -> DataFrame:
     """Add the language of every whole text and its mean probability over the text's words.
 
     ``und`` with score 0 for null texts, texts without a letter, and a model
-    without labels. Other columns stay (or those in ``keep``).
+    without labels. With ``noise``, a column of that name gets the mean
+    probability of the model's noise label, which is never a text's language.
+    Other columns stay (or those in ``keep``). Memory is bounded by words times
+    labels of a step, however long a text is and however many labels there are.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
 
@@ -284,19 +394,27 @@ def identify(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_
         own = sent.value
         each = [words_of(t) if own.labels else [] for t in texts]
         lengths = np.array([len(w) for w in each], np.int64)
-        langs, sure = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        if lengths.sum():
-            p = marginals(own.scores([w for ws in each for w in ws]), lengths, own.transitions)
-            full = np.flatnonzero(lengths)
-            means = np.add.reduceat(p, (np.cumsum(lengths) - lengths)[full], axis=0) / lengths[full, None]
-            means = means.round(6)
+        langs, sure, noisy = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        full = np.flatnonzero(lengths)
+        if len(full):
+            means = (label_sums(own, each)[full] / lengths[full, None]).round(6).clip(0, 1)
+            if own.noise in own.labels:
+                noisy[full] = means[:, own.labels.index(own.noise)]
+                means[:, own.labels.index(own.noise)] = -1
             best = means.argmax(1)
             for i, b in zip(full.tolist(), best.tolist()):
                 langs[i] = own.labels[b]
-            sure[full] = means[np.arange(len(full)), best].clip(0, 1)
-        return [pa.array(langs, pa.string()), pa.array(sure, pa.float64())]
+            sure[full] = means[np.arange(len(full)), best]
+        out = [pa.array(langs, pa.string()), pa.array(sure, pa.float64())]
+        return out if noise is None else [*out, pa.array(noisy, pa.float64())]
+
+    added = [StructField(lang, StringType()), StructField(score, DoubleType())]
+    return over_texts(df, text, run, added if noise is None else [*added, StructField(noise, DoubleType())], keep)
+
 
-    return over_texts(df, text, run, [StructField(lang, StringType()), StructField(score, DoubleType())], keep)
+def has_letter(text: str) -> Column:
+    """Whether a text has a letter; false for null."""
+    return F.coalesce(F.regexp_like(F.col(f"`{text}`"), F.lit(r"\p{L}")), F.lit(False))
 
 
 def label_words(df: DataFrame, model: Model, text: str = "text", words: str = "words", keep: list[str] | None = None) -> DataFrame:

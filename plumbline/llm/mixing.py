@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm.frames import SMALL_ROWS, settle, spare_name, whole_groups
+from plumbline.llm.frames import SMALL_ROWS, row_mark, settle, spare_name, whole_groups
 
 #: weights of the sources in the order of their names, again from the first
 WEIGHTS = (3, 1, 2)
@@ -183,11 +183,12 @@ def mix(
     """Row marks and decisions: doc_id, mark, size, source_size, target, copies, taken.
 
     One row for each different row of the frame; ``mark`` is a hash of all its
-    columns and ``rows`` says how often it occurs. Equal rows are one unit with
-    their joint size: they are taken alike. A null text has size 0; null is a
-    source of its own. ``copies`` is how often each row is taken, ``taken`` the
-    words of that. The same table gives the same mix, however it is stored.
-    The sizes of the sources, one row for each, are brought to the driver.
+    columns and ``rows`` says how often it occurs. ``copies`` is how often these
+    equal rows are taken together, ``taken`` the words of that; of n equal rows,
+    the whole part of n times the chance is taken once more outright, and only
+    the rest is drawn, as one row. A null text has size 0; null is a source of
+    its own. The same table gives the same mix, however it is stored. The sizes
+    of the sources, one row for each, are brought to the driver.
     """
     spark = df.sparkSession
     units = settle(
@@ -203,29 +204,44 @@ def mix(
         listed.append((key, name, sizes[name], target, int(rate), rate - int(rate)))
     sources = few(spark, listed, "key int, name string, source_size long, target double, whole int, chance double")
     placed = units.join(sources, units.source.eqNullSafe(sources.name))
+    expected = F.col("rows") * F.col("chance")
+    placed = placed.withColumn("outright", F.floor(expected)).withColumn("chance", expected - F.floor(expected))
     extra = draw(
-        placed.where("chance > 0").select(
-            "key", F.col("doc_id").alias("id"), F.col("mark").alias("place"), (F.col("size") * F.col("rows")).alias("size"), "chance"
-        ),
-        seed,
+        placed.where("chance > 0").select("key", F.col("doc_id").alias("id"), F.col("mark").alias("place"), "size", "chance"), seed
     ).withColumnsRenamed({"id": "extra_id", "place": "extra_mark"}).drop("key")
     both = placed.join(extra, (placed.mark == extra.extra_mark) & placed.doc_id.eqNullSafe(extra.extra_id), "left")
-    copies = F.col("whole") + F.coalesce("extra", F.lit(0))
-    return both.select(
-        "doc_id", "mark", "rows", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken")
-    )
+    copies = (F.col("rows") * F.col("whole") + F.col("outright") + F.coalesce("extra", F.lit(0))).cast("long")
+    return both.select("doc_id", "mark", "rows", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
-def row_mark(df: DataFrame) -> Column:
-    """Hash of all columns of a row."""
-    return F.xxhash64(*[df[f"`{c}`"] for c in df.columns])
+def by_row(mixed: DataFrame) -> DataFrame:
+    """A mix with a line for each row of the table: of equal rows, the first take one copy more than the others where needed."""
+    n = F.col("rows")
+    each = mixed.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), n)))
+    own = F.floor(F.col("copies") / n) + (F.col("turn") <= F.col("copies") % n).cast("long")
+    return each.withColumns({"copies": own, "taken": F.col("size") * own}).drop("turn", "rows")
 
 
 def mixed_rows(df: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of the frame, each as often as the mix takes it."""
-    mark = spare_name(df, "mark")
+    """The rows of the frame, each as often as the mix takes it; equal rows, of any column types, stand for each other."""
+    mark, spare = spare_name(df, "mark"), spare_name(df, "n")
     marked = df.withColumn(mark, row_mark(df))
-    wanted = mixed.where("copies > 0").select(F.col("doc_id").alias(f"{mark}_id"), F.col("mark").alias(f"{mark}_wanted"), F.col("copies").alias(f"{mark}_copies"))
+    wanted = settle(
+        mixed.where("copies > 0").select(
+            F.col("doc_id").alias(f"{mark}_id"), F.col("mark").alias(f"{mark}_wanted"), F.col("copies").alias(f"{mark}_copies"), F.col("rows").alias(f"{mark}_rows")
+        )
+    )
     kept = marked.join(wanted, (marked[mark] == wanted[f"{mark}_wanted"]) & marked[doc_id].cast("long").eqNullSafe(wanted[f"{mark}_id"]))
-    again = kept.withColumn(f"{mark}_n", F.explode(F.sequence(F.lit(1), F.col(f"{mark}_copies"))))
-    return again.select(*[F.col(f"`{c}`") for c in df.columns])
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    taken = kept.where(F.col(f"{mark}_rows") == 1).select(*columns, F.col(f"{mark}_copies").alias(spare))
+    if not wanted.where(F.col(f"{mark}_rows") > 1).isEmpty():
+        # one of equal rows stands for all; tasks merge them before the shuffle
+        several = (
+            kept.where(F.col(f"{mark}_rows") > 1)
+            .groupBy(f"{mark}_id", mark)
+            .agg(F.any_value(F.struct(*columns)).alias("row"), F.first(f"{mark}_copies").alias(spare))
+            .select("row.*", spare)
+        )
+        taken = taken.unionByName(several)
+    again = taken.withColumn(mark, F.explode(F.sequence(F.lit(1).cast("long"), F.col(spare))))
+    return again.select(*columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bpe, chat, counts, fill_middle, language, mixing, phrases, records, secret_scan, simhash, topk, vector_dedup
+from plumbline.llm import bpe, chat, counts, fill_middle, language, lm, mixing, phrases, records, secret_scan, simhash, topk, vector_dedup
 from plumbline.llm.frames import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,9 +100,9 @@ def held_out() -> Column:
     return F.coalesce(language.fold("doc_id") == 0, F.lit(False))
 
 
-def language_model(docs: DataFrame) -> language.Model:
+def language_model(docs: DataFrame, noise: str | None = None) -> language.Model:
     """Trained on the documents outside the held-out fold; those without an id are in no fold."""
-    return language.train(docs.where(language.fold("doc_id") != 0).select("text", "lang"))
+    return language.train(docs.where(language.fold("doc_id") != 0).select("text", "lang"), noise=noise)
 
 
 @query("op2_language_id")
@@ -115,9 +115,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_source_mix")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
-    # a row for each row of the table, equal ones included
-    each = mixed.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return each.select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.by_row(mixed).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP5_SQL = r"""
@@ -272,3 +270,12 @@ SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranke
 @query("op12_phrase_collocations", OP12_SQL)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"))
+
+
+@query("op11_lm_scores")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 10
+    model = lm.train(docs.where(remainder != 0).select("text"))
+    rows = docs.select("doc_id", "text", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"))
+    return lm.score(rows, model, keep=["doc_id", "held_out"])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from plumbline.llm.frames import over_texts, settle
+from plumbline.llm.frames import over_texts, settle, spare_name
 
 #: fixed patterns; letters of the first in either case
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -190,8 +190,10 @@ def symbol_shares(df: DataFrame, text: str = "text") -> dict[str, np.ndarray]:
     return out
 
 
-def scan(df: DataFrame, shares: dict[str, np.ndarray], text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add ``base`` and ``candidates``, arrays of structs with start and end in code points, from one pass over whole texts."""
+def scan(
+    df: DataFrame, shares: dict[str, np.ndarray], text: str = "text", keep: list[str] | None = None, base_name: str = "base", candidates_name: str = "candidates"
+) -> DataFrame:
+    """Add ``base`` and ``candidates`` (or names given), arrays of structs with start and end in code points, from one pass over whole texts."""
     place = [StructField("start", IntegerType()), StructField("end", IntegerType())]
     base = ArrayType(StructType([*place, StructField("kind", StringType())]))
     tested = ArrayType(StructType([*place, StructField("encoding", StringType()), StructField("evidence", DoubleType())]))
@@ -210,7 +212,7 @@ def scan(df: DataFrame, shares: dict[str, np.ndarray], text: str = "text", keep:
             listed([candidates(t, shares) for t in texts], at | {"encoding": pa.string(), "evidence": pa.float64()}),
         ]
 
-    return over_texts(df, text, run, [StructField("base", base), StructField("candidates", tested)], keep)
+    return over_texts(df, text, run, [StructField(base_name, base), StructField(candidates_name, tested)], keep)
 
 
 def least_evidence(steps: dict[int, int], total: int, rate: float) -> float:
@@ -226,37 +228,40 @@ def least_evidence(steps: dict[int, int], total: int, rate: float) -> float:
     return limit
 
 
-def find_secrets(df: DataFrame, text: str = "text", rate: float = FALSE_DISCOVERIES, keep: list[str] | None = None) -> DataFrame:
-    """Add ``spans``: an array of structs (start, end, kind), by start, then kind as listed, then end.
+def find_secrets(
+    df: DataFrame, text: str = "text", rate: float = FALSE_DISCOVERIES, keep: list[str] | None = None, spans: str = "spans"
+) -> DataFrame:
+    """Add ``spans`` (or a name given): an array of structs (start, end, kind), by start, then kind as listed, then end.
 
     Matches of the fixed patterns always stay. Kind ``random`` is added for
     candidates that the tests take for random and that touch no fixed match.
     Null and empty texts have no spans; an empty table gives an empty result.
-    Other columns stay (or those in ``keep``), but for those named base,
-    candidates or spans. Two passes read the texts: one counts symbols, one
+    Other columns stay (or those in ``keep``), but for one with the name of the
+    new one. Two passes read the texts: one counts symbols, one
     scans and is settled, so that the corpus-wide limit needs no third.
     """
-    scanned = settle(scan(df, symbol_shares(df, text), text, keep))
-    each = scanned.select(F.explode("candidates.evidence").alias("evidence"))
+    base, candidates = spare_name(df, "base"), spare_name(df, "candidates")
+    scanned = settle(scan(df, symbol_shares(df, text), text, keep, base, candidates))
+    each = scanned.select(F.explode(f"{candidates}.evidence").alias("evidence"))
     steps = each.groupBy(F.least(F.floor(F.col("evidence") * GRID), F.lit(GRID_TOP)).alias("step")).count().collect()
     numbers = {int(r["step"]): r["count"] for r in steps}
     limit = least_evidence(numbers, sum(numbers.values()), rate)
     random = F.filter(
-        "candidates",
+        candidates,
         lambda c: (F.floor(c["evidence"] * GRID) >= F.lit(limit * GRID))
-        & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
+        & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
     )
     known = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     keyed = F.concat(
-        F.transform("base", lambda b: F.struct(b["start"].alias("start"), known[b["kind"]].alias("rank"), b["end"].alias("end"))),
+        F.transform(base, lambda b: F.struct(b["start"].alias("start"), known[b["kind"]].alias("rank"), b["end"].alias("end"))),
         F.transform(random, lambda c: F.struct(c["start"].alias("start"), F.lit(KINDS.index("random")).alias("rank"), c["end"].alias("end"))),
     )
     names = F.array(*map(F.lit, KINDS))
-    spans = F.transform(
+    listed = F.transform(
         F.array_sort(keyed),
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(names, s["rank"]).alias("kind")),
     )
-    return scanned.withColumn("spans", spans).drop("base", "candidates")
+    return scanned.withColumn(spans, listed).drop(base, candidates)
 
 
 def redact(df: DataFrame, text: str = "text", spans: str = "spans", mark: str = "[SECRET]") -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField
 
-from plumbline.llm.frames import components, over_texts, settle, spanning_edges, spare_name, whole_groups, with_splits
+from plumbline.llm.frames import components, hashable, over_texts, row_mark, settle, spanning_edges, spare_name, whole_groups, with_splits
 
 #: seed of the shingles' hash, words of a shingle, and the most bits in which linked fingerprints differ
 SEED, SHINGLE, THRESHOLD = 42, 3, 3
@@ -179,11 +179,11 @@ def one_of_each(
 ) -> DataFrame:
     """The rows of the frame, one of each component: that of the smallest id (null last), of equal ids the one whose hash is least.
 
-    Of rows equal in all columns one is kept. Texts without words are one
+    Of rows equal in all columns, of any types, one is kept. Texts without words are one
     component, as their fingerprints are equal.
     """
     mark = spare_name(df, "mark")
-    marked = df.withColumn(mark, F.xxhash64(*[df[f"`{c}`"] for c in df.columns]))
+    marked = df.withColumn(mark, row_mark(df))
     given = marked.select(marked[f"`{doc_id}`"].alias("doc_id"), marked[mark].alias("mark"), marked[f"`{text}`"].alias("text"))
     rows = settle(fingerprints(given, "text", "fingerprint", ["doc_id", "mark"], shingle, seed))
     roots = component_ids(rows, threshold).select("fingerprint", "root")
@@ -194,5 +194,12 @@ def one_of_each(
     kept = settle(kept)
     found = marked.join(kept, (marked[mark] == kept["mark"]) & marked[doc_id].eqNullSafe(kept["doc_id"]), "left_semi").drop(mark)
     again = rows.join(kept.withColumnsRenamed({"doc_id": "kept_id", "mark": "kept_mark"}), (F.col("mark") == F.col("kept_mark")) & F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    repeated = again.groupBy("doc_id", "mark").count().where("count > 1")
-    return found if repeated.isEmpty() else found.dropDuplicates()
+    repeated = settle(again.groupBy("doc_id", "mark").count().where("count > 1").select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark")))
+    if repeated.isEmpty():
+        return found
+    # one of equal rows; tasks merge them before the shuffle
+    again = F.xxhash64(*hashable(found))
+    same = found.join(repeated, (again == F.col("kept_mark")) & found[doc_id].eqNullSafe(F.col("kept_id")), "left")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    one = same.where("kept_mark is not null").groupBy("kept_id", "kept_mark").agg(F.any_value(F.struct(*columns)).alias("row")).select("row.*")
+    return same.where("kept_mark is null").select(*columns).unionByName(one)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: the blanks that part words; bytes.split() knows just these six
 BLANKS = b" \t\n\x0b\x0c\r"
 #: different words a task holds before it passes their counts on
-HELD_WORDS = 400_000
+HELD_WORDS = 200_000
 
 
 def byte_table(changes: dict[bytes, bytes] | None = None) -> bytes:

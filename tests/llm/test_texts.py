@@ -267,12 +267,79 @@ def test_mix(spark, monkeypatch, block):
     goal = mixing.targets(sizes)
     by_target = {}
     for r in got:
-        assert r.taken == r.size * r.copies <= 2 * r.size
+        assert r.taken == r.size * r.copies <= 2 * r.size * r.rows
         key = (r.source_size, r.target)
-        by_target[key] = by_target.get(key, 0) + r.taken * r.rows
+        by_target[key] = by_target.get(key, 0) + r.taken
     for s in sizes:
         slack = 4000 if s == "big" else 30
         assert abs(by_target[sizes[s], goal[s]] - goal[s]) <= slack, s
     out = mixing.mixed_rows(df, mixed)
-    assert out.columns == df.columns and out.count() == sum(r.copies * r.rows for r in got)
+    assert out.columns == df.columns and out.count() == sum(r.copies for r in got)
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_rows(df.limit(0), mixing.mix(df.limit(0))).count() == 0
+
+
+def test_targets_hold_with_equal_rows_and_any_columns(spark):
+    """A third of a source, and of another nearly all, are equal rows; they share the copies."""
+    draw = random.Random(5)
+    rows = [(7, "same text of six words here", "a")] * 1000 + [(i, "w " * draw.randint(1, 9), "a") for i in range(10, 2010)]
+    rows += [(3, "t u v", "b")] * 900 + [(9000 + i, "x", "b") for i in range(50)] + [(9100 + i, "y " * 40, "c") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    df = df.withColumns({"base": F.create_map(F.lit("k"), F.col("doc_id")), "mark": F.array(F.create_map(F.lit(1), F.lit("v"))), "n": F.lit(1)})
+    mixed = mixing.mix(df).collect()
+    taken, goal = {}, {}
+    for r in mixed:
+        taken[r.source_size] = taken.get(r.source_size, 0) + r.taken
+        goal[r.source_size] = r.target
+    assert len(goal) == 3 and all(abs(taken[s] - goal[s]) <= 0.01 * goal[s] for s in goal)
+    each = mixing.by_row(mixing.mix(df)).collect()
+    assert len(each) == len(rows) and sum(r.taken for r in each) == sum(taken.values())
+    assert all(r.taken == r.size * r.copies <= 2 * r.size for r in each)
+    same = [r.copies for r in each if r.doc_id == 7]
+    assert len(same) == 1000 and max(same) - min(same) <= 1
+    out = mixing.mixed_rows(df, mixing.mix(df))
+    assert out.dtypes == df.dtypes
+    number = {}
+    for r in out.collect():
+        number[r.doc_id] = number.get(r.doc_id, 0) + 1
+    assert number[7] == sum(same) and sum(number.values()) == sum(r.copies for r in mixed)
+
+
+def test_columns_of_any_name_and_type_stay(spark):
+    df = spark.createDataFrame([(1, "password = hunter22 and more"), (2, None)], "doc_id long, text string").withColumns(
+        {"base": F.lit("b"), "candidates": F.create_map(F.lit(1), F.lit(2)), "spans": F.lit("mine"), "_base": F.lit(0)}
+    )
+    got = secret_scan.find_secrets(df, spans="found")
+    assert got.columns == [*df.columns, "found"]
+    row = {r.doc_id: r for r in got.collect()}
+    assert row[1].spans == "mine" and row[1].base == "b" and row[1].candidates == {1: 2} and [s.kind for s in row[1].found] == ["assign"]
+    assert secret_scan.redact(got, spans="found").where("doc_id = 1").first().text == "[SECRET] and more"
+
+
+def test_long_texts_and_many_labels_in_small_steps(spark, monkeypatch):
+    """Sums over pieces of a long text are those of the whole chain."""
+    labels = [f"l{i}" for i in range(40)]
+    draw = np.random.default_rng(3)
+    model = language.Model(labels, draw.normal(size=(language.SLOTS, 40)).astype(np.float32), np.zeros(40, np.float32), draw.normal(size=(40, 40)).astype(np.float32), frozenset())
+    each = [[f"w{draw.integers(50)}" for _ in range(n)] for n in (3, 0, 700, 40, 1, 90)]
+    want = np.array([language.marginals(model.scores(w), np.array([len(w)]), model.transitions).sum(0) if w else np.zeros(40) for w in each])
+    sizes = []
+    real = language.marginals
+    monkeypatch.setattr(language, "marginals", lambda scores, *rest: sizes.append(scores.size) or real(scores, *rest))
+    for cells in (1 << 20, 4000, 400, 40):
+        sizes.clear()
+        monkeypatch.setattr(language, "CELLS", cells)
+        assert np.allclose(language.label_sums(model, each), want, atol=1e-6)
+        assert max(sizes, default=0) <= cells
+
+
+def test_shuffled_letters_are_noise_and_languages_are_not(spark):
+    rows = made_texts(400)
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"), noise="zxx")
+    assert set(model.labels) == {"en", "de", "zxx"} and 0.5 <= model.noise_limit < 0.95
+    test = made_texts(100, seed=5)
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(test)] + [(1000 + i, language.shuffled(t)) for i, (t, _) in enumerate(test)], "i int, text string")
+    got = {r.i: r for r in language.identify(frame, model, noise="share").collect()}
+    assert sum(got[i].lang_pred == lang for i, (_, lang) in enumerate(test)) >= 98 and all(r.lang_pred != "zxx" for r in got.values())
+    assert sum(got[i].share <= model.noise_limit for i in range(100)) >= 99
+    long = [1000 + i for i, (t, _) in enumerate(test) if len(t.split()) > 5]
+    assert sum(got[i].share > model.noise_limit for i in long) >= 0.95 * len(long)
