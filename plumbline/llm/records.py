@@ -150,8 +150,8 @@ def open_index(spark: SparkSession, folder: str) -> DataFrame:
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """Read whole files back: doc_id, start, n_tokens and ids, packed as unsigned 32-bit integers.
 
-    One task reads a file from its head to its end and checks every length and
-    checksum; a damaged file raises ValueError.
+    There are as many tasks as files; each reads one from its head to its end
+    and checks every length and checksum. A damaged file raises ValueError.
     """
     files = index.groupBy("file").agg(F.min("start").alias("start"))
 
@@ -181,16 +181,19 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "start", "n_tokens", "ids"]
         )
 
-    return files.repartition("file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    # a number, or the few bytes of names would be merged into one task
+    return files.repartition(max(1, files.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def read_shuffled(index: DataFrame, folder: str, seed: int = 0, partitions: int | None = None) -> DataFrame:
     """Read single records through the index, dealt over tasks and ordered by a hash of the seed and their place.
 
-    Gives doc_id, start, n_tokens and packed ids, in an order that agrees on every run.
+    Gives doc_id, start, n_tokens and packed ids, in an order that agrees on
+    every run. Without ``partitions`` there are as many tasks as files.
     """
     where = index.select("file", "offset", "start").withColumn("place", F.xxhash64(F.lit(seed), "start"))
-    dealt = where.repartition(partitions, "place") if partitions else where.repartition("place")
+    partitions = partitions or max(1, index.select("file").distinct().count())
+    dealt = where.repartition(partitions, "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(folder)

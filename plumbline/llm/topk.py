@@ -27,8 +27,8 @@ CHILDREN = 8
 PIVOTS = 1024
 #: data blocks that a task runs one query block against
 CHUNK = 32
-#: whole numbers are clamped to this size
-CLAMP = (1 << 31) - 1
+#: whole numbers below this size fit in 64 bits
+MOST = 2.0**63
 #: scores that the queries of a block have reached already
 KNOWN = "array<struct<query_id:long,kth:long>>"
 #: relative slack of bounds, against rounding
@@ -36,7 +36,23 @@ SLACK = 1e-9
 
 
 def whole_numbers(values: np.ndarray, scale: float) -> np.ndarray:
-    return np.clip(np.floor(values.astype(np.float64) * scale), -CLAMP, CLAMP)
+    whole = np.floor(values.astype(np.float64) * scale)
+    if (np.abs(whole) >= MOST).any():
+        raise OverflowError(f"a component times {scale} needs more than 64 bits")
+    return whole
+
+
+def packed(x: np.ndarray, least: int = 4) -> np.ndarray:
+    """The same whole numbers in as few bytes each as all of them need: 2, 4 or 8, but not below ``least``."""
+    top = float(np.abs(x).max(initial=0))
+    return x.astype(f"<i{max(least, 2 if top < 1 << 15 else 4 if top < 1 << 31 else 8)}")
+
+
+def unpacked(rows: list[bytes], dim: int) -> np.ndarray:
+    """Whole numbers of packed vectors, which may differ in width."""
+    if len({len(r) for r in rows}) == 1:
+        return np.frombuffer(b"".join(rows), f"<i{len(rows[0]) // dim}").reshape(-1, dim)
+    return np.stack([np.frombuffer(r, f"<i{len(r) // dim}").astype("<i8") for r in rows])
 
 
 def vectors_of(column: pa.Array) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -54,11 +70,17 @@ def vectors_of(column: pa.Array) -> tuple[np.ndarray, list[tuple[np.ndarray, np.
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers, exactly."""
+    """Inner products of whole numbers, exactly; one beyond 64 bits raises OverflowError."""
     top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if top < 2**53:
         return (a @ b.T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    if top < 2**62:
+        return a @ b.T
+    exact = a.astype(object) @ b.astype(object).T
+    if not all(-(2**63) <= v < 2**63 for v in exact.ravel()):
+        raise OverflowError("an inner product needs more than 64 bits")
+    return exact.astype(np.int64)
 
 
 def cover_tree(x: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +165,7 @@ def search(q: Block, d: Block, best: Best) -> None:
 
     def bounds(i: int, js: np.ndarray) -> np.ndarray:
         top = d.centres[js] @ q.centres[i] + q.norms[i] * d.radii[js] + d.norms[js] * q.radii[i] + q.radii[i] * d.radii[js]
-        return top + SLACK * (np.abs(top) + 1)
+        return top + SLACK * ((q.norms[i] + q.radii[i]) * (d.norms[js] + d.radii[js]) + 1)
 
     stack = [(float(bounds(0, np.array([0]))[0]), 0, 0)]
     while stack:
@@ -177,9 +199,9 @@ def placed(df: DataFrame, vector: str, vec_id: str, pivots: dict[int, np.ndarray
                 x = whole_numbers(matrix, scale)
                 own = pivots.get(x.shape[1])
                 far = np.zeros((len(x), 1)) if own is None else (own**2).sum(1) - 2 * (x @ own.T)
-                packed = [r.tobytes() for r in x.astype("<i4")]
+                vectors = [r.tobytes() for r in packed(x)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), x.shape[1], np.int32)), pa.array(far.argmin(1).astype(np.int32)), pa.array(ids[rows].astype(np.int64)), pa.array(packed, pa.binary())],
+                    [pa.array(np.full(len(x), x.shape[1], np.int32)), pa.array(far.argmin(1).astype(np.int32)), pa.array(ids[rows].astype(np.int64)), pa.array(vectors, pa.binary())],
                     names=["dim", "pivot", "vec_id", "x"],
                 )
 
@@ -196,15 +218,14 @@ def trees(rows: DataFrame, block: int, leaf: int) -> DataFrame:
     def build(group: pa.Table) -> pa.Table:
         dim = group.column("dim")[0].as_py()
         ids = group.column("vec_id").to_numpy()
-        x = np.frombuffer(b"".join(group.column("x").to_pylist()), "<i4").reshape(-1, dim)
+        x = unpacked(group.column("x").to_pylist(), dim)
         order, spans, balls = cover_tree(x.astype(np.float64), leaf)
-        form = "<i2" if np.abs(x).max() < 1 << 15 else "<i4"
         return pa.table(
             {
                 "dim": group.column("dim")[:1],
                 "block": pa.array([f"{group.column('pivot')[0].as_py()}/{group.column('part')[0].as_py()}"]),
                 "ids": pa.array([ids[order].astype("<i8").tobytes()], pa.binary()),
-                "vectors": pa.array([x[order].astype(form).tobytes()], pa.binary()),
+                "vectors": pa.array([packed(x[order], 2).tobytes()], pa.binary()),
                 "spans": pa.array([spans.astype("<i4").tobytes()], pa.binary()),
                 "balls": pa.array([balls.astype("<f8").tobytes()], pa.binary()),
                 "centre": pa.array([balls[0, :-1].tolist()], pa.list_(pa.float64())),
@@ -266,8 +287,9 @@ def top_products(
     Candidates are all rows but those with the query's own id; ties go to the
     smaller id. With fewer candidates all are returned. Vectors that are null,
     empty or hold null or non-finite components, and rows without id, take no
-    part; vectors of different lengths are not compared; whole numbers beyond
-    32 bits are clamped. Queries that share an id are one query, the smallest
+    part; vectors of different lengths are not compared. Scores are exact; a
+    component or a score that needs more than 64 bits ends the run with
+    OverflowError. Queries that share an id are one query, the smallest
     vector. Blocks have bounded size, also for one vector in a third of all
     rows. Query blocks meet data blocks only if their bound allows.
     """
@@ -291,9 +313,10 @@ def top_products(
 
     dot = F.aggregate(F.zip_with("query_centre", "data_centre", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     top = dot + F.expr("query_norm * data_radius + data_norm * query_radius + query_radius * data_radius")
+    slack = SLACK * F.expr("(query_norm + query_radius) * (data_norm + data_radius)") + 1.0
     pairs = settle(
         ball(q_blocks, "query").join(ball(d_blocks, "data"), "dim").select(
-            "dim", "query_block", "data_block", (top * (1 + SLACK) + 1.0).alias("top"), dot.alias("dot"), "data_size"
+            "dim", "query_block", "data_block", (top + slack).alias("top"), dot.alias("dot"), "data_size"
         )
     )
     promising = Window.partitionBy("dim", "query_block").orderBy((F.col("data_size") <= k), F.desc("dot"), "data_block")

@@ -180,6 +180,21 @@ def test_top_products(spark, monkeypatch):
     assert topk.top_products(df.limit(0), df.limit(0), k=5).count() == 0
 
 
+def test_products_beyond_32_and_64_bits(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1e8, 1.0]), (3, [9e7, 1.0]), (4, [-2.5e9, 7.0]), (5, [2.5e9 + 0.25, -1e9]), (6, [1e8, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_products(df, df, 5).collect()}
+    whole = {i: [math.floor(64 * c) for c in x] for i, x in rows}
+    for q, x in whole.items():
+        best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in whole.items() if i != q)
+        assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+    assert got[1, 1][1] == 64 * math.floor(64 * (2.5e9 + 0.25)) and got[1, 2] == (2, 409600000000)
+    for bad in ([1e18, 1e18], [3e17, 1.0]):
+        large = spark.createDataFrame([(1, bad), (2, [1e18, 1.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="64 bits"):
+            topk.top_products(large, large, 1).collect()
+
+
 def test_bounds_leave_out_far_blocks():
     draw = np.random.default_rng(1)
     x = np.floor(np.concatenate([draw.normal(size=(400, 6)) * 3 + 100, draw.normal(size=(4000, 6)) * 3 - 100]))

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumbline.llm import bpe, counts, records
@@ -105,6 +106,17 @@ def test_records_round_trip(spark):
     assert [r.start for r in again] == [r.start for r in mixed] != [r.start for r in back]
 
 
+def test_files_are_read_by_as_many_tasks(spark, tmp_path):
+    texts = [(i, f"text number {i} " * (i % 7)) for i in range(400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    index = records.write_records(df, WORDS, f"{tmp_path}/r", partitions=12)
+    files = index.select("file").distinct().count()
+    back = records.read_records(index, f"{tmp_path}/r").withColumn("task", F.spark_partition_id())
+    assert files == 12 and back.select("task").distinct().count() == files and back.count() == 400
+    mixed = records.read_shuffled(index, f"{tmp_path}/r").withColumn("task", F.spark_partition_id())
+    assert mixed.select("task").distinct().count() > files / 2 and mixed.count() == 400
+
+
 def test_records_of_an_empty_table(spark):
     folder = new_folder(spark)
     index = records.write_records(frame(spark).limit(0), WORDS, folder)
