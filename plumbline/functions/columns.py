@@ -11,6 +11,14 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def spare_name(taken: list[str], name: str) -> str:
+    """The name, with underscores in front until it is none of those taken."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def text(c: Column | str) -> Column:
     """The value as text without surrounding blanks."""
     return F.trim(col(c).cast("string"))

@@ -108,3 +108,48 @@ def salted_left_join(spark, d):
     suppliers = Tables(spark, d).supplier.where("s_suppkey % 4 <> 1").withColumnRenamed("s_suppkey", "hot_key")
     joined = skew.salted_join(hot(spark, d), suppliers, "hot_key", "left", salts=8)
     return joined.groupBy(F.col("s_name").isNull().alias("unmatched")).agg(F.count(F.lit(1)).alias("row_count"))
+
+
+#: the same key in a third of the large table and in half of the small one
+BOTH = "CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE s_suppkey END"
+
+
+@register(
+    "salted_join_both_sides",
+    f"""SELECT s_nationkey, l_linenumber, count(*) AS row_count, {big('sum(l_orderkey)')} AS order_sum
+    FROM {HOT_SQL} JOIN (SELECT *, {BOTH} AS key FROM supplier) ON hot_key = key GROUP BY 1, 2""",
+)
+def salted_join_both_sides(spark, d):
+    suppliers = Tables(spark, d).supplier.withColumn("hot_key", F.expr(BOTH))
+    joined = skew.salted_join(hot(spark, d), suppliers, "hot_key", share=0.02)
+    return joined.groupBy("s_nationkey", "l_linenumber").agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.col("l_orderkey").cast("long")).alias("order_sum"))
+
+
+@register(
+    "salted_left_join_both_sides",
+    f"""SELECT s_nationkey, s_name IS NULL AS unmatched, count(*) AS row_count
+    FROM {HOT_SQL} LEFT JOIN (SELECT *, {BOTH} AS key FROM supplier WHERE s_suppkey % 4 <> 1) ON hot_key = key GROUP BY 1, 2""",
+)
+def salted_left_join_both_sides(spark, d):
+    suppliers = Tables(spark, d).supplier.where("s_suppkey % 4 <> 1").withColumn("hot_key", F.expr(BOTH))
+    joined = skew.salted_join(hot(spark, d), suppliers, "hot_key", "left", share=0.02)
+    return joined.groupBy("s_nationkey", F.col("s_name").isNull().alias("unmatched")).agg(F.count(F.lit(1)).alias("row_count"))
+
+
+@register(
+    "heavy_key_counts",
+    f"""SELECT hot_key, count(*) AS row_count FROM {HOT_SQL} GROUP BY 1 HAVING count(*) > 0.005 * (SELECT count(*) FROM lineitem)""",
+)
+def heavy_key_counts(spark, d):
+    return skew.heavy_counts(hot(spark, d), "hot_key", 0.005)
+
+
+@register(
+    "hot_keys_with_blanks",
+    f"""SELECT hot_key, count(*) AS row_count, {share('count(*)', '(SELECT count(*) FROM lineitem)')} AS row_share FROM
+    (SELECT CASE WHEN l_orderkey % 3 = 0 THEN NULL WHEN l_orderkey % 5 = 0 THEN 'N' ELSE l_shipmode END AS hot_key FROM lineitem) GROUP BY 1
+    ORDER BY 2 DESC, 1 LIMIT 4""",
+)
+def hot_keys_with_blanks(spark, d):
+    key = "CASE WHEN l_orderkey % 3 = 0 THEN NULL WHEN l_orderkey % 5 = 0 THEN 'N' ELSE l_shipmode END"
+    return skew.hot_keys(Tables(spark, d).lineitem.select(F.expr(key).alias("hot_key")), "hot_key", 4)
