@@ -14,6 +14,7 @@ from pyspark.sql.types import (
     DoubleType,
     FloatType,
     IntegralType,
+    NumericType,
     StringType,
     TimestampNTZType,
     TimestampType,
@@ -33,6 +34,14 @@ def shared_folder(spark: SparkSession) -> str | None:
     return folder
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    folder = shared_folder(spark)
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{folder}/plumbline-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
@@ -115,11 +124,58 @@ def shares(
     ).drop("_running")
 
 
-def page(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
-    """Rows offset+1 .. offset+size of a total order; all rows are numbered in parallel, so any offset will do."""
-    rn = F.col("_rn")
-    numbered = ordered_running(df, order, row_number="_rn")
-    return numbered.where((rn > offset) & (rn <= offset + size)).drop("_rn")
+#: a page within so many first rows comes from the first rows of each task
+FIRST_ROWS = 10_000
+
+
+def order_columns(order: list[Column | tuple[str, bool]]) -> list[Column]:
+    """Sort columns; a tuple (name, rising) stands for one with Spark's usual place of NULL."""
+    return [(F.asc if o[1] else F.desc)(F.col(f"`{o[0]}`")) if isinstance(o, tuple) else o for o in order]
+
+
+def page(df: DataFrame, order: list[Column | tuple[str, bool]], offset: int, size: int) -> DataFrame:
+    """Rows offset+1 .. offset+size of a total order.
+
+    A page near the beginning needs the first rows of each task only. Deeper,
+    if the first sort column is given as (name, rising) and holds numbers, dates
+    or times, a sketch says between which of its values the page lies; the rows
+    before are counted, and only those between are put in order. Any other
+    order numbers all rows in parallel.
+    """
+    columns = order_columns(order)
+    if offset + size <= FIRST_ROWS:
+        return df.orderBy(*columns).offset(offset).limit(size)
+    rn, before, rows = F.col("_rn"), 0, df
+    if isinstance(order[0], tuple) and (found := page_span(df, *order[0], offset, size)) is not None:
+        rows, before = found
+    numbered = ordered_running(rows, columns, row_number="_rn")
+    return numbered.where((rn > offset - before) & (rn <= offset - before + size)).drop("_rn")
+
+
+def page_span(df: DataFrame, name: str, rising: bool, offset: int, size: int) -> tuple[DataFrame, int] | None:
+    """The rows among which a page surely lies, and the number of rows before them; None if the column does not tell."""
+    kind, c = df.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(kind, NumericType):
+        v = c.cast("double")
+    elif isinstance(kind, DateType):
+        v = F.unix_date(c).cast("double")
+    elif isinstance(kind, TimestampType):
+        v = F.unix_micros(c).cast("double")
+    else:
+        return None
+    v = v if rising else -v
+    total, numbers = df.agg(F.count(F.lit(1)), F.count(F.nullif(v, F.lit(float("nan"))))).first()
+    if total == 0 or numbers < total:
+        # NULL and NaN have places of their own
+        return None
+    reach = 4 * rank_error(SKETCH)
+    ranks = [min(1.0, max(0.0, r)) for r in (offset / total - reach, (offset + size) / total + reach)]
+    sketch = quantile_sketches(df, {"v": v}, SKETCH)
+    low, high = sketch.select(F.kll_sketch_get_quantile_double("sketch", F.array(*map(F.lit, ranks)))).first()[0]
+    before, upto = df.agg(F.count_if(v < low), F.count_if(v <= high)).first()
+    if before > offset or upto < min(offset + size, total):
+        return None
+    return df.where(v.between(low, high)), before
 
 
 def take_per_group(
@@ -222,76 +278,128 @@ def histogram_quantiles(
     return cum.groupBy(*by).agg(*picks)
 
 
+#: items that a quantile sketch keeps, tasks that merge sketches before the last step, and cells of a bracket
+SKETCH, SKETCH_TASKS, CELLS = 8192, 64, 32
+
+
+def rank_error(size: int) -> float:
+    """Normalised rank error of a sketch of this size, at 99 % for one quantile."""
+    return 2.296 / size**0.9021
+
+
+def numbers_of(columns: list[str]) -> dict[str, Column]:
+    """Columns as doubles, NaN as missing: it has no place in an order of numbers."""
+    return {c: F.nullif(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))) for c in columns}
+
+
+def quantile_sketches(df: DataFrame, columns: dict[str, Column], size: int = SKETCH) -> DataFrame:
+    """(field, sketch): one mergeable sketch per column.
+
+    Every task makes one sketch per column; they are merged per column and
+    group of tasks, then per column, so no task sees them all.
+    """
+    wide = df.select(*[v.alias(f"c{i}") for i, v in enumerate(columns.values())])
+    names = [f"c{i}" for i in range(len(columns))]
+    parts = wide.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_TASKS))).agg(
+        *[F.kll_sketch_agg_double(c, size).alias(c) for c in names]
+    )
+    long = long_values(parts, dict(zip(columns, map(F.col, names)))).where("value is not null")
+    return long.groupBy("field").agg(F.kll_merge_agg_double("value", size).alias("sketch"))
+
+
+def brackets(df: DataFrame, columns: dict[str, Column], probs: list[float], size: int) -> dict[str, list[list[float]]]:
+    """Per column, disjoint rising lists of numbers; each runs from surely below a quantile to surely above it.
+
+    Columns without numbers are left out. A few hundred numbers come to the driver.
+    """
+    # four times the error of a sketch at 99 %: no chance worth naming that a quantile is outside
+    reach = 4 * rank_error(size)
+    ranks = [[min(1.0, max(0.0, p + reach * (2 * j / CELLS - 1))) for j in range(CELLS + 1)] for p in probs]
+    sketches = quantile_sketches(df, columns, size).where(F.kll_sketch_get_n_double("sketch") > 0)
+    flat = F.array(*[F.lit(r) for row in ranks for r in row])
+    found = sketches.select("field", F.kll_sketch_get_quantile_double("sketch", flat).alias("marks")).collect()
+    out: dict[str, list[list[float]]] = {}
+    for r in found:
+        merged: list[list[float]] = []
+        for marks in sorted(sorted(set(r.marks[k * (CELLS + 1) : (k + 1) * (CELLS + 1)])) for k in range(len(probs))):
+            if merged and marks[0] <= merged[-1][-1]:
+                merged[-1] = sorted({*merged[-1], *marks})
+            else:
+                merged.append(marks)
+        out[r.field] = merged
+    return out
+
+
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], accuracy: int = 50_000
+    df: DataFrame, columns: list[str], probs: list[float], sketch_size: int = SKETCH
 ) -> DataFrame:
-    """Exact interpolated quantiles of many numeric columns: (field, n, prob, value).
-
-    A bounded sketch first brackets every quantile. A second pass keeps single
-    values only inside the brackets and merges everything between them into one
-    counter each, so what is sorted is a small part of the data (about
-    4 / accuracy of the rows per quantile). A rank outside its bracket raises
-    an error instead of giving a wrong value. Even that part is sorted in many
-    tasks, by ranges of field and value.
+    """Exact interpolated quantiles of many numeric columns: (field, n, prob, value); NaN counts as missing.
+
+    Mergeable sketches first bracket every quantile. A second pass keeps single
+    values only inside the brackets (some ``8 * rank_error`` of the rows per
+    quantile), everything between them becomes one counter each. The brackets
+    are cut into cells, so the cell of a row follows from its value and some
+    constants; the cells' totals say which cell holds a quantile, and only its
+    values are put in order. A rank outside its bracket raises an error instead
+    of giving a wrong value. Infinities are numbers like others. The sketches
+    are made at once, the rest when the frame is used.
     """
-    eps = 2.0 / accuracy
-    bounds = {p: (max(0.0, p - eps), min(1.0, p + eps)) for p in probs}
-    marks = sorted({m for pair in bounds.values() for m in pair})
-    numbers = {c: F.col(f"`{c}`").cast("double") for c in columns}
-    sketch = df.agg(
-        F.struct(
-            *[F.percentile_approx(v, marks, accuracy).alias(f"c{i}") for i, v in enumerate(numbers.values())]
-        ).alias("q")
-    ).scalar()
-
+    numbers = numbers_of(columns)
+    known = brackets(df, numbers, probs, sketch_size)
+    step = CELLS * len(probs) + 3
     cells = {}
-    for i, (name, v) in enumerate(numbers.items()):
-        q = F.col("_sketch")[f"c{i}"]
-        lows = [q[marks.index(lo)] for lo, _ in bounds.values()]
-        highs = [q[marks.index(hi)] for _, hi in bounds.values()]
-        inside = F.lit(False)
-        for lo, hi in zip(lows, highs):
-            inside = inside | v.between(lo, hi)
-        none = F.lit(None).cast("double")
-        below = F.greatest(none, none, *[F.when(hi < v, hi) for hi in highs])
-        cells[name] = F.struct(
-            F.when(inside, v).otherwise(below).alias("anchor"), (~inside).alias("outside"), v.alias("v")
-        )
+    for name, v in numbers.items():
+        place = F.when(F.lit(False), F.lit(0))
+        for g, marks in enumerate(known.get(name, [])):
+            lower = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m, v=v: m < v))
+            place = place.when(v < marks[0], g * step).when(v <= marks[-1], F.lit(g * step + 1) + lower)
+        place = F.coalesce(place.otherwise(len(known.get(name, [])) * step), F.lit(0))
+        cells[name] = F.struct(v.alias("v"), place.alias("cell"))
+    inside = F.col("cell") % step != 0
     counted = (
-        df.withColumn("_sketch", sketch)
-        .select(*[cell.alias(name) for name, cell in cells.items()])
+        df.select(*[cell.alias(name) for name, cell in cells.items()])
         .unpivot([], list(cells), "field", "cell")
         .select("field", "cell.*")
         .where(F.col("v").isNotNull())
-        .groupBy("field", "anchor", "outside")
+        .groupBy("field", "cell", F.when(inside, F.col("v")).alias("value"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     )
-    order = [F.asc_nulls_first("anchor"), F.asc("outside")]
-    placed = ordered_running(counted, [F.asc("field"), *order], {"_cum": "n"})
-    fields = placed.groupBy("field").agg(F.min(F.col("_cum") - F.col("n")).alias("_start"), F.sum("n").alias("_all"))
-    ranked = placed.join(F.broadcast(fields), "field").withColumn("_cum", F.col("_cum") - F.col("_start"))
-    ranked = ranked.withColumn("_prev", F.col("_cum") - F.col("n"))
-
-    def at(rank: Column) -> Column:
-        found = (
-            F.when(~F.col("outside"), F.col("anchor"))
-            .when(rank == F.col("_prev") + 1, F.col("lo"))
-            .when(rank == F.col("_cum"), F.col("hi"))
-            .otherwise(F.raise_error(F.lit("quantile outside its bracket: raise accuracy")).cast("double"))
-        )
-        return F.max(F.when((F.col("_prev") < rank) & (F.col("_cum") >= rank), found))
-
-    aggs = [F.max("_all").alias("n")]
-    for k, p in enumerate(probs):
-        pos = (F.col("_all") - 1) * F.lit(float(p))
-        aggs += [at(F.floor(pos) + 1).alias(f"lo{k}"), at(F.ceil(pos) + 1).alias(f"hi{k}")]
-    found = ranked.groupBy("field").agg(*aggs)
+    # some hundred rows per field
+    before = Window.partitionBy("field").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counted.groupBy("field", "cell").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).withColumns(
+        {"below": F.coalesce(F.sum("n").over(before), F.lit(0)), "all": F.sum("n").over(Window.partitionBy("field"))}
+    )
+    last = F.col("all") - 1
+    asked = F.array(
+        *[
+            F.struct(F.lit(f"{side}{k}").alias("which"), (end(last * F.lit(float(p))) + 1).alias("rank"))
+            for k, p in enumerate(probs)
+            for side, end in (("lo", F.floor), ("hi", F.ceil))
+        ]
+    )
+    wanted = totals.select("*", F.inline(asked)).where((F.col("below") < F.col("rank")) & (F.col("rank") <= F.col("below") + F.col("n")))
+    between = (
+        F.when(F.col("rank") == F.col("below") + 1, F.col("lo"))
+        .when(F.col("rank") == F.col("below") + F.col("n"), F.col("hi"))
+        .otherwise(F.raise_error(F.lit("quantile outside its bracket: raise sketch_size")).cast("double"))
+    )
+    apart = wanted.where(~inside).select("field", "all", "which", between.alias("value"))
+    running = Window.partitionBy("field", "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = wanted.where(inside).select("field", "cell", "below", "all", "which", "rank")
+    few = chosen.groupBy("field", "cell").agg(F.first("below").alias("below"), F.first("all").alias("all"), F.collect_list(F.struct("which", "rank")).alias("asked"))
+    # greatest(lo, hi) is the value itself; the same columns as above let Spark use one shuffle for both
+    single = counted.select("field", "cell", F.greatest("lo", "hi").alias("value"), "n").join(F.broadcast(few), ["field", "cell"])
+    single = single.withColumn("upto", F.sum("n").over(running) + F.col("below"))
+    met = single.select("field", "all", "value", "upto", "n", F.inline("asked")).where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
+    ends = apart.unionByName(met.select("field", "all", "which", "value"))
+    picks = [F.max(F.when(F.col("which") == f"{side}{k}", F.col("value"))).alias(f"{side}{k}") for k in range(len(probs)) for side in ("lo", "hi")]
+    found = ends.groupBy("field").agg(F.max("all").alias("n"), *picks)
     rows = []
     for k, p in enumerate(probs):
         pos = (F.col("n") - 1) * F.lit(float(p))
         lo, hi = F.col(f"lo{k}"), F.col(f"hi{k}")
-        between = (F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi
-        value = F.when(lo == hi, lo).otherwise(between)
+        mean = (F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi
+        value = F.when(lo == hi, lo).otherwise(mean)
         rows.append(F.struct(F.lit(float(p)).alias("prob"), value.alias("value")))
     return found.select("field", "n", F.inline(F.array(*rows)))
 
@@ -301,11 +409,14 @@ def quantile_struct(
     columns: list[str],
     probs: list[float],
     exact: bool = True,
-    accuracy: int = 50_000,
+    sketch_size: int = SKETCH,
 ) -> Column:
-    """Scalar struct ``column -> array of quantiles``, for use inside expressions."""
+    """Scalar struct ``column -> array of quantiles``, for use inside expressions; NaN counts as missing.
+
+    Without ``exact`` the values come from the sketches alone, within ``rank_error`` of the rank.
+    """
     if exact:
-        long = exact_quantiles(df, columns, probs, accuracy)
+        long = exact_quantiles(df, columns, probs, sketch_size)
         picks = [
             F.array(
                 *[
@@ -316,8 +427,7 @@ def quantile_struct(
             for i, c in enumerate(columns)
         ]
         return long.agg(F.struct(*picks).alias("q")).scalar()
-    picks = [
-        F.percentile_approx(F.col(f"`{c}`").cast("double"), list(probs), accuracy).alias(f"c{i}")
-        for i, c in enumerate(columns)
-    ]
-    return df.agg(F.struct(*picks).alias("q")).scalar()
+    sketches = quantile_sketches(df, numbers_of(columns), sketch_size).where(F.kll_sketch_get_n_double("sketch") > 0)
+    found = sketches.select("field", F.kll_sketch_get_quantile_double("sketch", F.array(*map(F.lit, map(float, probs)))).alias("q"))
+    picks = [F.max(F.when(F.col("field") == c, F.col("q"))).alias(f"c{i}") for i, c in enumerate(columns)]
+    return found.agg(F.struct(*picks).alias("q")).scalar()

@@ -27,6 +27,7 @@ from plumbline.functions.paths import has_suffix
 from plumbline.operators.ordered import (
     distinct_profile,
     long_values,
+    numbers_of,
     quantile_struct,
     take_per_group,
     wide_to_rows,
@@ -122,25 +123,29 @@ def composite_key(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Minimum, maximum, mean and sample deviation of numeric columns."""
+    """Minimum, maximum, mean and sample deviation of numeric columns; NaN is counted apart and in none of them."""
     columns = columns or numeric_columns(df)
     aggs = []
-    for i, c in enumerate(columns):
-        v = F.col(f"`{c}`").cast("double")
+    for i, (c, v) in enumerate(numbers_of(columns).items()):
         aggs += [
+            nan_count(c).alias(f"nan{i}"),
             F.min(v).alias(f"min{i}"),
             F.max(v).alias(f"max{i}"),
             F.round(F.avg(v), 2).alias(f"avg{i}"),
             F.round(F.stddev_samp(v), 2).alias(f"std{i}"),
         ]
     rows = [
-        [F.lit(c), *[F.col(f"{k}{i}") for k in ("min", "max", "avg", "std")]] for i, c in enumerate(columns)
+        [F.lit(c), *[F.col(f"{k}{i}") for k in ("min", "max", "avg", "std", "nan")]] for i, c in enumerate(columns)
     ]
     return wide_to_rows(
-        df.agg(*aggs), rows, ["column_name", "min_value", "max_value", "avg_value", "stddev_value"]
+        df.agg(*aggs), rows, ["column_name", "min_value", "max_value", "avg_value", "stddev_value", "nan_count"]
     )
 
 
+def nan_count(column: str) -> Column:
+    return count_if(F.isnan(F.col(f"`{column}`").cast("double")))
+
+
 def iqr_outliers(
     df: DataFrame,
     columns: list[str] | None = None,
@@ -151,29 +156,31 @@ def iqr_outliers(
 
     Reads the table for the quartiles and once more for the counts. Quartiles and
     fences are shown with six decimals, rows are counted against the full values.
+    NaN is counted apart: it is no value and no outlier. Infinities are values.
     """
     columns = columns or numeric_columns(df)
     quartiles = quantile_struct(df, columns, [0.25, 0.75], exact)
     work = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    spoilt = [nan_count(f"v{i}").alias(f"nan{i}") for i in range(len(columns))]
     work = work.withColumn("_q", quartiles)
     aggs = []
     for i in range(len(columns)):
-        v, q = F.col(f"v{i}"), F.col("_q")[f"c{i}"]
+        v, q = numbers_of([f"v{i}"])[f"v{i}"], F.col("_q")[f"c{i}"]
         reach = (q[1] - q[0]) * factor
         aggs += [
             F.count(v).alias(f"n{i}"),
             count_if((v < q[0] - reach) | (v > q[1] + reach)).alias(f"out{i}"),
         ]
-    one = work.agg(F.first("_q").alias("_q"), *aggs)
+    one = work.agg(F.first("_q").alias("_q"), *aggs, *spoilt)
     rows = []
     for i, c in enumerate(columns):
         q = F.col("_q")[f"c{i}"]
         reach = (q[1] - q[0]) * factor
         n, out = F.col(f"n{i}"), F.col(f"out{i}")
         shown = [F.round(v, 6) for v in (q[0], q[1], q[0] - reach, q[1] + reach)]
-        rows.append([F.lit(c), *shown, n, out, percent(out, n, 4)])
+        rows.append([F.lit(c), *shown, n, out, percent(out, n, 4), F.col(f"nan{i}")])
     names = [
-        "column_name", "q1", "q3", "lower_fence", "upper_fence", "value_count", "outlier_count", "outlier_pct",
+        "column_name", "q1", "q3", "lower_fence", "upper_fence", "value_count", "outlier_count", "outlier_pct", "nan_count",
     ]
     return wide_to_rows(one, rows, names)
 

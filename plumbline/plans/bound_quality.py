@@ -121,7 +121,8 @@ NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber
     rows_sql(
         [
             f"""SELECT '{c}' AS column_name, CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value,
-            round(avg({c}), 2) AS avg_value, round(stddev_samp({c}), 2) AS stddev_value FROM lineitem"""
+            round(avg({c}), 2) AS avg_value, round(stddev_samp({c}), 2) AS stddev_value,
+            count(*) FILTER (WHERE isnan(CAST({c} AS DOUBLE))) AS nan_count FROM lineitem"""
             for c in NUMBERS
         ]
     ),
@@ -136,10 +137,11 @@ def iqr_sql(table: str, columns: list[str]) -> str:
         out = "count(*) FILTER (WHERE v < q1 - r OR v > q3 + r)"
         parts.append(
             f"""SELECT '{c}' AS column_name, round(any_value(q1), 6) AS q1, round(any_value(q3), 6) AS q3, round(any_value(q1 - r), 6) AS lower_fence,
-            round(any_value(q3 + r), 6) AS upper_fence, count(*) AS value_count, {out} AS outlier_count, {pct(out, 'count(*)', 4)} AS outlier_pct
-            FROM (SELECT CAST({c} AS DOUBLE) AS v FROM {table} WHERE {c} IS NOT NULL),
+            round(any_value(q3 + r), 6) AS upper_fence, count(*) AS value_count, {out} AS outlier_count, {pct(out, 'count(*)', 4)} AS outlier_pct,
+            (SELECT count(*) FROM {table} WHERE isnan(CAST({c} AS DOUBLE))) AS nan_count
+            FROM (SELECT CAST({c} AS DOUBLE) AS v FROM {table} WHERE {c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE))),
                  (SELECT q1, q3, (q3 - q1) * 1.5 AS r FROM (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1,
-                    quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM {table}))"""
+                    quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM {table} WHERE NOT isnan(CAST({c} AS DOUBLE))))"""
         )
     return rows_sql(parts)
 
@@ -159,6 +161,18 @@ def iqr_outliers_customer(spark, d):
     return quality.iqr_outliers(Tables(spark, d).customer, ["c_acctbal", "c_nationkey"])
 
 
+#: a seventh without a number, some infinite ones
+SPOILT = {
+    "price": "CASE WHEN l_orderkey % 7 = 0 THEN CAST('NaN' AS DOUBLE) WHEN l_orderkey % 40 = 1 THEN CAST('Infinity' AS DOUBLE) ELSE CAST(l_extendedprice AS DOUBLE) END",
+    "tax": "CASE WHEN l_orderkey % 50 = 3 THEN CAST('-Infinity' AS DOUBLE) WHEN l_orderkey % 3 = 0 THEN NULL ELSE CAST(l_tax AS DOUBLE) END",
+}
+
+
+@register("iqr_outliers_nan", iqr_sql(f"({derive_sql('lineitem', SPOILT)})", list(SPOILT)))
+def iqr_outliers_nan(spark, d):
+    return quality.iqr_outliers(derive(Tables(spark, d).lineitem, SPOILT))
+
+
 def dirty_sql(limit: int) -> str:
     parts = []
     for c in ("note", "text", "lang", "source"):
@@ -613,6 +627,15 @@ def result_page_deep(spark, d):
     return ordered.page(counts, [F.desc("row_count"), F.asc("l_partkey")], 120, 80)
 
 
+@register(
+    "row_page_deep",
+    "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 80 OFFSET 20000",
+)
+def row_page_deep(spark, d):
+    rows = Tables(spark, d).lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return ordered.page(rows, [("l_extendedprice", False), ("l_orderkey", True), ("l_linenumber", True)], 20_000, 80)
+
+
 SCORE_SQL = f"""
   WITH e AS ({EVENTS_SQL}), s AS (SELECT count(*) AS n,
     sum(CASE WHEN {filled('user_id')} THEN 1 ELSE 0 END + CASE WHEN timestamp IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN {filled('action')} THEN 1 ELSE 0 END

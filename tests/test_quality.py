@@ -245,7 +245,50 @@ def test_pages_agree(spark):
     assert ordered.page(df, order, 40, 25).orderBy(*order).collect() == want
 
 
-@pytest.mark.parametrize("accuracy", [10, 1000])
+@pytest.mark.parametrize("name, rising", [("v", True), ("v", False), ("d", True), ("t", False), ("s", True), ("gap", True)])
+def test_deep_pages(spark, monkeypatch, name, rising):
+    monkeypatch.setattr(ordered, "FIRST_ROWS", 50)
+    df = spark.range(20_000).select(
+        (F.col("id") * 7919 % 1009 / 8).alias("v"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 400).cast("int")).alias("d"),
+        F.timestamp_seconds(F.col("id") * 31 % 5000).alias("t"), (F.col("id") % 90).cast("string").alias("s"),
+        F.when(F.col("id") % 3 > 0, F.col("id") % 77).alias("gap"), "id",
+    ).repartition(5)
+    order = [(name, rising), ("id", False)]
+    whole = df.orderBy(*ordered.order_columns(order)).select("id").collect()
+    for offset, size in ((10, 20), (0, 100), (9_990, 30), (19_980, 60), (30_000, 10)):
+        got = ordered.page(df, order, offset, size).orderBy(*ordered.order_columns(order)).select("id").collect()
+        assert got == whole[offset : offset + size]
+    if name in ("v", "d", "t"):
+        rows, before = ordered.page_span(df, name, rising, 9_990, 30)
+        assert rows.count() < 2_000 and 8_500 < before <= 9_990
+
+
+def test_quantiles_with_nan_and_infinities(spark):
+    rows = [(x,) for x in [float("nan"), 1.0, 2.0, 3.0, None]]
+    df = spark.createDataFrame(rows, "v double")
+    got = {r.prob: (r.n, r.value) for r in ordered.exact_quantiles(df, ["v"], [0.25, 0.5, 1.0]).collect()}
+    assert got == {0.25: (3, 1.5), 0.5: (3, 2.0), 1.0: (3, 3.0)}
+    (row,) = quality.iqr_outliers(df, ["v"]).collect()
+    assert (row.q1, row.q3, row.value_count, row.outlier_count, row.nan_count) == (1.5, 2.5, 3, 0, 1)
+    (row,) = quality.numeric_profile(df, ["v"]).collect()
+    assert (row.min_value, row.max_value, row.avg_value, row.nan_count) == (1.0, 3.0, 2.0, 1)
+    inf = float("inf")
+    wide = spark.createDataFrame([(x,) for x in [-inf, inf, inf, float("nan")] + [float(i) for i in range(97)]], "v double")
+    got = {r.prob: r.value for r in ordered.exact_quantiles(wide, ["v"], [0.0, 0.5, 1.0]).collect()}
+    assert got[0.0] == -inf and got[1.0] == inf and got[0.5] == sorted([-inf, inf, inf, *range(97)])[49] / 2 + sorted([-inf, inf, inf, *range(97)])[50] / 2
+    (row,) = quality.iqr_outliers(wide, ["v"]).collect()
+    assert (row.outlier_count, row.nan_count) == (3, 1)
+
+
+def test_quantiles_share_one_shuffle_and_merge_in_many_tasks(spark):
+    df = spark.range(5000).select((F.col("id") % 997).cast("double").alias("a"), F.rand(1).alias("b"))
+    plan = ordered.exact_quantiles(df, ["a", "b"], [0.25, 0.75])._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    sketches = ordered.quantile_sketches(df, {"a": F.col("a"), "b": F.col("b")})._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in sketches
+
+
+@pytest.mark.parametrize("accuracy", [10, 100, 8192])
 def test_exact_quantiles(spark, accuracy):
     df = spark.range(2000).select(
         (F.col("id") * 7919 % 2003 / 7.0).alias("a"), (F.col("id") % 3).alias("b"), F.when(F.col("id") < 0, 1.0).alias("c")
