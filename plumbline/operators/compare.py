@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import MapType
 
 from plumbline.functions.columns import (
     blank_to_null,
     count_if,
     non_blank,
     percent,
+    spare_name,
 )
 from plumbline.functions.fixed import EMPTY_LABEL, NONE_LABEL
 from plumbline.operators.ordered import take_per_group
@@ -497,23 +499,85 @@ def gap_classification(
     return out.withColumn("gap_class", gap_class(*flags))
 
 
+#: buckets whose checksums are compared; rows are compared only in those that differ
+BUCKETS = 1 << 16
+
+
+def comparable(df: DataFrame, column: str) -> Column:
+    """The column in a form that can be hashed, grouped and compared: maps as sorted entries, deeper ones as JSON text."""
+    c, kind = F.col(f"`{column}`"), df.schema[column].dataType
+    if "map<" not in kind.simpleString():
+        return c
+    if isinstance(kind, MapType) and "map<" not in kind.valueType.simpleString():
+        return F.array_sort(F.map_entries(c))
+    return F.to_json(F.struct(c), {"ignoreNullFields": "false"})
+
+
+def bucket_sums(df: DataFrame, key: list[Column], row: list[Column], buckets: int, side: str) -> DataFrame:
+    """(bucket, sums): rows of each bucket of the key, and checksums of them that do not depend on their order."""
+    h = F.xxhash64(*row)
+    return df.select(bucket_of(key, buckets).alias("bucket"), h.alias("h")).groupBy("bucket").agg(
+        F.struct(
+            F.count(F.lit(1)).alias("rows"),
+            F.bit_xor("h").alias("mixed"),
+            F.sum(F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
+            F.sum(F.shiftrightunsigned("h", 32)).alias("high"),
+        ).alias(side)
+    )
+
+
+def bucket_of(key: list[Column], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(1), *key), F.lit(buckets)).cast("int")
+
+
+def differing_buckets(sides: list[tuple[DataFrame, list[Column], list[Column]]], buckets: int = BUCKETS) -> DataFrame:
+    """(bucket) of the buckets in which two frames (frame, key, row) do not hold the same rows; never more than ``buckets``."""
+    (a, a_key, a_row), (b, b_key, b_row) = sides
+    both = bucket_sums(a, a_key, a_row, buckets, "l").join(bucket_sums(b, b_key, b_row, buckets, "r"), "bucket", "full")
+    return both.where(~F.col("l").eqNullSafe(F.col("r"))).select("bucket")
+
+
+def in_buckets(df: DataFrame, key: list[Column], listed: DataFrame, buckets: int, inside: bool = True) -> DataFrame:
+    name = spare_name(df.columns, "_bucket")
+    few = F.broadcast(listed.select(F.col("bucket").alias(name)))
+    return df.join(few, bucket_of(key, buckets) == F.col(name), "left_semi" if inside else "left_anti")
+
+
 def frame_diff(
-    left: DataFrame, right: DataFrame, keys: list[str], floats: list[str] | None = None, tolerance: float = 1e-6
+    left: DataFrame, right: DataFrame, keys: list[str], floats: list[str] | None = None, tolerance: float = 1e-6,
+    unique_keys: bool = False, buckets: int = BUCKETS,
 ) -> DataFrame:
     """Keyed comparison of two frames: one row per difference.
 
-    Exact for all columns but ``floats``, which may differ by a relative error
-    below the tolerance. NULL keys are keys like others. A key that occurs more
-    than once on a side is reported as ``repeated_key`` (``exact_diff`` compares
-    such rows). A column of one side only is a row without keys.
+    One pass over each frame sums checksums per bucket of the key; only rows of
+    buckets that differ are shuffled and compared, so equal frames cost two
+    scans. Exact for all columns but ``floats``, which may differ by a relative
+    error below the tolerance; equal infinities and NaN are equal. NULL keys are
+    keys like others. A key that occurs more than once on a side is reported as
+    ``repeated_key`` (``exact_diff`` compares such rows); to find those in equal
+    buckets, their keys, without other columns, are counted as well, unless
+    ``unique_keys`` promises that there are none. A column of one side only is a
+    row without keys. Maps are compared by their entries.
     """
     floats = floats or []
     values = [c for c in left.columns if c not in keys and c in right.columns]
 
+    def key_of(df: DataFrame) -> list[Column]:
+        return [comparable(df, k) for k in keys]
+
+    # both sides hash the same types, or equal values would look different
+    def row_of(df: DataFrame) -> list[Column]:
+        return [comparable(df, c) if str(left.schema[c].dataType) == str(right.schema[c].dataType) else F.col(f"`{c}`").cast("string") for c in [*keys, *values]]
+
+    changed = differing_buckets([(df, key_of(df), row_of(df)) for df in (left, right)], buckets)
+
     def side(df: DataFrame, name: str) -> DataFrame:
-        row = F.struct(F.lit(1).alias("_one"), *[F.col(f"`{c}`") for c in values])
-        return df.groupBy(*[F.col(f"`{k}`").alias(f"_{name}{i}") for i, k in enumerate(keys)]).agg(
-            F.any_value(row).alias(f"_{name}"), F.count(F.lit(1)).alias(f"_{name}_rows")
+        some = in_buckets(df, key_of(df), changed, buckets)
+        row = F.struct(F.lit(1).alias("_one"), *[comparable(df, c).alias(f"v{i}") for i, c in enumerate(values)])
+        return some.groupBy(*[k.alias(f"_{name}{i}") for i, k in enumerate(key_of(df))]).agg(
+            F.any_value(row).alias(f"_{name}"),
+            F.any_value(F.struct(*[F.col(f"`{k}`") for k in keys])).alias(f"_{name}_keys"),
+            F.count(F.lit(1)).alias(f"_{name}_rows"),
         )
 
     same = F.lit(True)
@@ -521,14 +585,13 @@ def frame_diff(
         same = same & F.col(f"_l{i}").eqNullSafe(F.col(f"_r{i}"))
     joined = side(left, "l").join(side(right, "r"), same, "full_outer")
     bad = []
-    for c in values:
-        x, y = F.col("_l")[c], F.col("_r")[c]
+    for i, c in enumerate(values):
+        x, y = F.col("_l")[f"v{i}"], F.col("_r")[f"v{i}"]
+        equal = x.eqNullSafe(y)
         if c in floats:
             scale = F.greatest(F.abs(x), F.abs(y))
-            close = F.coalesce(F.abs(x - y) <= scale * tolerance, x.isNull() & y.isNull())
-            bad.append(F.when(~close, F.lit(c)))
-        else:
-            bad.append(F.when(~x.eqNullSafe(y), F.lit(c)))
+            equal = equal | F.coalesce((scale < float("inf")) & (F.abs(x - y) <= scale * tolerance), F.lit(False))
+        bad.append(F.when(~equal, F.lit(c)))
     wrong = F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>")
     diff = (
         F.when(F.col("_l").isNull(), "only_right")
@@ -538,10 +601,19 @@ def frame_diff(
     )
     out = joined.withColumn("difference", diff).where(F.col("difference").isNotNull())
     out = out.select(
-        *[F.when(F.col("_l").isNull(), F.col(f"_r{i}")).otherwise(F.col(f"_l{i}")).alias(k) for i, k in enumerate(keys)],
+        *[F.when(F.col("_l").isNull(), F.col("_r_keys")[k]).otherwise(F.col("_l_keys")[k]).alias(k) for k in keys],
         "difference",
         F.when(F.col("difference") == "values_differ", F.array_join(wrong, ",")).alias("columns"),
     )
+    if not unique_keys:
+        # equal buckets hold the same keys on both sides, so one side is enough
+        rest = in_buckets(left, key_of(left), changed, buckets, inside=False)
+        counted = rest.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(key_of(left))])
+        whole = any("map<" in left.schema[k].dataType.simpleString() for k in keys)
+        own = [F.any_value(F.col(f"`{k}`")).alias(k) for k in keys] if whole else []
+        again = counted.agg(F.count(F.lit(1)).alias("_rows"), *own).where(F.col("_rows") > 1)
+        shown = [F.col(f"`{k}`") if whole else F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)]
+        out = out.unionByName(again.select(*shown, F.lit("repeated_key").alias("difference"), F.lit(None).cast("string").alias("columns")))
     single = [(c, "column_only_left") for c in left.columns if c not in right.columns]
     single += [(c, "column_only_right") for c in right.columns if c not in left.columns]
     for c, kind in single:
@@ -552,21 +624,30 @@ def frame_diff(
     return out
 
 
-def exact_diff(left: DataFrame, right: DataFrame) -> DataFrame:
+def exact_diff(left: DataFrame, right: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Rows (with multiplicity) found on one side only.
 
-    Frames with different columns have no row in common: all rows are reported,
-    with NULL in the columns that their side lacks.
+    Checksums per bucket of the rows come first; rows of equal buckets are not
+    shuffled. Frames with different columns have no row in common: all rows are
+    reported, with NULL in the columns that their side lacks.
     """
     apart = set(left.columns) != set(right.columns)
     columns = [*left.columns, *[c for c in right.columns if c not in left.columns]]
+    pair = [left, right]
+    if not apart and all(str(left.schema[c].dataType) == str(right.schema[c].dataType) for c in columns):
+        rows = [[comparable(df, c) for c in columns] for df in pair]
+        changed = differing_buckets([(df, row, row) for df, row in zip(pair, rows)], buckets)
+        pair = [in_buckets(df, row, changed, buckets) for df, row in zip(pair, rows)]
+    maps = [c for c in columns if any(c in df.columns and "map<" in df.schema[c].dataType.simpleString() for df in pair)]
 
     def side(df: DataFrame, other: DataFrame, mine: str, theirs: str) -> DataFrame:
         whole = [F.col(f"`{c}`") if c in df.columns else F.lit(None).cast(other.schema[c].dataType).alias(c) for c in columns]
         mark = F.lit(mine if apart else "").alias("_side")
-        counted = df.select(*whole, mark).groupBy(*columns, "_side").agg(F.count(F.lit(1)).alias(mine))
-        return counted.withColumn(theirs, F.lit(0).cast("long"))
+        return df.select(*whole, mark, F.lit(1).cast("long").alias(mine), F.lit(0).cast("long").alias(theirs))
 
-    both = side(left, right, "left_rows", "right_rows").unionByName(side(right, left, "right_rows", "left_rows"))
-    merged = both.groupBy(*columns, "_side").agg(F.sum("left_rows").alias("left_rows"), F.sum("right_rows").alias("right_rows"))
-    return merged.where("left_rows <> right_rows").drop("_side")
+    both = side(*pair, "left_rows", "right_rows").unionByName(side(*pair[::-1], "right_rows", "left_rows"))
+    group = [comparable(both, c).alias(f"_g{i}") if c in maps else F.col(f"`{c}`") for i, c in enumerate(columns)]
+    merged = both.groupBy(*group, "_side").agg(
+        F.sum("left_rows").alias("left_rows"), F.sum("right_rows").alias("right_rows"), *[F.any_value(F.col(f"`{c}`")).alias(c) for c in maps]
+    )
+    return merged.where("left_rows <> right_rows").select(*[F.col(f"`{c}`") for c in columns], "left_rows", "right_rows")

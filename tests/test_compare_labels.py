@@ -165,6 +165,59 @@ def test_frames_with_other_columns_null_keys_and_repeated_keys(spark):
     assert compare.exact_diff(a, b).count() == 8 and compare.exact_diff(a, a).count() == 0
 
 
+def test_infinite_and_missing_floats(spark, by):
+    inf, nan = float("inf"), float("nan")
+    a = [(0, inf), (1, inf), (2, nan), (3, nan), (4, None), (5, None), (6, 1e308), (7, 0.0), (8, -inf), (9, 1e9)]
+    b = [(0, inf), (1, 5.0), (2, nan), (3, 1.0), (4, None), (5, 0.0), (6, -1e308), (7, -0.0), (8, inf), (9, 1e9 + 1)]
+    left, right = (spark.createDataFrame(rows, "k int, v double") for rows in (a, b))
+    assert set(by(compare.frame_diff(left, right, ["k"], ["v"]), "k")) == {1, 3, 5, 6, 8}
+    assert set(by(compare.frame_diff(left, right, ["k"]), "k")) == {1, 3, 5, 6, 8, 9}
+
+
+def test_maps_are_compared_by_their_entries(spark, by):
+    def frame(entries):
+        rows = [(i, e, [e] if e else None) for i, e in enumerate(entries)]
+        return spark.createDataFrame(rows, "k int, m map<string, int>, deep array<map<string, int>>")
+
+    a, b = frame([{"x": 1, "y": 2}, {"x": 1}, None, {"z": None}]), frame([{"y": 2, "x": 1}, {"x": 2}, None, {}])
+    got = by(compare.frame_diff(a.drop("deep"), b.drop("deep"), ["k"]), "k")
+    assert {k: r["columns"] for k, r in got.items()} == {1: "m", 3: "m"}
+    assert by(compare.frame_diff(a, b, ["k"]), "k")[1]["columns"] == "m,deep"
+    assert compare.frame_diff(a, a, ["m"]).count() == compare.frame_diff(a, a, ["k"]).count() == compare.exact_diff(a, a).count() == 0
+    assert sorted(r.k for r in compare.exact_diff(a.drop("deep"), b.drop("deep")).collect()) == [1, 1, 3, 3]
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 1 << 16])
+def test_differences_whatever_the_buckets(spark, buckets):
+    draw = random.Random(buckets)
+    a = [(draw.randrange(60), draw.choice("xyz"), draw.choice([1.0, 2.0, None])) for _ in range(50)]
+    b = [r if draw.random() < 0.9 else (r[0], "q", r[2]) for r in a[:-3]] + [(draw.randrange(70), "n", None) for _ in range(4)]
+    left, right = (spark.createDataFrame(rows, "k int, s string, v double") for rows in (a, b))
+    want = set()
+    for k in {r[0] for r in a + b}:
+        x, y = ([r for r in rows if r[0] == k] for rows in (a, b))
+        if not x or not y:
+            want.add((k, "only_right" if y else "only_left", None))
+        elif len(x) > 1 or len(y) > 1:
+            want.add((k, "repeated_key", None))
+        elif x != y:
+            want.add((k, "values_differ", ",".join(c for c, p, q in zip("sv", x[0][1:], y[0][1:]) if p != q)))
+    assert {tuple(r) for r in compare.frame_diff(left, right, ["k"], buckets=buckets).collect()} == want
+    rows = compare.exact_diff(left, right, buckets).collect()
+    assert {(r.k, r.s, r.v): (r.left_rows, r.right_rows) for r in rows} == {
+        t: (a.count(t), b.count(t)) for t in set(a + b) if a.count(t) != b.count(t)
+    }
+
+
+def test_equal_frames_shuffle_no_rows(spark):
+    """Only checksums leave their tasks; the full rows are below the semi join with the buckets that differ."""
+    df = spark.range(1000).select("id", F.lit("wide text").alias("t"))
+    plan = compare.frame_diff(df, df, ["id"], unique_keys=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2 and plan.count("bit_xor") >= 2 and "LeftAnti" not in plan
+    for part in plan.split("any_value(")[1:]:
+        assert "LeftSemi" in part
+
+
 def test_gap_class_order(spark, by):
     v = spark.createDataFrame([(i,) for i in range(5)], "value int")
     layers = {n: v.where(F.col("value") > i) for i, n in enumerate(["source", "result", "reference", "rules"])}
