@@ -8,7 +8,6 @@ source_column, lineage_status, target_kind, expression_sql``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -22,7 +21,9 @@ from plumbline.functions.fixed import (
     LAYER_PREFIXES,
     LAYER_UNKNOWN,
 )
+from plumbline.operators import reach
 from plumbline.operators.ordered import cut
+from plumbline.operators.reach import closure
 
 PRODUCED_KINDS = ["physical_table", "view", "temp_view"]
 ARROW = " -> "
@@ -124,42 +125,21 @@ def base_tables(edges: DataFrame, produced: DataFrame) -> DataFrame:
     return sources.join(produced.select("table_name"), "table_name", "left_anti")
 
 
-#: rounds after which the tables of a closure's rounds are joined into one
-COMPACT = 8
-
-
-def closure(start: DataFrame, step_from: Callable[[DataFrame], DataFrame], key: list[str]) -> DataFrame:
-    """All rows reached from the first ones, each key once: rounds of steps until nothing is new.
-
-    A round is one write; now and then the rounds so far are joined into one
-    table, so that a long chain does not read ever more of them.
-    """
-    rounds, step = [], start
-    while True:
-        if rounds:
-            step = step.join(reduce(DataFrame.unionByName, rounds).select(*key), key, "left_anti")
-        new = cut(step)
-        if new.isEmpty():
-            return reduce(DataFrame.unionByName, rounds) if rounds else new
-        rounds.append(new)
-        if len(rounds) > COMPACT:
-            rounds = [cut(reduce(DataFrame.unionByName, rounds))]
-        step = step_from(new)
-
-
 def downstream_tables(edges: DataFrame, bases: DataFrame) -> DataFrame:
     """(base_table, downstream_table): every table reached from each base table, once, without the ways there.
 
-    Breadth first; the set of known pairs ends the rounds, also in cycles.
+    Chains and cycles of tables are condensed first (``reach``), so long ones take few rounds.
     """
-    links = cut(edges.select("source_table", "target_table").distinct())
+    links = edges.select(F.col("source_table").alias("a"), F.col("target_table").alias("b"))
+    pairs = reach.reach_pairs(links, bases.select(F.col("table_name").alias("node")))
+    return pairs.select(F.col("start").alias("base_table"), F.col("node").alias("downstream_table"))
 
-    def below(rows: DataFrame) -> DataFrame:
-        linked = rows.join(links, F.col("node") == F.col("source_table"))
-        return linked.select("base_table", F.col("target_table").alias("node")).distinct()
 
-    first = below(bases.select(F.col("table_name").alias("base_table"), F.col("table_name").alias("node")))
-    return closure(first, below, ["base_table", "node"]).select("base_table", F.col("node").alias("downstream_table"))
+def downstream_counts(edges: DataFrame, bases: DataFrame) -> DataFrame:
+    """(table_name, all_downstream_count) of each base table; the pairs of ``downstream_tables`` are not listed for it."""
+    links = edges.select(F.col("source_table").alias("a"), F.col("target_table").alias("b"))
+    counts = reach.reach_counts(links, bases.select(F.col("table_name").alias("node")))
+    return counts.select(F.col("node").alias("table_name"), F.col("reached").alias("all_downstream_count"))
 
 
 def downstream_paths(edges: DataFrame, bases: DataFrame) -> DataFrame:
@@ -168,35 +148,31 @@ def downstream_paths(edges: DataFrame, bases: DataFrame) -> DataFrame:
     Breadth first: a table is expanded once per base, along its shortest path
     (the smallest one in name order when several are equally short), so edges
     back to known tables appear once and cycles end. Each round is one join
-    with the edges; its results are written out, so plans stay short and a lost
-    executor costs no more than the current round.
+    with the edges and one write of its results, marked as new or known; now and
+    then the rounds so far become one table.
     """
     links = cut(edges.select("source_table", "target_table").distinct())
-    frontier = cut(
-        bases.select(
-            F.col("table_name").alias("base_table"),
-            F.col("table_name").alias("node"),
-            F.array("table_name").alias("path"),
-        )
-    )
-    visited = frontier.select("base_table", "node")
+    start = bases.select(F.col("table_name").alias("base_table"), F.col("table_name").alias("node"))
+    frontier = start.withColumn("path", F.array("node"))
     sources = links.select("source_table").distinct()  # tables without outgoing edges need no further round
-    out = None
+    rounds: list[DataFrame] = []
     while True:
         step = frontier.join(links, F.col("node") == F.col("source_table")).select(
             "base_table",
             F.col("target_table").alias("node"),
             F.concat("path", F.array("target_table")).alias("path"),
         )
-        step = cut(step)
-        out = step if out is None else out.unionByName(step)
-        new = step.join(visited, ["base_table", "node"], "left_anti").join(
-            sources, F.col("node") == F.col("source_table"), "left_semi"
-        )
-        frontier = cut(new.groupBy("base_table", "node").agg(F.min("path").alias("path")))
-        if frontier.isEmpty():
+        known = reduce(DataFrame.unionByName, [start, *[r.where("new").select("base_table", "node") for r in rounds]]).distinct()
+        marked = step.join(known.withColumn("_known", F.lit(True)), ["base_table", "node"], "left")
+        step = cut(marked.select("base_table", "node", "path", F.col("_known").isNull().alias("new")))
+        rounds.append(step)
+        if len(rounds) > reach.COMPACT:
+            rounds = [cut(reduce(DataFrame.unionByName, rounds))]
+        new = step.where("new").join(sources, F.col("node") == F.col("source_table"), "left_semi")
+        if new.isEmpty():
             break
-        visited = visited.unionByName(frontier.select("base_table", "node"))
+        frontier = new.groupBy("base_table", "node").agg(F.min("path").alias("path"))
+    out = reduce(DataFrame.unionByName, rounds)
     return out.select(
         "base_table",
         F.col("node").alias("downstream_table"),
@@ -345,8 +321,8 @@ def dictionary(tables: DataFrame, metadata: DataFrame, bases: DataFrame, produce
     return named.join(metadata, "table_name", "left").na.fill("", blank)
 
 
-def related_tables(edges: DataFrame, reached: DataFrame) -> DataFrame:
-    """(table, relation, related table): direct upstream, direct and all downstream.
+def related_tables(edges: DataFrame, reached: DataFrame | None = None) -> DataFrame:
+    """(table, relation, related table): direct upstream, direct and (with ``reached``) all downstream.
 
     The long form holds the lists of the catalog without gathering any of them
     into one row.
@@ -361,12 +337,14 @@ def related_tables(edges: DataFrame, reached: DataFrame) -> DataFrame:
         F.lit("direct_downstream").alias("relation"),
         F.col("target_table").alias("related_table"),
     )
-    reach = reached.select(
+    if reached is None:
+        return up.unionByName(down).distinct()
+    far = reached.select(
         F.col("base_table").alias("table_name"),
         F.lit("all_downstream").alias("relation"),
         F.col("downstream_table").alias("related_table"),
     )
-    return up.unionByName(down).unionByName(reach).distinct()
+    return up.unionByName(down).unionByName(far).distinct()
 
 
 def table_index(
@@ -375,10 +353,13 @@ def table_index(
     bases: DataFrame | None = None,
     produced: DataFrame | None = None,
     metadata: DataFrame | None = None,
+    reached: DataFrame | None = None,
 ) -> DataFrame:
     """Layer, comment and number of direct and transitive neighbours of every table.
 
-    With base and produced tables also its role, with merged metadata its number of columns.
+    With base and produced tables also its role, with merged metadata its number
+    of columns. Transitive counts come from ``reached`` (``downstream_counts``),
+    or else from the listed relations.
     """
     counts = related.groupBy("table_name").agg(
         *[
@@ -386,6 +367,8 @@ def table_index(
             for r in ("direct_upstream", "direct_downstream", "all_downstream")
         ]
     )
+    if reached is not None:
+        counts = counts.drop("all_downstream_count").join(reached, "table_name", "full")
     out = tables.select("table_name").distinct().join(counts, "table_name", "left").na.fill(0)
     if bases is not None and produced is not None:
         out = lineage_role(out, bases, produced)
@@ -426,9 +409,9 @@ def field_index(dictionary_rows: DataFrame, column_edges: DataFrame, resolved: D
     return fields.join(counts, ["table_name", "column_name"], "left").na.fill(0, list(ways))
 
 
-def base_table_summary(bases: DataFrame, related: DataFrame, metadata: DataFrame) -> DataFrame:
+def base_table_summary(bases: DataFrame, related: DataFrame, metadata: DataFrame, reached: DataFrame | None = None) -> DataFrame:
     """Base tables with layer, columns, direct and transitive downstream counts."""
-    return table_index(bases, related, metadata=metadata).drop("direct_upstream_count", "table_comment")
+    return table_index(bases, related, metadata=metadata, reached=reached).drop("direct_upstream_count", "table_comment")
 
 
 def assessment(frames: dict[str, tuple[str, DataFrame]]) -> DataFrame:

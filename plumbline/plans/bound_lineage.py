@@ -7,7 +7,7 @@ feed the orders they take part in.
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import lineage
+from plumbline.operators import lineage, reach
 from plumbline.operators.ordered import cut
 from plumbline.plans.registry import Tables, register
 
@@ -188,8 +188,8 @@ def all_tables(edges):
 )
 def catalog_index(spark, d):
     _, edges, made, bases = parts(spark, d)
-    related = lineage.related_tables(edges, lineage.downstream_tables(edges, bases))
-    return lineage.table_index(all_tables(edges), related, bases, made, lineage.merge_metadata(metadata(Tables(spark, d))))
+    counts = lineage.downstream_counts(edges, bases)
+    return lineage.table_index(all_tables(edges), lineage.related_tables(edges), bases, made, lineage.merge_metadata(metadata(Tables(spark, d))), counts)
 
 
 @register(
@@ -261,8 +261,8 @@ def field_index(spark, d):
 )
 def base_table_summary(spark, d):
     _, edges, _, bases = parts(spark, d)
-    related = lineage.related_tables(edges, lineage.downstream_tables(edges, bases))
-    return lineage.base_table_summary(bases, related, lineage.merge_metadata(metadata(Tables(spark, d))))
+    counts = lineage.downstream_counts(edges, bases)
+    return lineage.base_table_summary(bases, lineage.related_tables(edges), lineage.merge_metadata(metadata(Tables(spark, d))), counts)
 
 
 @register(
@@ -333,3 +333,33 @@ def name_aliases(spark, d):
     return lineage.apply_aliases(names, "table_name", aliases).groupBy("table_name").agg(
         F.count(F.lit(1)).alias("row_count")
     )
+
+
+#: long chains of customers, some closed to rings, and ways between them
+CHAIN_SQL = """links AS (SELECT CAST(c_custkey AS BIGINT) AS a, CAST(c_custkey + 1 AS BIGINT) AS b FROM customer WHERE c_custkey % 400 <> 0
+  UNION SELECT c_custkey, c_custkey - 150 FROM customer WHERE c_custkey % 800 = 399 UNION SELECT c_custkey, c_custkey + 401 FROM customer WHERE c_custkey % 400 = 250
+  UNION SELECT c_custkey, c_custkey FROM customer WHERE c_custkey % 500 = 77)"""
+
+
+@register(
+    "deep_reach",
+    f"""WITH RECURSIVE {CHAIN_SQL}, starts AS (SELECT CAST(c_custkey AS BIGINT) AS node FROM customer WHERE c_custkey % 40 = 1),
+    walk AS (SELECT node AS start, b AS node FROM starts JOIN links ON node = a UNION SELECT start, b FROM walk JOIN links ON node = a)
+    SELECT starts.node, count(walk.node) AS reached FROM starts LEFT JOIN walk ON starts.node = start GROUP BY 1""",
+)
+def deep_reach(spark, d):
+    c = Tables(spark, d).customer.select(F.col("c_custkey").cast("long").alias("a"))
+    a = F.col("a")
+    links = c.where(a % 400 != 0).withColumn("b", a + 1)
+    links = links.unionByName(c.where(a % 800 == 399).withColumn("b", a - 150)).unionByName(c.where(a % 400 == 250).withColumn("b", a + 401))
+    links = links.unionByName(c.where(a % 500 == 77).withColumn("b", a))
+    return reach.reach_counts(links, c.where(a % 40 == 1).select(a.alias("node")))
+
+
+@register(
+    "base_sources",
+    f"""{BASE}, {COLUMN_SQL}, {RESOLVED_SQL} SELECT DISTINCT target_table, target_column, base_table, base_column FROM resolved""",
+)
+def base_sources(spark, d):
+    st, edges, _, bases = parts(spark, d)
+    return lineage.base_sources(column_edges(edges), st, bases)
