@@ -16,15 +16,15 @@ from plumbline.functions.fixed import (
     VIDEO_EXTENSIONS,
 )
 
-#: white space of every script, such as the ideographic blank
-EDGE_BLANKS = r"(?U)^\s+|\s+$"
+#: white space of every script (the Unicode property), such as the ideographic blank
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 EXTENSION = r"\.([A-Za-z0-9]{2,8})$"
 LAST_SEGMENT = r"([^\\/]+)$"
 
 
 def strip(c: Column | str) -> Column:
     """Text without leading and trailing white space of any kind."""
-    return F.regexp_replace(col(c).cast("string"), EDGE_BLANKS, "")
+    return F.btrim(col(c).cast("string"), F.lit(BLANKS))
 
 
 def slashes(c: Column | str) -> Column:

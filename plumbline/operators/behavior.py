@@ -7,7 +7,9 @@ an ``as_of`` day that is always a parameter.
 
 from __future__ import annotations
 
+import datetime
 import math
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -124,6 +126,124 @@ def retention_availability(events: DataFrame, horizons: list[int] = HORIZONS) ->
     return one.select("span_days", F.inline(F.array(*rows)))
 
 
+# --- all days at once, from bitmaps ------------------------------------------
+
+#: days in a word of a bitmap
+WORD = 64
+
+
+@dataclass
+class DayBits:
+    """``users`` (user_id, bits): a bitmap of each user's active days, in words of 64, the first of them ``first``."""
+
+    users: DataFrame
+    first: datetime.date
+    days: int
+
+    def last_index(self) -> int:
+        return self.days - 1
+
+    def is_set(self, index: Column) -> Column:
+        """Whether the user was active on a day by its index; false outside the span."""
+        index = F.coalesce(index, F.lit(-1))
+        inside = (index >= 0) & (index < self.days)
+        at = F.when(inside, index).otherwise(0)
+        return inside & (F.getbit(F.get(F.col("bits"), F.floor(at / WORD).cast("int")), (at % WORD).cast("int")) == 1)
+
+    def indexes(self) -> Column:
+        """The active days of the user, rising."""
+        words = F.sequence(F.lit(0), F.lit((self.days - 1) // WORD))
+        bits = F.sequence(F.lit(0), F.lit(WORD - 1))
+
+        def of_word(w: Column) -> Column:
+            own = F.get(F.col("bits"), w)
+            held = F.when(own == 0, F.array().cast("array<int>")).otherwise(F.filter(bits, lambda b: F.getbit(own, b) == 1))
+            return F.transform(held, lambda b: w * WORD + b)
+
+        return F.flatten(F.transform(words, of_word))
+
+
+def day_bits(events: DataFrame, first: str | None = None, last: str | None = None) -> DayBits | None:
+    """Bitmaps of the active days of every user, from one aggregation of the log.
+
+    The span is that of the data unless it is given; events outside it, and rows
+    without a time or user, are left out. A bitmap is some machine words per
+    user whatever the number of events, and tasks merge them before the shuffle.
+    None for a log without days.
+    """
+    day = F.to_date("timestamp")
+    if first is None or last is None:
+        low, high = events.agg(F.min(day), F.max(day)).first()
+        first, last = first or low, last or high
+    if first is None or last is None:
+        return None
+    first, last = (d if isinstance(d, datetime.date) else datetime.date.fromisoformat(d) for d in (first, last))
+    days = (last - first).days + 1
+    if days < 1:
+        raise ValueError("the span ends before it begins")
+    index = F.datediff(day, F.lit(first))
+    inside = _until(events, last.isoformat(), days).where(F.col("user_id").isNotNull())
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (index % WORD).cast("int"))
+    words = [F.bit_or(F.when(F.floor(index / WORD) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range((days - 1) // WORD + 1)]
+    merged = inside.select("user_id", "timestamp").groupBy("user_id").agg(*words)
+    return DayBits(merged.select("user_id", F.array(*[f"w{w}" for w in range(len(words))]).alias("bits")), first, days)
+
+
+def activity_series(bits: DayBits, week: int = 7, month: int = 30) -> DataFrame:
+    """(day, dau, wau, mau, dau_wau, wau_mau, dau_mau) for every day of the span.
+
+    An active day makes its user count in a window of n days from that day on,
+    until n days later or the next active day: two changes per day and window,
+    summed per day and then along the days.
+    """
+    spans = {"dau": 1, "wau": week, "mau": month}
+    each = bits.users.select(bits.indexes().alias("at"))
+    pairs = F.transform("at", lambda d, i: F.struct(d.alias("day"), F.get(F.col("at"), i + 1).alias("next")))
+    pairs = each.select(F.inline(pairs))
+
+    def change(name: str, n: int) -> list[Column]:
+        end = F.least(F.col("day") + n, F.coalesce("next", F.col("day") + n))
+        zero, one = [F.lit(0).cast("long"), F.lit(1).cast("long")]
+        return [
+            F.struct(at.cast("int").alias("index"), *[(sign if k == name else zero).alias(k) for k in spans])
+            for at, sign in ((F.col("day"), one), (end, -one))
+        ]
+
+    changes = pairs.select(F.inline(F.array(*[c for name, n in spans.items() for c in change(name, n)]))).where(F.col("index") < bits.days)
+    summed = changes.groupBy("index").agg(*[F.sum(k).alias(k) for k in spans])
+    every = bits.users.sparkSession.range(bits.days).select(F.col("id").cast("int").alias("index"))
+    # one row per day of the span
+    along = Window.partitionBy(F.lit(1)).orderBy("index").rowsBetween(Window.unboundedPreceding, 0)
+    days = every.join(summed, "index", "left").select("index", *[F.sum(F.coalesce(k, F.lit(0))).over(along).cast("long").alias(k) for k in spans])
+    return days.select(
+        F.date_add(F.lit(bits.first), F.col("index")).alias("day"),
+        *spans,
+        ratio(F.col("dau"), F.col("wau")).alias("dau_wau"),
+        ratio(F.col("wau"), F.col("mau")).alias("wau_mau"),
+        ratio(F.col("dau"), F.col("mau")).alias("dau_mau"),
+    )
+
+
+def retention_curves(bits: DayBits, horizons: list[int] = HORIZONS) -> DataFrame:
+    """Retention of each first-day cohort for any number of horizons, as ``retention`` gives it, from the bitmaps alone."""
+    first = F.array_min(bits.indexes())
+    users = bits.users.select("bits", first.alias("first")).where("first is not null")
+    kept = F.array(*[bits.is_set(F.col("first") + n).cast("long") for n in horizons])
+    cohorts = users.select("first", *[F.get(kept, F.lit(i)).alias(f"r{i}") for i in range(len(horizons))]).groupBy("first").agg(
+        F.count(F.lit(1)).alias("cohort_size"), *[F.sum(f"r{i}").alias(f"r{i}") for i in range(len(horizons))]
+    )
+    rows = []
+    for i, n in enumerate(horizons):
+        seen = F.col("first") + n <= bits.last_index()
+        rows.append(
+            F.struct(
+                F.lit(n).alias("horizon"), F.when(seen, F.col(f"r{i}")).alias("retained"),
+                F.when(seen, ratio(F.col(f"r{i}"), F.col("cohort_size"))).alias("retention_rate"),
+            )
+        )
+    return cohorts.select(F.date_add(F.lit(bits.first), F.col("first")).alias("cohort_day"), "cohort_size", F.inline(F.array(*rows)))
+
+
 def session_stats(events: DataFrame, session: str = "session_id") -> DataFrame:
     """Sessions and their mean length."""
     per_session = events.where(F.col(session).isNotNull()).groupBy(session).agg(

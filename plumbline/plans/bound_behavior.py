@@ -97,6 +97,25 @@ def retention_overall(spark, d):
     return behavior.retention_overall(behavior.retention(clean(spark, d), HORIZONS))
 
 
+@register(
+    "activity_series",
+    f"""{BASE}, a AS (SELECT DISTINCT user_id, day FROM e), s AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM e),
+    c AS (SELECT s.day, count(DISTINCT CASE WHEN a.day = s.day THEN user_id END) AS dau, count(DISTINCT CASE WHEN a.day > s.day - 7 THEN user_id END) AS wau, count(DISTINCT user_id) AS mau
+      FROM s LEFT JOIN a ON a.day <= s.day AND a.day > s.day - 30 GROUP BY 1)
+    SELECT *, {share('dau', 'wau')} AS dau_wau, {share('wau', 'mau')} AS wau_mau, {share('dau', 'mau')} AS dau_mau FROM c""",
+)
+def activity_series(spark, d):
+    return behavior.activity_series(behavior.day_bits(clean(spark, d)))
+
+
+@register(
+    "retention_curves",
+    f"""{RETENTION.replace("[1, 7, 14, 30]", "range(1, 41)")} SELECT *, {share('retained', 'cohort_size')} AS retention_rate FROM r""",
+)
+def retention_curves(spark, d):
+    return behavior.retention_curves(behavior.day_bits(clean(spark, d)), list(range(1, 41)))
+
+
 @register(
     "retention_availability",
     f"""{BASE}, s AS (SELECT CAST(max(day) - min(day) AS INTEGER) AS span_days FROM e), h AS (SELECT CAST(unnest([1, 7, 30]) AS INTEGER) AS horizon)

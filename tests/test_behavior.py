@@ -1,6 +1,8 @@
 """Behaviour analytics on a small hand-made event log with values worked out by hand."""
 
+import datetime
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,3 +192,40 @@ def test_event_sources(spark, tmp_path, events):
     csv = str(tmp_path / "csv")
     got.write.csv(csv, header=True)
     assert read_events(spark, csv, "csv").count() == 2
+
+
+# --- bitmaps of days ---------------------------------------------------------
+
+
+def test_bitmaps_agree_with_single_days(spark):
+    draw = random.Random(2)
+    base = datetime.datetime(2023, 12, 1)
+    rows = [(f"u{draw.randrange(40)}", base + datetime.timedelta(days=draw.randrange(150) * draw.randrange(2), minutes=draw.randrange(1400))) for _ in range(600)]
+    rows += [("edge", base), ("edge", base + datetime.timedelta(days=63)), ("edge", base + datetime.timedelta(days=64)), (None, base), ("late", None)]
+    events = spark.createDataFrame(rows, "user_id string, timestamp timestamp")
+    bits = behavior.day_bits(events)
+    known = {(u, t.date()) for u, t in rows if u and t}
+    first, last = min(d for _, d in known), max(d for _, d in known)
+    assert (bits.first, bits.days) == (first, (last - first).days + 1) and bits.days > 128
+    got = {r.day: (r.dau, r.wau, r.mau) for r in behavior.activity_series(bits).collect()}
+    assert len(got) == bits.days
+    for day, numbers in got.items():
+        assert numbers == tuple(len({u for u, d in known if 0 <= (day - d).days < n}) for n in (1, 7, 30))
+    want = {tuple(r) for r in behavior.retention(events.where("user_id is not null and timestamp is not null"), [1, 5, 64, 149, 400]).collect()}
+    assert {tuple(r) for r in behavior.retention_curves(bits, [1, 5, 64, 149, 400]).collect()} == want
+
+
+def test_bitmaps_of_a_given_span_and_of_nothing(spark):
+    rows = [("a", datetime.datetime(2024, 1, d, 23, 59)) for d in (1, 3, 20)]
+    events = spark.createDataFrame(rows, "user_id string, timestamp timestamp")
+    series = {r.day.day: (r.dau, r.wau) for r in behavior.activity_series(behavior.day_bits(events, "2024-01-02", "2024-01-12")).collect()}
+    assert series == {d: (int(d == 3), int(3 <= d < 10)) for d in range(2, 13)}
+    assert behavior.day_bits(events.limit(0)) is None
+    with pytest.raises(ValueError):
+        behavior.day_bits(events, "2024-01-02", "2024-01-01")
+
+
+def test_one_aggregation_of_the_log(spark):
+    events = spark.range(100).select(F.col("id").cast("string").alias("user_id"), F.timestamp_seconds(F.col("id") * 9999).alias("timestamp"))
+    plan = behavior.activity_series(behavior.day_bits(events, "1970-01-01", "1970-03-01"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 100") == 1 and plan.count("bit_or") == 1

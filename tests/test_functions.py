@@ -114,3 +114,10 @@ def test_blanks_of_every_script_are_stripped(spark):
     df = spark.createDataFrame([("\u3000a\u3000/\u3000/ b\u2003",)], "p string")
     row = df.select(P.segments("p").alias("s"), P.strip("p").alias("t")).first()
     assert row.s == ["a", "b"] and row.t == "a\u3000/\u3000/ b"
+
+
+def test_strip_takes_blanks_of_every_script(spark):
+    codes = [c for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(c, f"{chr(c)} a{chr(c)}b {chr(c)}") for c in codes] + [(-1, None), (-2, ""), (-3, "　 ")], "c int, t string")
+    got = df.select("c", P.strip("t").alias("got"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("want")).collect()
+    assert all(r.got == r.want for r in got)

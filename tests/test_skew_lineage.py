@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import lineage, ordered, skew
+from plumbline.operators import lineage, ordered, reach, skew
 from plumbline.plans import quality_run
 from plumbline.sources import sinks, tables
 from plumbline.sources.events import read_report_detail
@@ -43,6 +43,94 @@ def test_salted_join_equals_plain(spark, hot, how):
     assert sorted(map(repr, salted.select(*columns).collect())) == sorted(map(repr, plain.select(*columns).collect()))
 
 
+@pytest.fixture
+def fixed_partitions(spark):
+    """Shuffles of 16 partitions, as they are planned."""
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    for c, v in zip(old, ("false", "16", "-1")):
+        spark.conf.set(c, v)
+    yield spark
+    for c, v in old.items():
+        spark.conf.set(c, v)
+
+
+def both_hot(spark):
+    """A key in nine tenths of 4,000 rows on one side and in half of 160 rows on the other, and rows without a key."""
+    key = F.when(F.col("id") % 10 < 8, 0).when(F.col("id") % 10 == 8, None).otherwise(F.col("id") % 70)
+    large = spark.range(4000).select(key.alias("k"), "id", F.lit("own").alias("_row"), F.lit(1).alias("_salt"), F.create_map(F.lit(1), F.lit(2)).alias("m"))
+    key = F.when(F.col("id") % 2 == 0, 0).when(F.col("id") % 31 == 1, None).otherwise(F.col("id") % 50)
+    return large, spark.range(160).select(key.alias("k"), F.col("id").alias("other"), F.lit("s").alias("_heavy"), F.lit(2).alias("_k"))
+
+
+@pytest.mark.parametrize("part_rows", [None, 7, 10**6])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_keys_hot_on_both_sides(spark, how, part_rows):
+    large, small = both_hot(spark)
+    got = skew.salted_join(large, small, "k", how, share=0.05, part_rows=part_rows)
+    plain = large.join(small, "k", how)
+    assert sorted(got.columns) == sorted(plain.columns)
+    columns = [c for c in plain.columns if c != "m"]
+    count = {}
+    for frame, sign in ((got, 1), (plain, -1)):
+        for r in frame.select(*columns).collect():
+            count[r] = count.get(r, 0) + sign
+    assert not any(count.values())
+
+
+def test_tasks_of_a_salted_join_are_of_like_size(fixed_partitions):
+    large, small = both_hot(fixed_partitions)
+
+    def sizes(df):
+        return sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+    plain, salted = sizes(large.join(small, "k")), sizes(skew.salted_join(large, small, "k", share=0.02))
+    assert sum(plain) == sum(salted) and plain[-1] > 0.9 * sum(plain)
+    assert len(salted) == 16 and salted[-1] < 2.5 * sum(salted) / 16
+
+
+def test_parts_follow_the_rows_of_a_key(spark):
+    large, small = both_hot(spark)
+    parts = {r.k: (r.parts_l, r.parts_s) for r in skew.salt_parts(large, small, "k", 0.02, None, None).collect()}
+    assert parts[0] == (40, 20) and all(p == (1, 1) for k, p in parts.items() if k != 0)
+    assert skew.salt_parts(large, small, "k", 0.02, 100, None).where("k = 0").first().parts_l == 32
+    assert skew.salt_parts(spark.range(1000).withColumnRenamed("id", "k"), spark.range(900).withColumnRenamed("id", "k"), "k", 0.02, None, None) is None
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "decimal(12,2)", "double", "date", "timestamp", "boolean", "binary"])
+def test_heavy_keys_of_any_type(spark, kind):
+    value = {"date": "date_add(date'2024-01-01', k)", "timestamp": "timestamp_seconds(k)", "boolean": "k > 3", "binary": "cast(cast(k as string) as binary)"}.get(kind, f"cast(k as {kind})")
+    key = F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 7 == 0, None).when(F.col("id") % 5 == 0, 2).otherwise(F.col("id"))
+    df = spark.range(5000).select(key.cast("int").alias("k")).select(F.expr(value).alias("the key")).repartition(6)
+    exact = {repr(r[0]): r["count"] for r in df.groupBy("the key").count().where("count > 50").collect()}
+    assert {repr(r[0]): r.row_count for r in skew.heavy_counts(df, "the key", 0.01).collect()} == exact
+    top = skew.hot_keys(df, "the key", 2).collect()
+    assert {repr(r[0]): r.row_count for r in top} == dict(sorted(exact.items(), key=lambda x: -x[1])[:2])
+
+
+def test_a_summary_never_misses_a_key_above_its_bound(spark):
+    draw = random.Random(4)
+    rows = [(int(draw.paretovariate(0.7)),) for _ in range(60_000)]
+    df = spark.createDataFrame(rows, "k long").repartition(9)
+    exact = df.groupBy("k").count()
+    for tracked in (40, 300, 3000):
+        listed = {r.k: r.at_least for r in skew.summary(df, "k", tracked).collect()}
+        need = exact.where(F.col("count") > skew.missed_share(tracked) * len(rows)).collect()
+        assert need and all(r.k in listed for r in need)
+    assert skew.summary(df.limit(0), "k", 100).collect() == skew.hot_keys(df.limit(0), "k").collect() == skew.heavy_keys(df.limit(0), "k").collect() == []
+    assert skew.salted_join(df.limit(0), df.limit(0), "k").count() == 0 and skew.salted_join(df.limit(9), df.limit(0), "k", "left").count() == 9
+    # a flat distribution is counted whole
+    flat = spark.range(30_000).select((F.col("id") % 14_999).alias("k"))
+    assert [tuple(r)[:2] for r in skew.hot_keys(flat, "k", 3).collect()] == [(0, 3), (1, 3), (2, 2)]
+
+
+def test_heavy_keys_shuffle_no_other_key(spark):
+    plan = skew.heavy_counts(spark.range(1000).withColumnRenamed("id", "k"), "k", 0.01)._jdf.queryExecution().optimizedPlan().toString()
+    assert "approx_top_k_accumulate" in plan and "LeftSemi" in plan
+    # the only aggregation by key is above the semi join
+    below = plan[plan.index("Aggregate [k"):]
+    assert below.index("LeftSemi") < below.index("Range") and plan.count("Aggregate [k") == 1
+
+
 def test_salt_depends_on_the_row_only(hot):
     a = hot.repartition(7).select("id", skew.row_salt(8, ["id", "v"]).alias("s"))
     b = hot.coalesce(1).select("id", skew.row_salt(8, ["id", "v"]).alias("s"))
@@ -54,6 +142,79 @@ def test_plan_partitions():
     assert skew.plan_partitions(10 * 1024**3, 256 * 1024**2) == 40
 
 
+# --- reachability ------------------------------------------------------------
+
+
+def reached_by_hand(links, starts):
+    after = {}
+    for a, b in links:
+        after.setdefault(a, set()).add(b)
+    out = {}
+    for s in starts:
+        seen, todo = set(), list(after.get(s, ()))
+        while todo:
+            n = todo.pop()
+            if n not in seen:
+                seen.add(n)
+                todo += after.get(n, ())
+        out[s] = seen
+    return out
+
+
+def check_reach(spark, links, starts):
+    frame = spark.createDataFrame([*links, (None, "x"), ("y", None)], "a string, b string")
+    nodes = spark.createDataFrame([(s,) for s in starts], "node string")
+    want = reached_by_hand(links, starts)
+    assert {r.node: r.reached for r in reach.reach_counts(frame, nodes).collect()} == {s: len(want[s]) for s in starts}
+    pairs = [tuple(r) for r in reach.reach_pairs(frame, nodes).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(s, n) for s in starts for n in want[s]}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_reach_in_random_graphs(spark, seed):
+    draw = random.Random(seed)
+    links = set()
+    for _ in range(30):
+        links.add((f"r{draw.randrange(20)}", f"r{draw.randrange(20)}"))
+    for c in range(6):
+        names = [f"c{c}_{i}" for i in range(draw.randint(2, 9))]
+        links |= set(zip(names, names[1:]))
+        end = draw.choice(["ring", "loop", "in", "out", "none"])
+        if end == "ring":
+            links.add((names[-1], names[0]))
+        elif end == "loop":
+            links.add((names[1], names[1]))
+        elif end == "in":
+            links.add((f"r{draw.randrange(20)}", names[0]))
+        elif end == "out":
+            links |= {(names[-1], f"r{draw.randrange(20)}"), (f"r{draw.randrange(20)}", names[0])}
+    links |= {("self", "self"), ("p", "q"), ("q", "p")}
+    nodes = sorted({n for link in links for n in link})
+    check_reach(spark, sorted(links), [*draw.sample(nodes, 25), "self", "p", "nowhere"])
+
+
+def test_long_rings_and_chains_take_few_rounds(spark):
+    ring = [(f"t{i:04d}", f"t{(i + 1) % 1000:04d}") for i in range(1000)]
+    chain = [(f"k{i:04d}", f"k{i + 1:04d}") for i in range(700)]
+    links = [*ring, *chain, ("base", "t0007"), ("t0500", "k0000"), ("other", "t0900")]
+    frame = spark.createDataFrame(links, "a string, b string")
+    written = []
+    real = reach.cut
+    reach.cut = lambda df: written.append(1) or real(df)
+    try:
+        got = {r.node: r.reached for r in reach.reach_counts(frame, spark.createDataFrame([("base",), ("t0003",), ("k0100",), ("other",)], "node string")).collect()}
+    finally:
+        reach.cut = real
+    assert got == {"base": 1701, "t0003": 1701, "k0100": 600, "other": 1701}
+    assert len(written) < 45
+
+
+def test_no_links_reach_nothing(spark):
+    none = spark.createDataFrame([], "a string, b string")
+    starts = spark.createDataFrame([("x",)], "node string")
+    assert [tuple(r) for r in reach.reach_counts(none, starts).collect()] == [("x", 0)] and reach.reach_pairs(none, starts).count() == 0
+
+
 # --- lineage -----------------------------------------------------------------
 
 
@@ -280,3 +441,24 @@ def test_quality_runs(spark, by):
     got = by(quality_run.bridge_findings(df, ["file_id"], {"parent": (parent, ["file_id"])}, ["file_id", "sku"]), "check")
     assert got["key uniqueness"]["status"] == "fail" and got["parent"]["row_count"] == 2
     assert got["column sku"]["severity"] == "critical" and got["coverage of file_id"]["row_count"] == 1
+
+
+def stored(path, kind="parquet"):
+    return [f for f in path.rglob(f"*.{kind}") if not f.name.startswith((".", "_"))]
+
+
+def test_files_of_a_set_size(spark, tmp_path):
+    df = spark.range(60_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1)
+    plan = sinks.write_sized(df, str(tmp_path / "even"), file_bytes=400_000)
+    files = stored(tmp_path / "even")
+    sizes = [f.stat().st_size for f in files]
+    assert plan["files"] == len(files) > 5 and max(sizes) < 1.3 * 400_000 and min(sizes) > 0.6 * 400_000
+    assert spark.read.parquet(str(tmp_path / "even")).count() == 60_000
+    # most rows have one key
+    skewed = df.withColumn("k", F.when(F.col("id") % 20 == 0, F.col("id") % 7).otherwise(0))
+    plan = sinks.write_sized(skewed, str(tmp_path / "by"), file_bytes=400_000, by=["k"])
+    files = stored(tmp_path / "by")
+    assert max(f.stat().st_size for f in files) < 1.3 * 400_000 and len(files) < 2.5 * plan["files"] + 7
+    assert {f.parent.name for f in files} == {f"k={i}" for i in range(7)} and spark.read.parquet(str(tmp_path / "by")).count() == 60_000
+    assert sinks.write_sized(df.limit(0), str(tmp_path / "none"))["rows"] == 0
+    assert sinks.write_sized(df.limit(10), str(tmp_path / "json"), "json")["files"] == 1
