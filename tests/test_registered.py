@@ -2,6 +2,8 @@
 
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -75,3 +77,22 @@ def test_one_scan_for_all_columns(spark):
 def test_entry(spark):
     got = {r.column_name: r for r in entry_points.entry(spark).collect()}
     assert got["l_orderkey"].null_pct == 0.0 and got["l_returnflag"].distinct_values == 3
+
+
+@pytest.mark.parametrize("missing", ["ahocorasick", "xxhash", "public_tokenizers", "tokenizers", "plumbline.llm", "corpus_pipeline"])
+def test_the_other_queries_without_a_package(missing):
+    """Whatever the training-data operators lack, the other queries stay."""
+    code = f"""
+import sys, warnings
+warnings.simplefilter("ignore")
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == {missing!r} or name.startswith({missing + "."!r}):
+            raise ModuleNotFoundError(f"No module named {{name}}", name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as e
+assert not any(n.startswith("op") or n == "pipeline" for n in e.queries()), "training-data queries are there"
+assert len(e.queries()) == len(e.registered.QUERIES) and set(e.oracle_sql()) <= set(e.queries())
+"""
+    root = os.path.dirname(os.path.abspath(entry_points.__file__))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root)
