@@ -25,7 +25,8 @@ from pyspark.sql.types import LongType, StructField
 from tokenizers import Tokenizer
 
 from plumbline.llm.bpe import USUAL_TEXT
-from plumbline.llm.frames import over_texts
+from plumbline.llm.frames import over_texts, settle
+from plumbline.llm.words import most_frequent
 
 #: documents that fill the first tier (it changes speed, never a count), its size, and what a task may report for it
 SAMPLE_DOCS, TABLE_ENTRIES, TASK_ENTRIES = 2000, 60_000, 20_000
@@ -92,7 +93,12 @@ class TokenCounter:
         cut = spec["pre_tokenizer"] or {}
         if spec["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex"):
             raise ValueError("only byte-level tokenizers with the usual cuts are supported")
-        self.special = [a["content"] for a in spec["added_tokens"]]
+        added = spec["added_tokens"]
+        if any(a.get(k) for a in added for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("only added tokens that stand as they are written are supported")
+        # as the library takes them: the leftmost, then the longest
+        self.special = [a["content"] for a in added]
+        self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         letters, numbers, blanks = usual_class("L"), usual_class("N"), "\t-\r \x85\xa0"
         self.cut = re.compile(
             f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{blanks}{letters}{numbers}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+"
@@ -101,21 +107,29 @@ class TokenCounter:
         self.table = ""
         self.misses = Misses(self.tokenizer)
 
-    def usual(self, text: str) -> bool:
-        """Whether the cut above is the tokenizer's on this text; it handles the others itself, whole."""
-        return USUAL_TEXT.fullmatch(text) is not None and not any(s in text for s in self.special)
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special strings.
+
+        The expression above cuts texts of usual code points as the tokenizer
+        does; others are cut by the tokenizer's own pre-tokenizer.
+        """
+        if USUAL_TEXT.fullmatch(text) is not None:
+            return self.cut.findall(text)
+        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if not self.usual(text):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        pieces = self.cut.findall(text)
-        found = list(map(self.frequent.get, pieces))
-        if None not in found:
-            return sum(found)
+        parts = [text]
+        if any(s in text for s in self.special):
+            parts = self.specials.split(text)
+        total = len(parts) - 1
         misses = self.misses
-        return sum([misses[p] if n is None else n for p, n in zip(pieces, found)])
+        for part in parts:
+            pieces = self.pieces(part)
+            found = list(map(self.frequent.get, pieces))
+            total += sum(found) if None not in found else sum([misses[p] if n is None else n for p, n in zip(pieces, found)])
+        return total
 
 
 @lru_cache(maxsize=2)
@@ -139,18 +153,15 @@ def frequent_lengths(df: DataFrame, path: str, text: str = "text", docs: int = S
         own, seen = counter(path), Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                if t and own.usual(t):
-                    seen.update(p for p in own.cut.findall(t) if len(p) <= LONGEST)
+                if t:
+                    seen.update(p for part in own.specials.split(t) for p in own.pieces(part) if len(p) <= LONGEST)
                     if len(seen) > 10 * TASK_ENTRIES:
                         seen = Counter(dict(seen.most_common(TASK_ENTRIES)))
         top = seen.most_common(TASK_ENTRIES)
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
 
-    top = (
-        picked.mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "piece").limit(entries).select("piece")
-    )
-    pieces = [r[0] for r in top.collect()]
+    counts = settle(picked.mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")))
+    pieces = most_frequent(counts, "n", entries).toArrow()["piece"].to_pylist()
     tokenizer = counter(path).tokenizer
     lengths = [len(e.ids) for e in tokenizer.encode_batch(pieces, add_special_tokens=False)]
     return Lengths("".join(pieces), np.cumsum([len(p) for p in pieces], dtype=np.int64), np.array(lengths, np.int32))

@@ -63,6 +63,24 @@ def word_counts(df: DataFrame, text: str, group: Column, table: bytes = LOWER) -
     return rows.mapInArrow(run, "grp string, word string, n long").groupBy("grp", "word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows with the largest numbers, at most ``most`` of them: all down to a number, never only some of equal ones.
+
+    Numbers are counted by steps (single ones below 2^12, then 256 to a
+    doubling), so that no task and not the driver sees more than some thousand
+    rows to find the limit.
+    """
+    c = F.col(n)
+    step = F.when(c < 4096, c).otherwise(4096 + F.floor((F.log2(c.cast("double")) - 12) * 256)).cast("long")
+    rows, least = 0, 0
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        rows += r["count"]
+        if rows > most:
+            least = r["step"] + 1
+            break
+    return counts.where(step >= least)
+
+
 class Sent:
     """A value broadcast to the workers, and what each worker makes of it once; a worker keeps the last few."""
 

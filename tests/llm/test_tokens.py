@@ -83,6 +83,25 @@ def test_counts_frame(spark):
     assert counts.token_counts(frame(spark).limit(0), BYTES).count() == 0
 
 
+SCRIPTS = "日本語のテキスト。カナ　全角！ 한글 텍스트 Ελληνικά русский العربية हिन्दी ไทย 😀👩‍👩‍👧 é ½ ²  \u2028\x85 don't  end  "
+
+
+@given(st.text(alphabet=SCRIPTS, max_size=60) | st.lists(st.sampled_from([*SCRIPTS.split(" "), " ", "<|endoftext|>", "<|startoftext|>", "<|endoftext", "it's"]), max_size=12).map("".join))
+@settings(max_examples=200, deadline=None)
+def test_texts_of_all_scripts_go_through_both_tiers(text):
+    counter, asked = counts.counter(BYTES), []
+    real = counter.tokenizer
+    counter.frequent, counter.table, counter.misses = {}, "", counts.Misses(real)
+    counter.misses.tokenizer = type("Asked", (), {"encode": lambda self, p, **k: asked.append(p) or real.encode(p, **k)})()
+    assert counter.count(text) == len(ids_of(BYTES, text))
+    # the library sees single pre-tokens only, and each only once
+    assert len(asked) == len(set(asked)) and all(len(real.pre_tokenizer.pre_tokenize_str(p)) == 1 for p in asked)
+    counter.frequent = {p: counter.misses[p] for p in asked}
+    asked.clear()
+    assert counter.count(text) == len(ids_of(BYTES, text)) and not asked
+    counter.frequent, counter.misses = {}, counts.Misses(real)
+
+
 def test_an_empty_first_tier_gives_the_same_counts(spark):
     none = counts.Lengths("", np.empty(0, np.int64), np.empty(0, np.int32))
     got = counts.token_counts(frame(spark), BYTES, table=none).collect()
