@@ -12,15 +12,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plumbline.llm import language, mixing, queries, secret_scan, simhash
 from plumbline.llm.frames import settle, spare_name
 
-#: least mean probability of a text's words for its language; texts in which no language has that much go
-LEAST_SCORE = 0.3
+#: label of letters in no language, learned from training texts with the letters of each word shuffled
+NO_LANGUAGE = "zxx"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those without a letter, and those in which no language stands out, go."""
-    lang, score = spare_name(docs, "lang_found"), spare_name(docs, "lang_score")
-    found = language.identify(docs, queries.language_model(docs), lang=lang, score=score)
-    return found.where((F.col(lang) != language.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(docs.columns)
+    """Documents in a language.
+
+    Those without a letter go, and those whose words look more like shuffled
+    letters than held-out labelled documents do: the limit on that share is
+    found when the model is trained (``language.Model.noise_limit``). Without
+    labelled documents nothing is learned and only texts without a letter go.
+    """
+    lang, score, noise = (spare_name(docs, name) for name in ("lang_found", "lang_score", "lang_noise"))
+    model = queries.language_model(docs, noise=NO_LANGUAGE)
+    found = language.identify(docs, model, lang=lang, score=score, noise=noise)
+    read = F.col(lang) != language.UNKNOWN if model.labels else language.has_letter("text")
+    return found.where(read & (F.col(noise) <= model.noise_limit)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +38,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret."""
-    found = secret_scan.redact(secret_scan.find_secrets(docs))
-    return found.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
+    spans = spare_name(docs, "spans")
+    found = secret_scan.redact(secret_scan.find_secrets(docs, spans=spans), spans=spans)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    return found.select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

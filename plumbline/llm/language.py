@@ -41,7 +41,7 @@ DOCS_PER_LABEL, WORDS_PER_DOC, LETTERS_PER_DOC, LEXICON_COUNT, PASSES, DECAY = 4
 #: words times labels in training, and documents of each label however many labels there are
 TRAINING_CELLS, LEAST_DOCS = 1 << 24, 4
 #: words times labels, padding included, that the sums run over at once
-CELLS = 1 << 20
+CELLS = 1 << 21
 #: words a worker remembers, besides those of one step, and these words times labels
 CACHE_ENTRIES, CACHE_CELLS = 400_000, 1 << 23
 #: new words whose features are worked out at once

@@ -5,10 +5,11 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from plumbline.llm import mixing, simhash
+from plumbline.llm import language, mixing, simhash
 from plumbline.llm.frames import settle
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -50,7 +51,7 @@ def test_stages(spark, folder):
     for r in clean.collect():
         assert r.text == before[r.doc_id].replace(SECRET, "[SECRET]") and r.n_chars == len(r.text)
     mixed = settle(stages["source_mix"](spark, clean, folder))
-    wanted = sum(r.copies * r.rows for r in mixing.mix(clean).collect())
+    wanted = sum(r.copies for r in mixing.mix(clean).collect())
     assert mixed.columns == COLUMNS and mixed.count() == wanted > clean.count()
     out = stages["bpe_encoding"](spark, mixed, folder).collect()
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -65,3 +66,31 @@ def test_stages(spark, folder):
 def test_an_empty_table(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_junk_goes_and_clean_documents_stay(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    junk = [(900 + r.doc_id, language.shuffled(r.text), r.lang, r.source, r.n_chars) for r in docs.where("doc_id < 40").collect()]
+    junk += [(2000, "### $$$ 123", "en", "s0", 11)]
+    kept = corpus_pipeline.identify_language(spark, docs.unionByName(spark.createDataFrame(junk, docs.schema)), folder)
+    ids = {r.doc_id for r in kept.collect()}
+    assert ids >= set(range(160)) | {500} and len(ids & {r[0] for r in junk}) <= 2 and 2000 not in ids
+
+
+def test_columns_of_any_name_and_type_go_through(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns(
+        {
+            "base": F.lit("b"), "candidates": F.create_map(F.lit("a"), F.col("doc_id")), "spans": F.lit("mine"), "mark": F.lit(1), "fingerprint": F.lit(2),
+            "lang_found": F.lit(3), "lang_score": F.lit(None).cast("double"), "copies": F.array(F.create_map(F.lit(1), F.lit(1))), "ids": F.lit("x"), "root": F.lit(4),
+        }
+    )
+    at = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = settle(stage(spark, at, folder))
+        assert at.columns == docs.columns
+    assert {(r.base, r.spans, r.mark, r.fingerprint) for r in at.collect()} == {("b", "mine", 1, 2)}
+    assert all(r.candidates == {"a": r.doc_id} for r in at.where("doc_id is not null").collect())
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == at.count()
+    without = docs.drop("n_chars")
+    assert corpus_pipeline.redact_secrets(spark, without, folder).columns == without.columns
