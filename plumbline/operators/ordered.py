@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 from pyspark.sql.types import (
     BooleanType,
     DataType,
@@ -58,6 +58,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut`` a frame and count its rows while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return (out, seen.get["n"]) if shared_folder(df.sparkSession) is not None else (out, out.count())
+
+
 def ordered_running(
     df: DataFrame,
     order: list[Column],

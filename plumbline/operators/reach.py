@@ -1,4 +1,4 @@
-"""Reachability along directed links: chains and cycles are condensed before anything is followed step by step.
+"""Reachability along directed links; in deep ones chains and cycles are condensed before anything is followed step by step.
 
 A chain (each node the only one behind the one before it) is found by pointer
 doubling, so its length costs rounds of its logarithm. Cycles become one part
@@ -17,31 +17,54 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.operators.ordered import cut
+from plumbline.operators.ordered import cut, cut_counted
 
 #: rounds after which the tables of a closure's rounds are joined into one
 COMPACT = 8
 
 
+#: rounds that are tried on the links as they are, before chains and cycles are condensed
+SHALLOW = 8
+
+
 def closure(start: DataFrame, step_from: Callable[[DataFrame], DataFrame], key: list[str]) -> DataFrame:
     """All rows reached from the first ones, each key once: rounds of steps until nothing is new.
 
     A round is one write; now and then the rounds so far are joined into one
     table, so that a long chain does not read ever more of them.
     """
-    rounds, step = [], start
+    return closure_within(start, step_from, key, None)
+
+
+def closure_within(start: DataFrame, step_from: Callable[[DataFrame], DataFrame], key: list[str], most: int | None) -> DataFrame | None:
+    """``closure``, or None if ``most`` rounds do not end it."""
+    rounds, step, done = [], start, 0
     while True:
         if rounds:
             step = step.join(reduce(DataFrame.unionByName, rounds).select(*key), key, "left_anti")
-        new = cut(step)
-        if new.isEmpty():
+        new, n = cut_counted(step)
+        if not n:
             return reduce(DataFrame.unionByName, rounds) if rounds else new
+        if done == most:
+            return None
         rounds.append(new)
+        done += 1
         if len(rounds) > COMPACT:
             rounds = [cut(reduce(DataFrame.unionByName, rounds))]
         step = step_from(new)
 
 
+def shallow_pairs(links: DataFrame, starts: DataFrame) -> DataFrame | None:
+    """(start, node): the nodes reached from each start, if that takes no more than ``SHALLOW`` rounds."""
+    links = cut(links.select("a", "b").where("a is not null and b is not null").distinct())
+
+    def below(rows: DataFrame) -> DataFrame:
+        return rows.withColumnRenamed("node", "a").join(links, "a").select("start", F.col("b").alias("node")).distinct()
+
+    first = starts.select(F.col("node").alias("start"), F.col("node")).distinct()
+    return closure_within(below(first), below, ["start", "node"], SHALLOW)
+
+
 def chains(links: DataFrame) -> DataFrame:
     """(node, chain, place, ring) of the nodes of links (a, b), a <> b: the first node of the chain, and the steps from there.
 
@@ -172,10 +195,15 @@ def reached_parts(whole: Condensed, starts: DataFrame) -> DataFrame:
 
 
 def reach_counts(links: DataFrame, starts: DataFrame) -> DataFrame:
-    """(node, reached): how many nodes each start (node) reaches over one link or more, itself included if it does; no pair is listed.
+    """(node, reached): how many nodes each start (node) reaches over one link or more, itself included if it does.
 
-    Starts without a link reach none.
+    Starts without a link reach none. Of deep links no pair is listed: parts are
+    counted by their sizes.
     """
+    pairs = shallow_pairs(links, starts)
+    if pairs is not None:
+        counts = pairs.groupBy(F.col("start").alias("node")).agg(F.count(F.lit(1)).alias("reached"))
+        return starts.select("node").distinct().join(counts, "node", "left").na.fill(0, ["reached"])
     whole = condense(links)
     sizes = whole.members.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
     own = starts.select("node").distinct().join(whole.members, "node", "left").join(sizes, "part", "left")
@@ -187,6 +215,9 @@ def reach_counts(links: DataFrame, starts: DataFrame) -> DataFrame:
 
 def reach_pairs(links: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, node): every node that each start (node) reaches over one link or more, once."""
+    pairs = shallow_pairs(links, starts)
+    if pairs is not None:
+        return pairs
     whole = condense(links)
     own = cut(starts.select("node").distinct().join(whole.members, "node").select(F.col("node").alias("start"), F.col("part").alias("own"), F.col("place").alias("from"), F.col("cyclic"), F.col("loop")))
     beyond = reached_parts(whole, own.select(F.col("own").alias("start"))).withColumnRenamed("start", "own")

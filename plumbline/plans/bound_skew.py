@@ -147,9 +147,9 @@ def heavy_key_counts(spark, d):
 @register(
     "hot_keys_with_blanks",
     f"""SELECT hot_key, count(*) AS row_count, {share('count(*)', '(SELECT count(*) FROM lineitem)')} AS row_share FROM
-    (SELECT CASE WHEN l_orderkey % 3 = 0 THEN NULL WHEN l_orderkey % 5 = 0 THEN 'N' ELSE l_shipmode END AS hot_key FROM lineitem) GROUP BY 1
+    (SELECT CASE WHEN l_orderkey % 3 = 0 THEN NULL WHEN l_orderkey % 5 = 0 THEN 'N' ELSE concat(l_returnflag, l_linenumber) END AS hot_key FROM lineitem) GROUP BY 1
     ORDER BY 2 DESC, 1 LIMIT 4""",
 )
 def hot_keys_with_blanks(spark, d):
-    key = "CASE WHEN l_orderkey % 3 = 0 THEN NULL WHEN l_orderkey % 5 = 0 THEN 'N' ELSE l_shipmode END"
+    key = "CASE WHEN l_orderkey % 3 = 0 THEN NULL WHEN l_orderkey % 5 = 0 THEN 'N' ELSE concat(l_returnflag, l_linenumber) END"
     return skew.hot_keys(Tables(spark, d).lineitem.select(F.expr(key).alias("hot_key")), "hot_key", 4)

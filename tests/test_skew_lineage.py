@@ -161,7 +161,8 @@ def reached_by_hand(links, starts):
     return out
 
 
-def check_reach(spark, links, starts):
+def check_reach(spark, links, starts, monkeypatch, shallow):
+    monkeypatch.setattr(reach, "SHALLOW", shallow)
     frame = spark.createDataFrame([*links, (None, "x"), ("y", None)], "a string, b string")
     nodes = spark.createDataFrame([(s,) for s in starts], "node string")
     want = reached_by_hand(links, starts)
@@ -170,8 +171,8 @@ def check_reach(spark, links, starts):
     assert len(pairs) == len(set(pairs)) and set(pairs) == {(s, n) for s in starts for n in want[s]}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_reach_in_random_graphs(spark, seed):
+@pytest.mark.parametrize("seed, shallow", [(0, 0), (1, 0), (2, 50)])
+def test_reach_in_random_graphs(spark, monkeypatch, seed, shallow):
     draw = random.Random(seed)
     links = set()
     for _ in range(30):
@@ -190,21 +191,18 @@ def test_reach_in_random_graphs(spark, seed):
             links |= {(names[-1], f"r{draw.randrange(20)}"), (f"r{draw.randrange(20)}", names[0])}
     links |= {("self", "self"), ("p", "q"), ("q", "p")}
     nodes = sorted({n for link in links for n in link})
-    check_reach(spark, sorted(links), [*draw.sample(nodes, 25), "self", "p", "nowhere"])
+    check_reach(spark, sorted(links), [*draw.sample(nodes, 25), "self", "p", "nowhere"], monkeypatch, shallow)
 
 
-def test_long_rings_and_chains_take_few_rounds(spark):
+def test_long_rings_and_chains_take_few_rounds(spark, monkeypatch):
     ring = [(f"t{i:04d}", f"t{(i + 1) % 1000:04d}") for i in range(1000)]
     chain = [(f"k{i:04d}", f"k{i + 1:04d}") for i in range(700)]
     links = [*ring, *chain, ("base", "t0007"), ("t0500", "k0000"), ("other", "t0900")]
     frame = spark.createDataFrame(links, "a string, b string")
-    written = []
-    real = reach.cut
-    reach.cut = lambda df: written.append(1) or real(df)
-    try:
-        got = {r.node: r.reached for r in reach.reach_counts(frame, spark.createDataFrame([("base",), ("t0003",), ("k0100",), ("other",)], "node string")).collect()}
-    finally:
-        reach.cut = real
+    written, real = [], reach.cut
+    monkeypatch.setattr(reach, "cut", lambda df: written.append(1) or real(df))
+    monkeypatch.setattr(reach, "SHALLOW", 2)
+    got = {r.node: r.reached for r in reach.reach_counts(frame, spark.createDataFrame([("base",), ("t0003",), ("k0100",), ("other",)], "node string")).collect()}
     assert got == {"base": 1701, "t0003": 1701, "k0100": 600, "other": 1701}
     assert len(written) < 45
 
