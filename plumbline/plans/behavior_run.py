@@ -57,6 +57,11 @@ def run(
     if "features" in dimensions:
         out["feature_penetration"] = behavior.feature_penetration(clean)
         out["feature_co_use"] = behavior.feature_co_use(clean)
+        # kept are users that came back on a day after their first
+        day = F.to_date("timestamp")
+        kept = clean.groupBy("user_id").agg((F.max(day) > F.min(day)).alias("retained"))
+        out["feature_lift"] = behavior.feature_lift(clean, kept)
+        out["pattern_insights"] = behavior.pattern_insights(out["feature_lift"])
     if "churn" in dimensions:
         out["churn_scores"] = behavior.churn_scores(clean, as_of, days, window_days)
         out["risk_distribution"] = behavior.risk_distribution(out["churn_scores"])

@@ -7,32 +7,37 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.operators import compare, quality, rules
+from plumbline.plans.shared import in_one_pass
 
 
 def run(
     df: DataFrame, as_of: str, keys: list[str] | None = None, enums: list[str] | None = None, exact: bool = True
 ) -> dict[str, DataFrame]:
-    """All row-level checks of one table as named lazy frames."""
+    """All row-level checks of one table as named frames.
+
+    The checks that aggregate the table to one row (rows, missing values,
+    numbers, texts, times) share one scan, which is made here; the others are
+    computed when they are used.
+    """
     categories = {f.name: quality.column_category(f.name, f.dataType) for f in df.schema.fields}
     keys = keys if keys is not None else [c for c, k in categories.items() if k == "identifier"]
     texts, numbers, times = quality.string_columns(df), quality.numeric_columns(df), quality.time_columns(df)
     enums = enums if enums is not None else [c for c in texts if categories[c] in ("flag", "dimension")]
     numbers = [c for c in numbers if categories[c] == "measure"]
-    out = {
-        "row_count": quality.row_count(df),
-        "null_rates": quality.null_rates(df),
-        "structure": quality.structure_findings(df),
-    }
+    single = {"row_count": quality.row_count, "null_rates": quality.null_rates}
+    if numbers:
+        single["numeric_profile"] = lambda t: quality.numeric_profile(t, numbers)
+    if texts:
+        single["dirty_strings"] = lambda t: quality.dirty_strings(t, texts)
+    if times:
+        single["time_sanity"] = lambda t: quality.time_sanity(t, as_of, times)
+    out = in_one_pass(df, single)
+    out["structure"] = quality.structure_findings(df)
     out |= {f"duplicate_{k}": quality.duplicate_keys(df, k) for k in keys}
     if keys:
         out["key_duplication"] = quality.key_duplication(df, keys)
     if numbers:
-        out["numeric_profile"] = quality.numeric_profile(df, numbers)
         out["iqr_outliers"] = quality.iqr_outliers(df, numbers, exact=exact)
-    if texts:
-        out["dirty_strings"] = quality.dirty_strings(df, texts)
-    if times:
-        out["time_sanity"] = quality.time_sanity(df, as_of, times)
     time_texts = [c for c in texts if any(w in c.lower() for w in quality.TIME_WORDS)]
     if time_texts:
         out["time_text_range"] = quality.time_text_range(df, time_texts)

@@ -172,7 +172,8 @@ def test_preprocessing(spark):
 def test_run_stops_at_the_gate(events):
     assert set(behavior_run.run(events, AS_OF)) == {"quality_score"}  # below 100 records
     full = behavior_run.run(events, AS_OF, min_records=0)
-    assert {"active_users", "rfm_segments", "churn_scores", "actions", "feature_co_use"} <= set(full)
+    assert {"active_users", "rfm_segments", "churn_scores", "actions", "feature_co_use", "pattern_insights"} <= set(full)
+    assert full["feature_lift"].count() > 0 and full["pattern_insights"].count() == 0
     assert full["churn_scores"].count() == 3
     assert [r.action_code for r in full["actions"].collect()] == ["churn_win_back", "retention_onboarding"]
     only = behavior_run.run(events, AS_OF, min_records=0, dimensions=["rfm"])

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import lineage, ordered, reach, skew
+from plumbline.operators import lineage, ordered, quality, reach, skew
 from plumbline.plans import quality_run
 from plumbline.sources import sinks, tables
 from plumbline.sources.events import read_report_detail
@@ -441,6 +441,20 @@ def test_quality_runs(spark, by):
     assert got["column sku"]["severity"] == "critical" and got["coverage of file_id"]["row_count"] == 1
 
 
+def test_checks_of_one_row_share_a_scan(spark, by):
+    df = spark.createDataFrame([("1", "a ", 1.0, "2024-01-02"), ("1", None, float("nan"), "2019-01-01"), (" ", "b", 3.0, None)], "file_id string, kind string, size double, day string")
+    df = df.withColumn("at", F.col("day").cast("timestamp")).drop("day")
+    frames = quality_run.run(df, "2024-01-01")
+    for name, alone in {
+        "row_count": quality.row_count(df), "null_rates": quality.null_rates(df), "numeric_profile": quality.numeric_profile(df, ["size"]),
+        "dirty_strings": quality.dirty_strings(df), "time_sanity": quality.time_sanity(df, "2024-01-01"),
+    }.items():
+        assert frames[name].columns == alone.columns and frames[name].collect() == alone.collect()
+        # the table itself is not read again
+        plan = frames[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert "file_id#" not in plan and plan.count("Relation [") == 1
+
+
 def stored(path, kind="parquet"):
     return [f for f in path.rglob(f"*.{kind}") if not f.name.startswith((".", "_"))]
 
