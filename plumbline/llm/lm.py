@@ -20,28 +20,28 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.llm.frames import settle, spare_name
-from plumbline.llm.words import LOWER, Sent, word_counts
+from plumbline.llm.words import LOWER, Sent, most_frequent, word_counts
 
 #: classes of rare words, the class of the end, and classes in all
 RARE, END, CLASSES = 64, 64, 2048
 #: length of a class's vector, noise classes of a step, tokens of a step, tokens mixed before they are cut into steps
-WIDTH, NOISE, STEP, MIXED = 32, 64, 1024, 1 << 17
+WIDTH, NOISE, STEP, MIXED = 16, 32, 1024, 1 << 17
 #: rounds of training, and tokens that a training task has at least
 ROUNDS, SHARD_TOKENS = 3, 1_000_000
 RATE = 0.1
 #: words whose counts go to every worker; those of the others come by a join
-TABLE = 1 << 19
+TABLE = 1 << 18
 #: added to every count
 SMOOTH = 0.1
 #: rare words whose class a worker remembers
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: texts that are cut into words at once
 TEXTS = 200
 #: parameters travel in pieces of so many numbers
@@ -90,20 +90,22 @@ def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    return rows[starts], np.add.reduceat(values[order], starts, axis=0)
+    return rows[starts], np.add.reduceat(values.take(order, axis=0), starts, axis=0)
 
 
-def step(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, target: np.ndarray, noise: np.ndarray, chances: np.ndarray) -> None:
-    """One step of noise-contrastive estimation; the noise classes are shared by all tokens of the step."""
-    r1, r2 = p["R"][one], p["R"][two]
+def step(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, target: np.ndarray, noise: np.ndarray, lift: np.ndarray) -> None:
+    """One step of noise-contrastive estimation; the noise classes are shared by all tokens of the step.
+
+    ``lift`` is the logarithm of how often each class is expected among them.
+    """
+    r1, r2 = p["R"].take(one, axis=0), p["R"].take(two, axis=0)
     h = r1 @ p["A"] + r2 @ p["B"]
-    qt, qn = p["Q"][target], p["Q"][noise]
-    lift = np.log(np.float32(len(noise))) + np.log(chances)
+    qt, qn = p["Q"].take(target, axis=0), p["Q"].take(noise, axis=0)
     real = np.einsum("ij,ij->i", h, qt) + p["b"][target] - lift[target]
     drawn = h @ qn.T + (p["b"][noise] - lift[noise])
     # chance that the model takes a real one for noise, and noise for a real one
-    g_real = -1 / (1 + np.exp(np.clip(real, -30, 30)))
-    g_drawn = 1 / (1 + np.exp(np.clip(-drawn, -30, 30)))
+    with np.errstate(over="ignore"):
+        g_real, g_drawn = -1 / (1 + np.exp(real)), 1 / (1 + np.exp(-drawn))
     scale = np.float32(1 / len(target))
     g_real, g_drawn = (g_real * scale).astype(np.float32), (g_drawn * scale).astype(np.float32)
     d_h = g_real[:, None] * qt + g_drawn @ qn
@@ -149,7 +151,7 @@ class Classes(dict):
         out = np.full(ends[-1] if len(ends) else 0, END, np.int32)
         inside = np.ones(len(out), bool)
         inside[ends - 1] = False
-        out[inside] = np.fromiter((self[w] for t in words for w in t), np.int32, int(inside.sum()))
+        out[inside] = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int32, int(inside.sum()))
         return out, np.concatenate([[0], ends[:-1]]).astype(np.int64)
 
 
@@ -158,7 +160,7 @@ class Model:
     """Counts of all training words (a settled frame word, n), the most frequent ones at hand, and the parameters."""
 
     counts: DataFrame
-    words: list[str]
+    words: list[bytes]
     numbers: np.ndarray
     train_tokens: int
     train_texts: int
@@ -178,16 +180,22 @@ class Model:
     @property
     def parts(self) -> tuple:
         """What scoring needs besides the counts, for a broadcast of bounded size."""
-        return self.words, self.numbers, self.frequent, self.train_texts, self.train_tokens, self.different, self.rare_space(), self.flat
+        joined, ends = b"".join(self.words), np.cumsum([len(w) for w in self.words], dtype=np.int64)
+        return joined, ends, self.numbers, self.frequent, self.train_texts, self.train_tokens, self.different, self.rare_space(), self.flat
 
 
 def tables(flat: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scores by the class before, by the one before that (rows: context), and the logarithm of each context's normaliser."""
     p = {k: v.astype(np.float64) for k, v in Shape(classes).views(flat).items()}
-    near, far = p["R"] @ p["A"] @ p["Q"].T + p["b"], p["R"] @ p["B"] @ p["Q"].T
-    top, top_far = near.max(axis=1, keepdims=True), far.max(axis=1, keepdims=True)
-    whole = np.exp(near - top) @ np.exp(far - top_far).T
-    return near.astype(np.float32), far.astype(np.float32), (np.log(whole) + top + top_far.T).astype(np.float32)
+    near, far = (p["R"] @ p["A"] @ p["Q"].T + p["b"]).astype(np.float32), (p["R"] @ p["B"] @ p["Q"].T).astype(np.float32)
+    top = far.max(axis=1)
+    factors = np.exp((far - top[:, None]).astype(np.float64)).T
+    whole = np.empty_like(near)
+    for lo in range(0, classes, 256):
+        some = near[lo : lo + 256].astype(np.float64)
+        most = some.max(axis=1, keepdims=True)
+        whole[lo : lo + 256] = np.log(np.exp(some - most) @ factors) + most + top
+    return near, far, whole
 
 
 def averaged(parts: DataFrame) -> np.ndarray:
@@ -210,11 +218,11 @@ def averaged(parts: DataFrame) -> np.ndarray:
     return np.concatenate([np.frombuffer(r.numbers, np.float32) for r in rows]) if rows else np.zeros(0, np.float32)
 
 
-def trained(docs: DataFrame, frequent: list[str], chances: np.ndarray, shards: int) -> np.ndarray:
+def trained(docs: DataFrame, frequent: list[bytes], chances: np.ndarray, shards: int) -> np.ndarray:
     """Parameters after all rounds over the texts (text, binary)."""
     spark = docs.sparkSession
     flat = first_parameters(chances)
-    shape, known = Shape(len(chances)), Sent(spark, [w.encode() for w in frequent], Classes)
+    shape, known = Shape(len(chances)), Sent(spark, frequent, Classes)
     spread = np.cumsum(chances / chances.sum())
     for part in range(ROUNDS):
         sent = Sent(spark, flat)
@@ -222,7 +230,7 @@ def trained(docs: DataFrame, frequent: list[str], chances: np.ndarray, shards: i
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, classes, draw = sent.get().copy(), known.get(), np.random.default_rng(part)
             p, seen = shape.views(own), 0
-            likely = chances.astype(np.float32)
+            lift = np.log(NOISE * chances).astype(np.float32)
             held: list[tuple[np.ndarray, ...]] = []
 
             def learn() -> None:
@@ -233,7 +241,7 @@ def trained(docs: DataFrame, frequent: list[str], chances: np.ndarray, shards: i
                 for lo in range(0, len(order), STEP):
                     some = order[lo : lo + STEP]
                     noise = np.minimum(np.searchsorted(spread, draw.random(NOISE)), len(spread) - 1)
-                    step(p, one[some], two[some], target[some], noise, likely)
+                    step(p, one[some], two[some], target[some], noise, lift)
                 seen += len(target)
 
             for batch in batches:
@@ -266,10 +274,10 @@ def train(df: DataFrame, text: str = "text") -> Model:
     docs = df.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("text"))
     counts = settle(word_counts(df, text, F.lit(None)).select("word", "n"))
     texts = docs.count()
-    top = counts.orderBy(F.desc("n"), "word").limit(TABLE).toArrow()
+    top = most_frequent(counts, "n", TABLE).select(F.col("word").cast("binary"), "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     words, numbers = top["word"].to_pylist(), top["n"].to_numpy().astype(np.int64)
     frequent = words[: CLASSES - END - 1]
-    of_their_own = {w.encode() for w in frequent}
+    of_their_own = set(frequent)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, different = np.zeros(RARE, np.int64), np.zeros(RARE, np.int64)
@@ -295,15 +303,16 @@ class Scorer:
     """What a worker needs to score texts, from the model's arrays."""
 
     def __init__(self, parts: tuple):
-        words, numbers, frequent, texts, total, different, space, flat = parts
-        self.index = dict(zip([w.encode() for w in words], range(len(words))))
-        self.classes = np.fromiter((rare_class(w) for w in self.index), np.int32, len(words))
+        joined, ends, numbers, frequent, texts, total, different, space, flat = parts
+        ends = ends.tolist()
+        self.index = {joined[a:b]: i for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends))}
+        self.classes = np.fromiter(map(rare_class, self.index), np.int32, len(ends))
         self.classes[:frequent] = np.arange(END + 1, END + 1 + frequent)
         self.base = np.log10(numbers + SMOOTH) - np.log10(total + SMOOTH * (different + 1))
         self.none = np.log10(total + SMOOTH * (different + 1))
         self.end, self.end_known = np.log10(texts + SMOOTH) - self.none, int(texts > 0)
         self.space = np.log10(space)
-        self.within = np.zeros(len(words))
+        self.within = np.zeros(len(ends))
         self.within[frequent:] = np.log10(numbers[frequent:] + SMOOTH) - self.space[self.classes[frequent:]]
         self.near, self.far, self.whole = tables(flat, END + 1 + frequent)
 
@@ -315,7 +324,7 @@ class Scorer:
         inside = np.ones(int(ends[-1]) if len(ends) else 0, bool)
         inside[ends - 1] = False
         at = np.full(len(inside), -2, np.int64)
-        at[inside] = np.fromiter(map(self.index.get, (w for t in words for w in t), repeat(-1)), np.int64, int(inside.sum()))
+        at[inside] = np.fromiter(map(self.index.get, chain.from_iterable(words), repeat(-1)), np.int64, int(inside.sum()))
         known = at >= 0
         stream, base, within = np.full(len(at), END, np.int32), np.full(len(at), self.end), np.zeros(len(at))
         stream[known], base[known], within[known] = self.classes[at[known]], self.base[at[known]], self.within[at[known]]
@@ -380,9 +389,9 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | Non
     first = settle(frame.mapInArrow(run, schema))
     none = float(np.log10(model.train_tokens + SMOOTH * (model.different + 1)))
     words = first.select(F.col(f"`{row}`").alias("row"), F.inline(f"{row}_words"))
-    # words beyond the table are at most as frequent as its last one
-    least = int(model.numbers[-1]) if len(model.words) == TABLE else 0
-    others = model.counts.where(F.col("n") <= least).select("word", F.col("n").alias("c"))
+    # words beyond the table are less frequent than its last one
+    most = int(model.numbers[-1]) if len(model.words) else 1 << 62
+    others = model.counts.where(F.col("n") < most).select("word", F.col("n").alias("c"))
     c = F.coalesce(F.col("c"), F.lit(0))
     log = F.log10(c + SMOOTH)
     rest = (
