@@ -261,15 +261,18 @@ def recoverable_nulls(
 
 def rule_coverage(
     values: DataFrame, rules: DataFrame, final_values: DataFrame | None = None,
-    value: str = "enum_value", peers: int = 12,
+    value: str = "enum_value", peers: int = 12, order: str | None = None,
 ) -> DataFrame:
     """State of each value in a rule table (alias, target) with a suggested target.
 
+    Of several targets of an alias the last one by the rules' column ``order``
+    counts, where it is given (ties to the largest); else the largest.
     ``final_values`` (value, rank columns ``final_row_count``,
     ``final_entity_count``) adds the most frequent values of the same family.
     """
     targets = rules.select(F.col("target").alias(value)).distinct().withColumn("_is_target", F.lit(True))
-    aliases = rules.where("alias <> target").groupBy(F.col("alias").alias(value)).agg(F.max("target").alias("_alias"))
+    last = F.max("target") if order is None else F.max_by("target", F.struct(F.col(f"`{order}`"), F.col("target")))
+    aliases = rules.where("alias <> target").groupBy(F.col("alias").alias(value)).agg(last.alias("_alias"))
     joined = values.join(targets, value, "left").join(aliases, value, "left")
     is_target, is_alias = F.col("_is_target").isNotNull(), F.col("_alias").isNotNull()
     out = joined.withColumns(

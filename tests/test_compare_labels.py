@@ -356,3 +356,11 @@ def test_value_forms(spark, by):
     got = by(labels.form_summary(forms), "layer")
     assert all(r["compact_match_rows"] == 1 and r["display_only"] for r in got.values())
     assert (got["ods"]["decoded_match_rows"], got["dim"]["decoded_match_rows"], got["dim"]["plain_rows"]) == (1, 0, 1)
+
+
+def test_the_last_rule_of_an_alias_counts(spark):
+    values = spark.createDataFrame([("x",), ("y",)], "enum_value string")
+    rules = spark.createDataFrame([("x", "zz", 1), ("x", "aa", 3), ("x", "mm", 2), ("y", "b", 5), ("y", "c", 5)], "alias string, target string, line int")
+    got = {r.enum_value: r.suggested_target for r in labels.rule_coverage(values, rules, order="line").collect()}
+    assert got == {"x": "aa", "y": "c"}
+    assert {r.enum_value: r.suggested_target for r in labels.rule_coverage(values, rules).collect()} == {"x": "zz", "y": "c"}
