@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.llm.frames import settle
-from plumbline.llm.words import Sent, byte_table, word_counts
+from plumbline.llm.words import Sent, byte_table, most_frequent, word_counts
 
 #: what parts pieces; no phrase goes beyond
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 #: words with a code (the most frequent ones), and phrases of one trie
 DICTIONARY, TRIE = 1 << 19, 1 << 17
-#: codes of one shard in memory, and texts that are cut at once
-SHARD, TEXTS = 1 << 22, 200
+#: codes of one shard in memory, texts that are cut at once, and counts that travel together
+SHARD, TEXTS, PIECE = 1 << 22, 200, 4096
 #: language of texts without one
 NO_LANGUAGE = "und"
 #: a byte that no UTF-8 text holds stands for the end of a piece
@@ -258,7 +258,11 @@ def candidates(texts: DataFrame, depth: int, langs: Sent, least: int, before: Da
                     if both:
                         good &= mark[at + 1]
                     at, first = at[good], number[good].astype(np.int64)
-                packed, n = np.unique((first << 21) | codes[at + depth - 1], return_counts=True)
+                first <<= 21
+                first |= codes[at + depth - 1]
+                first.sort()
+                ends = np.flatnonzero(np.append(first[1:] != first[:-1], True)) if len(first) else np.zeros(0, np.int64)
+                packed, n = first[ends], np.diff(ends, prepend=-1)
                 first, last = packed >> 21, (packed & ((1 << 21) - 1)).astype(np.int32)
                 rows = np.column_stack([first.astype(np.int32) if trie is None else phrases[first], last])
                 share = np.bincount(of[codes], minlength=len(whole)) / np.maximum(whole, 1)
@@ -293,17 +297,22 @@ def counted(texts: DataFrame, phrases: DataFrame, depth: int, least: int) -> Dat
             n = np.zeros(len(rows), np.int64)
             for codes in shards(batches, most):
                 n += np.bincount(trie.find(codes)[1], minlength=len(rows))
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n[some])], names=["phrase", "n"])
+            full = [lo for lo in range(0, len(n), PIECE) if n[lo : lo + PIECE].any()]
+            pieces = [n[lo : lo + PIECE].tobytes() for lo in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(pieces, pa.binary())], names=["first", "numbers"])
 
-        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = sent.get()[0]
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows, sums = sent.get()[0], {}
             for batch in batches:
-                keys = as_keys(rows[batch.column(0).to_numpy()])
-                yield pa.RecordBatch.from_arrays([keys, batch.column(1)], names=["key", "f"])
+                for first, numbers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    sums[first] = sums.get(first, 0) + np.frombuffer(numbers, np.int64)
+            for first, n in sums.items():
+                some = np.flatnonzero(n >= least)
+                yield pa.RecordBatch.from_arrays([as_keys(rows[first + some]), pa.array(n[some])], names=["key", "f"])
 
-        sums = texts.mapInArrow(count, "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("n"))
-        return sums.where(F.col("n") >= least).mapInArrow(named, "key binary, f long")
+        # the counts of a task travel in pieces, and each piece is summed as its rows come by
+        counts = texts.mapInArrow(count, "first int, numbers binary")
+        return counts.repartition("first").mapInArrow(add, "key binary, f long")
 
     out = None
     for pair in tries(phrases, depth):
@@ -355,9 +364,9 @@ def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", leas
     counts = settle(word_counts(docs, "text", F.col("lang"), WORDS))
     totals = settle(counts.groupBy(F.col("grp").alias("lang")).agg(F.sum("n").alias("n")))
     one = settle(counts.where(F.col("n") >= least).select(F.col("grp").alias("lang"), F.col("word").alias("phrase"), F.col("n").alias("f")))
-    top = one.orderBy(F.desc("f"), "lang", "phrase").limit(DICTIONARY).toArrow()
+    top = most_frequent(one, "f", DICTIONARY).toArrow().sort_by([("f", "descending"), ("lang", "ascending"), ("phrase", "ascending")])
     words = list(zip(top["lang"].to_pylist(), top["phrase"].to_pylist()))
-    if not words:
+    if one.isEmpty():
         return one, totals
     names = sorted({name for name, _ in words})
     number = {name: i for i, name in enumerate(names, 1)}
@@ -377,12 +386,12 @@ def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", leas
             )
 
     before = None
-    for depth in range(2, longest + 1):
+    for depth in range(2, longest + 1 if words else 2):
         before = counted(texts, candidates(texts, depth, langs, least, before), depth, least)
         if before.isEmpty():
             break
         found.append(before.mapInArrow(named, "lang string, phrase string, f long"))
-    if one.count() > DICTIONARY:
+    if one.count() > len(words):
         found.append(beyond(docs, coder, longest, least))
     out = found[0]
     for other in found[1:]:
@@ -433,5 +442,5 @@ def collocations(
     cuts = cuts.withColumn("score", cut_score(F.col("a"), F.col("n"), F.col("l"), F.col("r")))
     lowest = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    ranked = lowest.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
-    return ranked.select("lang", "rank", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
+    ranked = lowest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return ranked.select("lang", F.col("rank").cast("long"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
