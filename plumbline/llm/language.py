@@ -41,7 +41,7 @@ DOCS_PER_LABEL, WORDS_PER_DOC, LETTERS_PER_DOC, LEXICON_COUNT, PASSES, DECAY = 4
 #: words times labels in training, and documents of each label however many labels there are
 TRAINING_CELLS, LEAST_DOCS = 1 << 24, 4
 #: words times labels, padding included, that the sums run over at once
-CELLS = 1 << 21
+CELLS = 1 << 20
 #: words a worker remembers, besides those of one step, and these words times labels
 CACHE_ENTRIES, CACHE_CELLS = 400_000, 1 << 23
 #: new words whose features are worked out at once
@@ -206,8 +206,9 @@ def label_sums(model: Model, each: list[list[str]]) -> np.ndarray:
         sums[some] = np.add.reduceat(p, np.cumsum(n) - n, axis=0)
         some.clear()
 
-    held = 0
-    for i in np.flatnonzero(lengths).tolist():
+    # texts of like length together: a step takes as many rounds as its longest text has words
+    held, order = 0, np.argsort(-lengths, kind="stable")
+    for i in order[lengths[order] > 0].tolist():
         if lengths[i] > most:
             sums[i] = long_sums(model, each[i], most)
             continue
