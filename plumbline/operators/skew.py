@@ -171,6 +171,18 @@ def two_stage_agg(
     return partial.groupBy(*keys).agg(*second).select(*keys, *final)
 
 
+def merged(df: DataFrame, by: list[str], count: str, sums: dict[str, str] | None = None) -> DataFrame:
+    """One row per different values in ``by``, null included: how many rows it stands for (``count``) and their sums.
+
+    ``sums`` maps an output name to a column. Where only totals of a join are
+    wanted, merged sides meet instead of all rows: a pair of merged rows stands
+    for the product of their counts, and a sum of one side counts as often as
+    the other side has rows. A key that is heavy on both sides then costs the
+    product of its different rows, not of all its rows.
+    """
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias(count), *[F.sum(c).alias(out) for out, c in (sums or {}).items()])
+
+
 def salt_parts(large: DataFrame, small: DataFrame, key: str, share: float, part_rows: int | None, fraction: float | None) -> DataFrame | None:
     """(key, parts_l, parts_s) of the keys that are heavy on a side: into how many parts each side's rows of the key are cut.
 

@@ -120,9 +120,13 @@ BOTH = "CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE s_suppkey END"
     FROM {HOT_SQL} JOIN (SELECT *, {BOTH} AS key FROM supplier) ON hot_key = key GROUP BY 1, 2""",
 )
 def salted_join_both_sides(spark, d):
-    suppliers = Tables(spark, d).supplier.withColumn("hot_key", F.expr(BOTH))
-    joined = skew.salted_join(hot(spark, d), suppliers, "hot_key", share=0.02)
-    return joined.groupBy("s_nationkey", "l_linenumber").agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.col("l_orderkey").cast("long")).alias("order_sum"))
+    suppliers = skew.merged(Tables(spark, d).supplier.withColumn("hot_key", F.expr(BOTH)), ["hot_key", "s_nationkey"], "suppliers")
+    lines = hot(spark, d).withColumn("l_orderkey", F.col("l_orderkey").cast("long"))
+    lines = skew.merged(lines, ["hot_key", "l_linenumber"], "lines", {"orders": "l_orderkey"})
+    joined = skew.salted_join(lines, suppliers, "hot_key", share=0.02)
+    return joined.groupBy("s_nationkey", "l_linenumber").agg(
+        F.sum(F.col("lines") * F.col("suppliers")).alias("row_count"), F.sum(F.col("orders") * F.col("suppliers")).alias("order_sum")
+    )
 
 
 @register(

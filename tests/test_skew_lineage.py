@@ -1,12 +1,13 @@
 """Skew helpers, lineage closures and table sources."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import lineage, ordered, quality, reach, skew
-from plumbline.plans import quality_run
+from plumbline.plans import quality_run, registered
 from plumbline.sources import sinks, tables
 from plumbline.sources.events import read_report_detail
 
@@ -474,3 +475,25 @@ def test_files_of_a_set_size(spark, tmp_path):
     assert {f.parent.name for f in files} == {f"k={i}" for i in range(7)} and spark.read.parquet(str(tmp_path / "by")).count() == 60_000
     assert sinks.write_sized(df.limit(0), str(tmp_path / "none"))["rows"] == 0
     assert sinks.write_sized(df.limit(10), str(tmp_path / "json"), "json")["files"] == 1
+
+
+@pytest.fixture
+def heavy_tables(spark, tmp_path):
+    """Half a million lines and 200,000 suppliers, nearly all with one key: 10^11 pairs; and a few odd rows."""
+    lines = spark.range(500_000).selectExpr("id * 3 AS l_orderkey", "7L AS l_suppkey", "CAST(id % 2 AS INT) AS l_linenumber")
+    odd = spark.createDataFrame([(1, 5, None), (1, 5, None), (None, 5, 0), (1, None, 1), (2, 9, 1)], "l_orderkey long, l_suppkey long, l_linenumber int")
+    suppliers = spark.range(200_000).selectExpr("id * 2 AS s_suppkey", "CAST(id % 2 AS INT) AS s_nationkey", "'x' AS s_name")
+    others = spark.createDataFrame([(5, 3, None), (5, 3, None), (5, 3, "y"), (7, None, "z"), (None, 1, "n"), (11, 2, None)], "s_suppkey long, s_nationkey int, s_name string")
+    lines.unionByName(odd).write.parquet(f"{tmp_path}/lineitem.parquet")
+    suppliers.unionByName(others).write.parquet(f"{tmp_path}/supplier.parquet")
+    return str(tmp_path)
+
+
+def test_joins_hot_on_both_sides_do_not_list_all_pairs(spark, heavy_tables):
+    began, n = time.time(), 500_000
+    got = {(r.s_nationkey, r.l_linenumber): (r.row_count, r.order_sum) for r in registered.QUERIES["salted_join_both_sides"](spark, heavy_tables).collect()}
+    half = {k: sum(range(k, n, 2)) * 3 for k in (0, 1)}
+    # the key of supplier 5 has three suppliers of nation 3, those of lines 1, 1 and null
+    expected = {(nation, k): (n // 2 * 100_000, half[k] * 100_000) for nation in (0, 1) for k in (0, 1)} | {(3, None): (6, 6), (3, 0): (3, None)}
+    assert got == expected
+    assert time.time() - began < 120
