@@ -135,9 +135,13 @@ def salted_join_both_sides(spark, d):
     FROM {HOT_SQL} LEFT JOIN (SELECT *, {BOTH} AS key FROM supplier WHERE s_suppkey % 4 <> 1) ON hot_key = key GROUP BY 1, 2""",
 )
 def salted_left_join_both_sides(spark, d):
-    suppliers = Tables(spark, d).supplier.where("s_suppkey % 4 <> 1").withColumn("hot_key", F.expr(BOTH))
-    joined = skew.salted_join(hot(spark, d), suppliers, "hot_key", "left", share=0.02)
-    return joined.groupBy("s_nationkey", F.col("s_name").isNull().alias("unmatched")).agg(F.count(F.lit(1)).alias("row_count"))
+    suppliers = Tables(spark, d).supplier.where("s_suppkey % 4 <> 1").withColumns({"hot_key": F.expr(BOTH), "no_name": F.col("s_name").isNull()})
+    suppliers = skew.merged(suppliers, ["hot_key", "s_nationkey", "no_name"], "suppliers")
+    joined = skew.salted_join(skew.merged(hot(spark, d), ["hot_key"], "lines"), suppliers, "hot_key", "left", share=0.02)
+    # a line without a supplier counts once
+    return joined.groupBy("s_nationkey", F.coalesce("no_name", F.lit(True)).alias("unmatched")).agg(
+        F.sum(F.col("lines") * F.coalesce("suppliers", F.lit(1))).alias("row_count")
+    )
 
 
 @register(

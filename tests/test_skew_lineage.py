@@ -497,3 +497,11 @@ def test_joins_hot_on_both_sides_do_not_list_all_pairs(spark, heavy_tables):
     expected = {(nation, k): (n // 2 * 100_000, half[k] * 100_000) for nation in (0, 1) for k in (0, 1)} | {(3, None): (6, 6), (3, 0): (3, None)}
     assert got == expected
     assert time.time() - began < 120
+
+
+def test_left_joins_hot_on_both_sides_do_not_list_all_pairs(spark, heavy_tables):
+    began, n = time.time(), 500_000
+    got = {(r.s_nationkey, r.unmatched): r.row_count for r in registered.QUERIES["salted_left_join_both_sides"](spark, heavy_tables).collect()}
+    # suppliers 5, 9 and so on (1 modulo 4) take no part: lines of 5, 9 and null stay alone
+    assert got == {(0, False): n * 100_000, (1, False): n * 100_000, (None, True): 5}
+    assert time.time() - began < 120
