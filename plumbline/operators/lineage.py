@@ -200,27 +200,34 @@ def column_steps(column_edges: DataFrame, statements: DataFrame) -> DataFrame:
 def base_sources(column_edges: DataFrame, statements: DataFrame, bases: DataFrame) -> DataFrame:
     """(target_table, target_column, base_table, base_column): the base columns behind every column, each once.
 
-    Every (column, column above it) pair is followed once, however many ways
-    lead there; ``base_columns`` lists the ways themselves.
+    Every (column, base column) pair is followed once, from the bases down,
+    however many ways lead there; ``base_columns`` lists the ways themselves.
+    Columns that nothing comes from, mostly the bulk, are on no way between two
+    others: they take no part in the rounds and get the bases of the columns
+    directly above them at the end.
     """
-    start = ["target_table", "target_column"]
-    ok = (F.col("lineage_status") == "ok") & non_blank("source_table") & non_blank("source_column")
-    steps = cut(column_steps(column_edges, statements).select("at", "_table", "_next", "_column").distinct())
+    start, node = ["target_table", "target_column"], ["table", "at"]
+    named = non_blank("source_table") & non_blank("source_column")
     column = normalize_column("source_column")
-    first = column_edges.where(ok).select(
-        *start, F.col("source_table").alias("table"), column.alias("column"), F.concat_ws(".", "source_table", column).alias("at")
-    ).distinct()
-    base_names = cut(bases.select("table_name"))
-    at_base = F.col("table") == F.col("table_name")
-
-    def above(rows: DataFrame) -> DataFrame:
-        linked = rows.join(base_names, at_base, "left_anti").select(*start, "at").join(steps, "at")
-        return linked.select(
-            *start, F.col("_table").alias("table"), F.col("_column").alias("column"), F.col("_next").alias("at")
-        ).distinct()
-
-    found = closure(first, above, [*start, "at"]).join(base_names, at_base, "left_semi")
-    return found.select(*start, F.col("table").alias("base_table"), F.col("column").alias("base_column"))
+    above = column_edges.where(named).select(
+        *start, "lineage_status", F.col("source_table").alias("table"), column.alias("column"), F.concat_ws(".", "source_table", column).alias("at")
+    )
+    sources = cut(above.select(*node, "column").distinct())
+    base_names = cut(bases.select(F.col("table_name").alias("table")))
+    # no way goes on above a base table
+    between = sources.join(base_names, "table", "left_anti").select(F.col("table").alias("_low"), F.col("at").alias("_low_at"))
+    low_at = F.concat_ws(".", "target_table", normalize_column("target_column"))
+    inner = column_edges.withColumn("_low_at", low_at).join(between.select("_low_at").distinct(), "_low_at", "left_semi")
+    steps = column_steps(inner, statements).select(F.col("at").alias("_low_at"), F.col("_table").alias("table"), F.col("_next").alias("at")).distinct()
+    steps = cut(steps.join(between, "_low_at"))
+    first = sources.join(base_names, "table", "left_semi").select(*node, F.col("table").alias("base_table"), F.col("column").alias("base_column"))
+    base = ["base_table", "base_column"]
+
+    def below(rows: DataFrame) -> DataFrame:
+        return rows.join(steps, node).select(F.col("_low").alias("table"), F.col("_low_at").alias("at"), *base).distinct()
+
+    found = closure(first, below, [*node, *base])
+    return above.where("lineage_status = 'ok'").join(found, node).select(*start, *base).distinct()
 
 
 def base_columns(column_edges: DataFrame, statements: DataFrame, bases: DataFrame) -> DataFrame:

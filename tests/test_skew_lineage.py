@@ -505,3 +505,19 @@ def test_left_joins_hot_on_both_sides_do_not_list_all_pairs(spark, heavy_tables)
     # suppliers 5, 9 and so on (1 modulo 4) take no part: lines of 5, 9 and null stay alone
     assert got == {(0, False): n * 100_000, (1, False): n * 100_000, (None, True): 5}
     assert time.time() - began < 120
+
+
+def test_base_sources_follow_no_column_that_nothing_comes_from(spark, monkeypatch):
+    leaves = [(f"s{i}", f"ads.t{i % 500}", "K", "dwd.mid", "k", "ok") for i in range(1000)]
+    mids = [("m", "dwd.mid", "k", "ods.base", "`B`", "ok"), ("m", "dwd.mid", "k", "dwd.mid", "k", "ok"), ("no", "dwd.mid", "k", "ods.other", "b", "ok")]
+    odd = [("x", "ads.x", None, "dwd.mid", "k", "ok"), ("x", "ads.x", "c", "ods.base", "b", "constant"), ("x", "ods.base", "b", "ods.other", "b", "ok")]
+    ce = spark.createDataFrame(leaves + mids + odd, "statement_id string, target_table string, target_column string, source_table string, source_column string, lineage_status string")
+    st = ce.select("statement_id", (F.col("statement_id") != "no").alias("has_query")).distinct()
+    bases = spark.createDataFrame([("ods.base",), ("ods.other",)], "table_name string")
+    followed = []
+    monkeypatch.setattr(lineage, "closure", lambda *args: followed.append(reach.closure(*args)) or followed[-1])
+    found = sorted(map(tuple, lineage.base_sources(ce, st, bases).collect()), key=repr)
+    direct = [("dwd.mid", "k", "ods.other", "b"), ("ods.base", "b", "ods.other", "b")]
+    assert found == sorted([(f"ads.t{i}", "K", "ods.base", "b") for i in range(500)] + [("ads.x", None, "ods.base", "b"), ("dwd.mid", "k", "ods.base", "b")] + direct, key=repr)
+    # three columns that others come from, not a thousand that nothing comes from
+    assert followed[0].count() == 3
