@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -16,10 +17,14 @@ from plumbline.functions.columns import (
     ratio,
     text,
 )
-from plumbline.operators.ordered import by_type, histogram_quantiles, take_per_group
+from plumbline.operators.ordered import by_type, cut, histogram_quantiles, take_per_group
 from plumbline.operators.rules import FINDING_COLUMNS
+from plumbline.operators.skew import heavy_keys
 from plumbline.sources.tables import constant_rows
 
+#: rows that a task takes of rows dealt by a key, and the most keys that are looked after one by one
+TASK_ROWS, MOST_HEAVY = 250_000, 1000
+
 Pair = tuple[str, str, str]  # name, source column, target column
 
 
@@ -234,11 +239,51 @@ def grain_candidates(columns: list[str], candidates: list[list[str]]) -> list[li
     return [keys for keys in candidates if set(keys) <= set(columns)]
 
 
+def sets_by_column(sets: dict[int, list[str]]) -> dict[str | None, dict[int, list[str]]]:
+    """Key lists by a column that several of them share, the most shared ones first; those that share none under None."""
+    out, left = {}, dict(sets)
+    while left or not out:
+        counts = Counter(c for keys in left.values() for c in keys)
+        column, n = max(counts.items(), key=lambda x: x[1], default=(None, 0))
+        if n < 2:
+            out[None] = left
+            break
+        out[column] = {gid: keys for gid, keys in left.items() if column in keys}
+        left = {gid: keys for gid, keys in left.items() if column not in keys}
+    return out
+
+
+def dealt_by(rows: DataFrame, column: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows dealt by a column, rows whose value there has too many of them for one task); None for a part without rows."""
+    total = rows.count()
+    parts = max(1, -(-total // TASK_ROWS))
+    if parts == 1:
+        return rows.repartition(1, column), None
+    share = 1 / min(parts, MOST_HEAVY)
+    heavy = cut(heavy_keys(rows, column, share).withColumnRenamed(column, "_heavy"))
+    if heavy.isEmpty():
+        return rows.repartition(parts, column), None
+    match = F.col(column).eqNullSafe(F.col("_heavy"))
+    light = rows.join(F.broadcast(heavy), match, "left_anti")
+    return light.repartition(parts, column), rows.join(F.broadcast(heavy), match, "left_semi")
+
+
+def distinct_where_they_lie(dealt: DataFrame, column: str, sets: dict[int, list[str]], groups: list[str]) -> DataFrame:
+    """(_gid, keys, values): distinct values per key of several key lists, from rows dealt by a column that all have; no shuffle."""
+    each = dealt.withColumn("_gid", F.explode(F.array(*[F.lit(gid).cast("long") for gid in sets])))
+    cells = {c: F.when(F.col("_gid").isin([gid for gid, keys in sets.items() if c in keys]), F.col(c)) for c in groups if c != column}
+    kept = each.select("_gid", column, *[c.alias(name) for name, c in cells.items()], "_value").distinct()
+    return kept.groupBy("_gid", *groups).agg(F.count(F.lit(1)).alias("values"))
+
+
 def grain_inference(df: DataFrame, field: str, candidates: list[list[str]]) -> DataFrame:
     """Test key lists as the grain of a field; the first with one value per key wins.
 
-    All lists are tested in one scan with grouping sets. They are told apart by
-    the grouping id, because keys themselves may be NULL.
+    All lists are told apart by a number with a bit for each absent column,
+    because keys themselves may be NULL. Lists that share a column are tested
+    together: rows are dealt by it once, and all that is distinct is found where
+    they lie. Values of that column that are too frequent for one task, and
+    lists that share none, go by grouping sets.
     """
     usable = grain_candidates(df.columns, candidates)
     names = list(dict.fromkeys(k for keys in usable for k in keys))
@@ -249,17 +294,25 @@ def grain_inference(df: DataFrame, field: str, candidates: list[list[str]]) -> D
     base = df.where(F.col(field).isNotNull()).select(
         *[plain(k).alias(alias[k]) for k in names], plain(field).alias("_value")
     )
-    ids = {}
+    ids, sets = {}, {}
     for keys in usable:
         absent = [0 if k in keys else 1 for k in names] + [0]
-        ids["+".join(keys)] = reduce(lambda acc, bit: acc * 2 + bit, absent, 0)
-    groups = [*alias.values(), "_value"]
-    sets = [[F.col(alias[k]) for k in keys] + [F.col("_value")] for keys in usable]
-    combos = base.groupingSets(sets, *[F.col(g) for g in groups]).agg(
-        F.grouping_id().cast("long").alias("_gid"), F.count(F.lit(1)).alias("_n")
-    )
-    per_key = combos.groupBy("_gid", *alias.values()).agg(F.count(F.lit(1)).alias("values"))
-    hist = per_key.groupBy("_gid", "values").agg(F.count(F.lit(1)).alias("keys"))
+        gid = reduce(lambda acc, bit: acc * 2 + bit, absent, 0)
+        ids["+".join(keys)] = gid
+        sets[gid] = [alias[k] for k in names if k in keys]
+    groups = [*alias.values()]
+    combos = None
+    for shared, some in sets_by_column(sets).items():
+        dealt, rest = (None, base) if shared is None else dealt_by(base, shared)
+        parts = [] if dealt is None else [distinct_where_they_lie(dealt, shared, some, groups)]
+        if rest is not None:
+            grouped = [[F.col(c) for c in [*keys, "_value"]] for keys in some.values()]
+            by_sets = rest.groupingSets(grouped, *[F.col(g) for g in [*groups, "_value"]]).agg(F.grouping_id().cast("long").alias("_gid"))
+            parts.append(by_sets.groupBy("_gid", *groups).agg(F.count(F.lit(1)).alias("values")))
+        for part in parts:
+            counts = part.groupBy("_gid", "values").agg(F.count(F.lit(1)).alias("keys"))
+            combos = counts if combos is None else combos.unionByName(counts)
+    hist = combos.groupBy("_gid", "values").agg(F.sum("keys").alias("keys"))
     totals = hist.groupBy("_gid").agg(
         F.sum("keys").alias("key_count"), F.max("values").alias("max_distinct_per_key")
     )

@@ -1,5 +1,8 @@
 """Profiles, distributions, mapping cardinality and grain on hand-made frames."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +164,32 @@ def test_field_risk(spark, by):
     df = spark.createDataFrame([("a", 90.0), ("b", 50.0), ("c", 10.0)], "field_name string, miss_rate_pct double")
     got = by(profile.field_risk(df), "field_name")
     assert {k: r["risk_level"] for k, r in got.items()} == {"a": "unusable_slice", "b": "auxiliary_only"}
+
+
+@pytest.mark.parametrize("task_rows", [40, 1_000_000])
+def test_grains_that_share_a_column_agree_with_plain_counts(spark, by, monkeypatch, task_rows):
+    monkeypatch.setattr(mapping, "TASK_ROWS", task_rows)
+    draw = random.Random(3)
+    # a third of the rows has one order, a few have none
+    rows = [(draw.choice([7, 7, 7, None, *range(20, 26)]), draw.choice([None, "a", " a", "b"]), draw.randrange(9), draw.choice([None, 1.0, 2.0, 3.0])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "o int, l string, p int, v double")
+    lists = [["o"], ["o", "l"], ["p"], ["l", "o"], ["o", "l", "p"], ["p", "l"], ["gone"]]
+    got = by(mapping.grain_inference(df, "v", lists), "grain")
+    at = {"o": 0, "l": 1, "p": 2}
+    for keys in lists[:-1]:
+        seen = {}
+        for r in rows:
+            if r[3] is not None:
+                seen.setdefault(tuple(r[at[k]].strip() if k == "l" and r[1] else r[at[k]] for k in keys), set()).add(r[3])
+        sizes = sorted(map(len, seen.values()))
+        one = got["+".join(keys)]
+        assert (one["key_count"], one["max_distinct_per_key"]) == (len(sizes), sizes[-1])
+        assert one["p50_distinct_per_key"] == sizes[math.ceil(len(sizes) * 0.5) - 1] and one["p90_distinct_per_key"] == sizes[math.ceil(len(sizes) * 0.9) - 1]
+    assert len(got) == 6
+
+
+def test_grains_that_share_a_column_are_dealt_once(spark):
+    df = spark.range(1000).selectExpr("id % 100 AS _k0", "id % 7 AS _k1", "CAST(id AS DOUBLE) AS _value")
+    dealt, rest = mapping.dealt_by(df, "_k0")
+    plan = mapping.distinct_where_they_lie(dealt, "_k0", {2: ["_k0"], 0: ["_k0", "_k1"]}, ["_k0", "_k1"])
+    assert rest is None and plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and plan.count() == 800
