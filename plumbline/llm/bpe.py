@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField
 from tokenizers import Tokenizer
 
-from plumbline.llm.frames import over_texts
+from plumbline.llm.frames import over_texts, worker_table
 
 #: entries of a worker's cache of encoded pieces, and the longest piece it keeps
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
@@ -225,10 +224,9 @@ class Encoder:
         return np.frombuffer(b"".join(out + self._plain(text[at:])), self.packed)
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """The encoder of a file, once per worker."""
-    return Encoder(path)
+    return worker_table(__name__, path, Encoder)
 
 
 def id_lists(each: list[np.ndarray]) -> pa.Array:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,6 +54,25 @@ def forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: what this worker keeps from task to task, by operator and key
+_tables: dict[tuple[str, str], object] = {}
+
+
+def worker_table(operator: str, key: str, make: Callable[[str], object]):
+    """What ``make`` gives for a key, made once per worker and kept until a task of another operator begins there."""
+    if (operator, key) not in _tables:
+        _tables[operator, key] = make(key)
+    return _tables[operator, key]
+
+
+def keep_tables(operator: str) -> None:
+    """Let go of the tables of all other operators, so that a worker never holds those of several side by side."""
+    for name in [n for n in _tables if n[0] != operator]:
+        del _tables[name]
+    # tables that refer to themselves go only here
+    gc.collect()
+
+
 def over_texts(
     df: DataFrame, text: str, fn: Callable[[list[str | None]], list[pa.Array]], added: list[StructField], keep: list[str] | None = None
 ) -> DataFrame:
@@ -60,6 +80,7 @@ def over_texts(
 
     ``fn`` gets the texts and returns one array per added column. With ``keep``
     only those columns of the frame go through, else all but the clashing ones.
+    A worker that begins with it lets go of what it kept for functions of other modules.
     """
     names = {f.name.lower() for f in added}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
@@ -70,6 +91,7 @@ def over_texts(
     schema = StructType([*[StructField(f.name, f.dataType, True) for f in frame.schema][:-1], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_tables(fn.__module__)
         for batch in batches:
             for lo in range(0, batch.num_rows, TEXT_ROWS):
                 piece = batch.slice(lo, TEXT_ROWS)

@@ -2,16 +2,19 @@
 
 import hashlib
 import struct
+import weakref
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField
 from tokenizers import Tokenizer
 
-from plumbline.llm import bpe, counts, records
+from plumbline.llm import bpe, counts, frames, records
 from plumbline.llm.frames import new_folder
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -164,3 +167,31 @@ def test_digests_of_a_query_row(spark):
     (row,) = encoding_digests(spark.createDataFrame([(1, "Some words here")], "doc_id long, text string")).collect()
     ids = ids_of(WORDS, "Some words here")
     assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_a_worker_keeps_tables_of_one_operator():
+    class Table:
+        def __init__(self, key):
+            self.own = self  # as an encoder and its pieces refer to each other
+
+    first = frames.worker_table("one", "a", Table)
+    gone = weakref.ref(first)
+    assert frames.worker_table("one", "a", Table) is first
+    frames.keep_tables("one")
+    assert frames.worker_table("one", "a", Table) is first
+    del first
+    frames.keep_tables("another")
+    assert gone() is None
+
+
+def test_another_operator_frees_the_encoder(spark):
+    own = bpe.encoder(WORDS)
+    assert bpe.encoder(WORDS) is own
+    docs = spark.createDataFrame([(n, "plain words") for n in range(4)], "doc_id long, text string").coalesce(1)
+
+    def tables(texts):
+        return [pa.array([sorted(name for name, _ in frames._tables) for _ in texts], pa.list_(pa.string()))]
+
+    added = [StructField("tables", ArrayType(StringType()))]
+    assert bpe.encode_decode(docs, WORDS).count() == 4
+    assert {tuple(r.tables) for r in frames.over_texts(docs, "text", tables, added).collect()} == {()}
