@@ -113,10 +113,12 @@ def table_edges(statements: DataFrame, aliases: dict[str, str] | None = None) ->
         "statement_type",
     )
     rows = rows.withColumn("source_table", normalize_table("_source", aliases)).drop("_source").distinct()
-    made = produced_tables(statements).select(F.col("table_name").alias("source_table"), F.lit(1).alias("_made"))
-    kept = rows.join(made, "source_table", "left").where(is_physical("source_table") | F.col("_made").isNotNull())
     columns = ["statement_id", "file_path", "source_table", "target_table", "target_kind", "statement_type"]
-    return kept.select(*columns)
+    # physical sources, mostly nearly all, need no look at what is produced
+    physical = is_physical("source_table")
+    made = produced_tables(statements).select(F.col("table_name").alias("source_table"))
+    others = rows.where(~physical).join(made, "source_table", "left_semi")
+    return rows.where(physical).select(*columns).unionByName(others.select(*columns))
 
 
 def base_tables(edges: DataFrame, produced: DataFrame) -> DataFrame:
@@ -401,16 +403,16 @@ def field_index(dictionary_rows: DataFrame, column_edges: DataFrame, resolved: D
         "base_source_count": (resolved, "target_table", "target_column", "base_table"),
     }
     parts = None
-    for name, (df, table, column, other) in ways.items():
+    for way, (df, table, column, other) in enumerate(ways.values()):
         one = df.select(
             F.col(table).alias("table_name"),
             F.col(column).alias("column_name"),
             F.col(other).alias("_other"),
-            F.lit(name).alias("_way"),
+            F.lit(way).cast("byte").alias("_way"),
         )
         parts = one if parts is None else parts.unionByName(one)
     counts = parts.distinct().groupBy("table_name", "column_name").agg(
-        *[count_if(F.col("_way") == name).alias(name) for name in ways]
+        *[count_if(F.col("_way") == way).alias(name) for way, name in enumerate(ways)]
     )
     fields = dictionary_rows.where(non_blank("column_name"))
     return fields.join(counts, ["table_name", "column_name"], "left").na.fill(0, list(ways))

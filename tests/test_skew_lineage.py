@@ -521,3 +521,18 @@ def test_base_sources_follow_no_column_that_nothing_comes_from(spark, monkeypatc
     assert found == sorted([(f"ads.t{i}", "K", "ods.base", "b") for i in range(500)] + [("ads.x", None, "ods.base", "b"), ("dwd.mid", "k", "ods.base", "b")] + direct, key=repr)
     # three columns that others come from, not a thousand that nothing comes from
     assert followed[0].count() == 3
+
+
+def test_physical_sources_join_nothing(spark):
+    schema = "statement_id string, file_path string, target_dataset string, target_kind string, statement_type string, source_tables array<string>, has_query boolean"
+    rows = [
+        ("1", "a.sql", "ods.made", "physical_table", "insert", ["`ODS`.Raw", "ods.raw", "tmp_one", "helper", None, "virtual.v"], True),
+        ("2", "b.sql", "tmp_one", "temp_view", "create", ["ods.made", "virtual.made"], True),
+        ("3", "b.sql", "virtual.made", "view", "create", ["ods.raw"], True),
+        ("4", None, " ", "view", "create", ["ods.raw"], True),
+    ]
+    edges = lineage.table_edges(spark.createDataFrame(rows, schema))
+    assert sorted((r.source_table, r.target_table) for r in edges.collect()) == [
+        ("ods.made", "tmp_one"), ("ods.raw", "ods.made"), ("ods.raw", "virtual.made"), ("tmp_one", "ods.made"), ("virtual.made", "tmp_one"),
+    ]
+    assert "LeftOuter" not in edges._jdf.queryExecution().optimizedPlan().toString()
