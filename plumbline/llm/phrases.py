@@ -4,9 +4,11 @@ Words frequent enough to be in a phrase get codes, and the texts are written
 once as codes. Level by level, a phrase of k words is a candidate if its first
 and its last k - 1 words are frequent (Apriori) and if some shard of the text
 holds more than its share of it (a phrase with enough occurrences must, by the
-pigeonhole principle). A double-array trie of the candidates is sent to the
-workers; numpy moves the states of all text positions along it, level by level,
-and counts the accepting states; the counts of all shards are summed.
+pigeonhole principle). What a shard passes on travels packed, a block of phrases
+to a row, and is summed part by part. A double-array trie of the candidates is
+sent to the workers; numpy moves the states of text positions along it, a window
+of the text at a time, level by level, and counts the accepting states; the
+counts of all shards are summed.
 
 What is sent is bounded: a dictionary of at most ``DICTIONARY`` words and tries
 of at most ``TRIE`` phrases. More candidates take more tries, one after the
@@ -32,8 +34,12 @@ from plumbline.llm.words import Sent, byte_table, most_frequent, word_counts
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 #: words with a code (the most frequent ones), and phrases of one trie
 DICTIONARY, TRIE = 1 << 19, 1 << 17
-#: codes of one shard in memory, texts that are cut at once, and counts that travel together
+#: codes of one shard, texts that are cut at once, and counts that travel together
 SHARD, TEXTS, PIECE = 1 << 22, 200, 4096
+#: codes of one row, codes that move along a trie at once, and codes of the text for each part of the phrases passed on
+ROW, WINDOW, PART = 128, 1 << 18, 1 << 20
+#: odd factor that spreads packed phrases evenly over the parts
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: language of texts without one
 NO_LANGUAGE = "und"
 #: a byte that no UTF-8 text holds stands for the end of a piece
@@ -193,8 +199,15 @@ class Coder:
         return codes[keep]
 
 
+def row_offsets(codes: np.ndarray, size: int) -> np.ndarray:
+    """Where codes that end with a 0 are cut into rows of about ``size``; every row ends with a 0, so no phrase is cut."""
+    ends = np.flatnonzero(codes == 0) + 1
+    cuts = ends[np.searchsorted(ends, np.arange(size, len(codes), size))]
+    return np.unique(np.concatenate([[0], cuts, [len(codes)]]))
+
+
 def encoded(docs: DataFrame, words: Sent) -> DataFrame:
-    """(codes): the texts (lang, text) as codes, some texts of one language to a row; settled."""
+    """(codes): the texts (lang, text) as codes of four bytes, rows of about ``ROW`` that end with a 0; settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = words.get()
@@ -207,21 +220,21 @@ def encoded(docs: DataFrame, words: Sent) -> DataFrame:
                         by_lang.setdefault(lang, []).append(text)
                 rows = [c for c in (coder.codes(lang, texts) for lang, texts in by_lang.items()) if len(c)]
                 if rows:
-                    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-                    values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(rows)))
+                    codes = np.concatenate(rows)
+                    offsets = row_offsets(codes, ROW)
+                    values = pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(codes)])
                     yield pa.RecordBatch.from_arrays([values], names=["codes"])
 
-    return settle(docs.select("lang", F.col("text").cast("binary")).mapInArrow(run, "codes array<int>"))
+    return settle(docs.select("lang", F.col("text").cast("binary")).mapInArrow(run, "codes binary"))
 
 
-def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[np.ndarray]:
-    """The codes of a task in shards of about ``most`` codes, a 0 between rows."""
+def windows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[np.ndarray]:
+    """The codes of a task, about ``most`` at a time; each window ends with a 0."""
     held, size = [], 0
     for batch in batches:
-        for row in batch.column(0):
-            codes = row.values.to_numpy(zero_copy_only=False)
-            held += [codes, np.zeros(1, np.int32)]
-            size += len(codes)
+        for value in batch.column(0):
+            held.append(np.frombuffer(value.as_buffer(), np.int32))
+            size += len(held[-1])
             if size >= most:
                 yield np.concatenate(held)
                 held, size = [], 0
@@ -229,50 +242,114 @@ def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[np.ndarray]
         yield np.concatenate(held)
 
 
-def candidates(texts: DataFrame, depth: int, langs: Sent, least: int, before: DataFrame | None) -> DataFrame:
+def blocks(packed: np.ndarray, n: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, keys, numbers): phrases as numbers of 64 bits and their counts, a row for each part; equal ones share a part."""
+    part = ((packed.astype(np.uint64) * SPREAD >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    part, packed, n = part[order], packed[order], n[order].astype(np.int32)
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    ends = np.append(first[1:], len(part))
+    for lo in range(0, len(first), 64):
+        spans = list(zip(first[lo : lo + 64].tolist(), ends[lo : lo + 64].tolist()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part[first[lo : lo + 64]]), pa.array([packed[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([n[a:b].tobytes() for a, b in spans], pa.binary())],
+            names=["part", "keys", "numbers"],
+        )
+
+
+def summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[np.ndarray]:
+    """The phrases of blocks, sorted by part, whose counts sum to ``least``; one part at a time is in memory."""
+    part, keys, numbers = None, [], []
+
+    def close() -> np.ndarray:
+        packed, n = np.concatenate(keys), np.concatenate(numbers)
+        order = np.argsort(packed, kind="stable")
+        packed, n = packed[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.append(True, packed[1:] != packed[:-1]))
+        return packed[first[np.add.reduceat(n, first) >= least]]
+
+    for batch in batches:
+        for i, now in enumerate(batch.column(0).to_pylist()):
+            if now != part and keys:
+                yield close()
+                keys, numbers = [], []
+            part = now
+            keys.append(np.frombuffer(batch.column(1)[i].as_buffer(), np.int64))
+            numbers.append(np.frombuffer(batch.column(2)[i].as_buffer(), np.int32))
+    if keys:
+        yield close()
+
+
+def candidates(texts: DataFrame, depth: int, langs: Sent, size: int, least: int, before: DataFrame | None) -> DataFrame:
     """(key): the phrases of ``depth`` words that may have ``least`` occurrences; settled.
 
     ``langs`` holds the language of each code and the codes of each language in
-    the whole text. A shard keeps back, of each phrase, what its share of
-    two thirds of ``least`` is; all shards together keep back less than
-    ``least``, so a phrase whose passed-on counts sum to the rest is a
+    the whole text, which has ``size`` codes. A shard keeps back, of each phrase,
+    what its share of two thirds of ``least`` is; all shards together keep back
+    less than ``least``, so a phrase whose passed-on counts sum to the rest is a
     candidate, and no other can be frequent. ``before`` has the frequent
     phrases of one word less.
+
+    A shard passes on blocks, one for each part of the phrases. There are as
+    many parts as keep one within ``PART`` phrases, whatever the text's size.
     """
     spark = texts.sparkSession
-    hold, most = 2 * (least - 1) // 3, SHARD
+    hold, most, parts = 2 * (least - 1) // 3, SHARD, max(1, -(-size // PART))
+    step = min(WINDOW, most)
+
+    def job(sent: Sent | None, both: bool) -> DataFrame:
+        def pack(codes: np.ndarray, trie: Trie | None) -> np.ndarray:
+            if trie is None:
+                at = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
+                first = codes[at].astype(np.int64)
+            else:
+                at, number = trie.find(codes)
+                mark = np.zeros(len(codes) + 1, bool)
+                mark[at] = True
+                good = codes[np.minimum(at + depth - 1, len(codes) - 1)] > 0
+                if both:
+                    good &= mark[at + 1]
+                at, first = at[good], number[good].astype(np.int64)
+            first <<= 21
+            first |= codes[at + depth - 1]
+            return first
 
-    def job(parts: Sent | None, both: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of, whole = langs.get()
-            phrases, trie = parts.get() if parts else (None, None)
-            for codes in shards(batches, most):
-                if trie is None:
-                    at = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
-                    first = codes[at].astype(np.int64)
-                else:
-                    at, number = trie.find(codes)
-                    mark = np.zeros(len(codes) + 1, bool)
-                    mark[at] = True
-                    good = codes[np.minimum(at + depth - 1, len(codes) - 1)] > 0
-                    if both:
-                        good &= mark[at + 1]
-                    at, first = at[good], number[good].astype(np.int64)
-                first <<= 21
-                first |= codes[at + depth - 1]
-                first.sort()
-                ends = np.flatnonzero(np.append(first[1:] != first[:-1], True)) if len(first) else np.zeros(0, np.int64)
-                packed, n = first[ends], np.diff(ends, prepend=-1)
+            phrases, trie = sent.get() if sent else (None, None)
+            owner = of if trie is None else of[phrases[:, 0]]
+            held, seen = [], np.zeros(len(whole), np.int64)
+
+            def shard() -> Iterator[pa.RecordBatch]:
+                packed = np.concatenate(held)
+                held.clear()
+                packed.sort()
+                ends = np.flatnonzero(np.append(packed[1:] != packed[:-1], True)) if len(packed) else np.zeros(0, np.int64)
+                packed, n = packed[ends], np.diff(ends, prepend=-1)
+                extra = n - np.floor(hold * (seen / np.maximum(whole, 1))).astype(np.int64)[owner[packed >> 21]]
+                seen[:] = 0
+                yield from blocks(packed[extra > 0], extra[extra > 0], parts)
+
+            have = 0
+            for codes in windows(batches, step):
+                held.append(pack(codes, trie))
+                seen += np.bincount(of[codes], minlength=len(whole))
+                have += len(codes)
+                if have >= most:
+                    yield from shard()
+                    have = 0
+            if held:
+                yield from shard()
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for packed in summed(batches, least - hold):
                 first, last = packed >> 21, (packed & ((1 << 21) - 1)).astype(np.int32)
-                rows = np.column_stack([first.astype(np.int32) if trie is None else phrases[first], last])
-                share = np.bincount(of[codes], minlength=len(whole)) / np.maximum(whole, 1)
-                extra = n - np.floor(hold * share).astype(np.int64)[of[rows[:, 0]]]
-                rows, extra = rows[extra > 0], extra[extra > 0]
-                for lo in range(0, len(extra), 100_000):
-                    part = slice(lo, lo + 100_000)
-                    yield pa.RecordBatch.from_arrays([as_keys(rows[part]), pa.array(extra[part])], names=["key", "n"])
+                rows = np.column_stack([first.astype(np.int32) if sent is None else sent.get()[0][first], last])
+                for lo in range(0, len(rows), 100_000):
+                    yield pa.RecordBatch.from_arrays([as_keys(rows[lo : lo + 100_000])], names=["key"])
 
-        return texts.mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least - hold).select("key")
+        passed = texts.mapInArrow(run, "part int, keys binary, numbers binary")
+        return passed.repartition("part").sortWithinPartitions("part").mapInArrow(add, "key binary")
 
     if before is None:
         return settle(job(None, False))
@@ -289,13 +366,13 @@ def candidates(texts: DataFrame, depth: int, langs: Sent, least: int, before: Da
 
 def counted(texts: DataFrame, phrases: DataFrame, depth: int, least: int) -> DataFrame:
     """(key, f): occurrences of the candidates, for those with at least ``least``; settled."""
-    spark, most = texts.sparkSession, SHARD
+    spark, step = texts.sparkSession, WINDOW
 
     def job(sent: Sent) -> DataFrame:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, trie = sent.get()
             n = np.zeros(len(rows), np.int64)
-            for codes in shards(batches, most):
+            for codes in windows(batches, step):
                 n += np.bincount(trie.find(codes)[1], minlength=len(rows))
             full = [lo for lo in range(0, len(n), PIECE) if n[lo : lo + PIECE].any()]
             pieces = [n[lo : lo + PIECE].tobytes() for lo in full]
@@ -387,7 +464,7 @@ def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", leas
 
     before = None
     for depth in range(2, longest + 1 if words else 2):
-        before = counted(texts, candidates(texts, depth, langs, least, before), depth, least)
+        before = counted(texts, candidates(texts, depth, langs, int(whole.sum()), least, before), depth, least)
         if before.isEmpty():
             break
         found.append(before.mapInArrow(named, "lang string, phrase string, f long"))

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -131,3 +132,58 @@ def test_the_query_and_empty_tables(spark, docs, tmp_path):
     assert collected(queries.QUERIES["op12_phrase_collocations"](spark, str(tmp_path))) == plain(rows, 100, 5, 2000, 100)
     assert collected(phrases.collocations(frame.limit(0))) == []
     assert collected(phrases.collocations(spark.createDataFrame([("en", None), ("en", "one two")], "lang string, text string"))) == []
+
+
+def test_rows_are_cut_only_after_a_zero():
+    draw = np.random.default_rng(2)
+    codes = np.append(np.where(draw.random(20_000) < 0.1, 0, draw.integers(1, 9, 20_000)), 0).astype(np.int32)
+    offsets = phrases.row_offsets(codes, 128)
+    assert offsets[0] == 0 and offsets[-1] == len(codes) and (codes[offsets[1:] - 1] == 0).all()
+    assert np.diff(offsets).min() > 0 and np.diff(offsets).max() < 400
+    assert phrases.row_offsets(np.array([5] * 1000 + [0], np.int32), 10).tolist() == [0, 1001]
+
+
+def test_blocks_of_shards_sum_to_counts():
+    draw = np.random.default_rng(3)
+    shards = [Counter((draw.zipf(1.3, 5000) % 700 << 21 | draw.integers(1, 4, 5000)).tolist()) for _ in range(6)]
+    batches = [b for s in shards for b in phrases.blocks(np.array(list(s), np.int64), np.array(list(s.values())), 90)]
+    # a row for each part and shard, not for each phrase
+    assert sum(b.num_rows for b in batches) <= 6 * 90 < sum(map(len, shards))
+    rows = pa.Table.from_batches(batches).sort_by("part").to_batches(max_chunksize=7)
+    want = {key for key, n in sum(shards, Counter()).items() if n >= 20}
+    got = np.concatenate(list(phrases.summed(rows, 20))).tolist()
+    assert want and len(got) == len(want) and set(got) == want
+    assert list(phrases.blocks(np.zeros(0, np.int64), np.zeros(0, np.int64), 5)) == [] == list(phrases.summed([], 1))
+
+
+@pytest.mark.parametrize("row, window, part", [(4, 1 << 18, 64), (128, 50, 1 << 20), (1, 1, 1000)])
+def test_every_phrase_however_texts_and_phrases_are_dealt(docs, monkeypatch, row, window, part):
+    rows, frame = docs
+    for name, value in (("ROW", row), ("WINDOW", window), ("PART", part), ("SHARD", 700)):
+        monkeypatch.setattr(phrases, name, value)
+    assert collected(phrases.collocations(frame, least=20)) == plain(rows, 20, 5, 2000, 100)
+
+
+def test_a_shard_passes_on_a_row_for_each_part(docs, monkeypatch):
+    # so small shards keep back nothing: the rows must not be as many as the phrases
+    monkeypatch.setattr(phrases, "SHARD", 300)
+    frames, plainly = [], type(docs[1]).mapInArrow
+
+    def noted(self, fn, schema, *rest):
+        out = plainly(self, fn, schema, *rest)
+        frames.extend([out] if {"keys", "numbers"} & set(out.columns) == {"keys", "numbers"} else [])
+        return out
+
+    monkeypatch.setattr(type(docs[1]), "mapInArrow", noted)
+    phrases.collocations(docs[1], least=5)
+    assert len(frames) == 4
+    got = [r for passed in frames for r in passed.collect()]
+    assert {r.part for r in got} == {0} and sum(len(r["keys"]) // 8 for r in got) > 3 * len(got) > 0
+
+
+def test_codes_come_a_window_at_a_time():
+    codes = np.tile(np.array([1, 2, 3, 0], np.int32), 5000)
+    offsets = phrases.row_offsets(codes, phrases.ROW)
+    batch = pa.RecordBatch.from_arrays([pa.array([codes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], names=["codes"])
+    got = list(phrases.windows(iter([batch]), 1000))
+    assert (np.concatenate(got) == codes).all() and max(map(len, got)) < 1000 + 2 * phrases.ROW and all(w[-1] == 0 for w in got)
