@@ -10,12 +10,15 @@ Back-pointers give the ids.
 from __future__ import annotations
 
 import json
+import os
 import re
 from array import array
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField
@@ -25,6 +28,8 @@ from plumbline.llm.frames import over_texts, worker_table
 
 #: entries of a worker's cache of encoded pieces, and the longest piece it keeps
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+#: letters of the texts that are looked up together, and of the words that go to the library in one call
+STEP_CHARS, CALL_CHARS = 1 << 21, 1 << 16
 #: code points on which Python and the tokenizer agree in normalising, cutting and lower-casing;
 #: texts with others are normalised and cut by the tokenizer's own components
 USUAL = "\t-\r -~\x80-ɏЀ-ҁ‐-‧€一-鿿"
@@ -224,6 +229,139 @@ class Encoder:
         return np.frombuffer(b"".join(out + self._plain(text[at:])), self.packed)
 
 
+class LibraryEncoder:
+    """Ids of many whole texts by the tokenizers library, which gets each word once while the cache has it.
+
+    Texts are cut at blanks and looked up a step at a time: Arrow finds the
+    different pieces of a step, the cache is asked once for each, and words
+    that it lacks go to the model of the file, many in one call.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        vocab, suffix = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix")
+        self.bytes = byte_characters()
+        if not suffix or WORD not in json.dumps(spec["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\"):
+            raise ValueError("only the tokenizer with word ends is supported")
+        if any(c not in vocab or c + suffix not in vocab for c in self.bytes):
+            raise ValueError("every byte must have an entry inside and at the end of words")
+        added = spec["added_tokens"]
+        if any(a.get(k) for a in added for k in ("normalized", "lstrip", "rstrip", "single_word")):
+            raise ValueError("only literal added tokens are supported")
+        self.special = {a["content"]: a["id"] for a in added}
+        self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
+        self.hints = tuple({n[:2] for n in self.special})
+        #: ids are below this
+        self.size = max([*vocab.values(), *self.special.values()]) + 1
+        self.packed = np.dtype(np.uint16 if self.size <= 1 << 16 else np.uint32)
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        # the same model on words that are cut already
+        bare = {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+        self.model = Tokenizer.from_str(json.dumps(spec | bare | {"truncation": None, "padding": None}))
+        self.letters = {b: c for b, c in enumerate(self.bytes)}
+        self.words = regex.compile(WORD)
+        self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _keep(self, ids: dict[str, bytes]) -> None:
+        """Into the cache, two generations of bounded size."""
+        short = {piece: packed for piece, packed in ids.items() if len(piece) <= CACHE_CHARS}
+        if len(self.ids) + len(short) <= CACHE_ENTRIES:
+            self.ids.update(short)
+        else:
+            for piece, packed in short.items():
+                if len(self.ids) >= CACHE_ENTRIES:
+                    self.older, self.ids = self.ids, {}
+                self.ids[piece] = packed
+
+    def _encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Packed ids of different words, from the library."""
+        made: dict[str, bytes] = {}
+
+        def call() -> None:
+            text = " ".join([w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters) for w in held])
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.packed)
+            # each word ends with the only one of its ids that has the suffix
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.packed.itemsize).tolist()
+            flat = ids.tobytes()
+            made.update(zip(held, [flat[a:b] for a, b in zip([0, *ends], ends)], strict=True))
+
+        held, size = [], 0
+        for word in words:
+            held.append(word)
+            size += len(word)
+            if size >= CALL_CHARS:
+                call()
+                held, size = [], 0
+        if held:
+            call()
+        return made
+
+    def lookup(self, pieces: list[str], cut: bool = True) -> list[bytes]:
+        """Packed ids of each piece; without ``cut`` each piece is one word."""
+        get, older = self.ids.get, self.older.get
+        found = list(map(get, pieces))
+        missing = dict.fromkeys([p for p, ids in zip(pieces, found) if ids is None])
+        if not missing:
+            return found
+        again = {p: ids for p in missing if (ids := older(p)) is not None}
+        parts = {p: [p] if not cut or p.isalpha() else self.words.findall(p) for p in missing if p not in again}
+        words = dict.fromkeys([w for ws in parts.values() for w in ws])
+        made = {w: ids for w in words if (ids := get(w) or older(w))}
+        made |= self._encode_words([w for w in words if w not in made])
+        new = {p: made[ws[0]] if len(ws) == 1 else b"".join([made[w] for w in ws]) for p, ws in parts.items()} | again
+        self._keep(made | new)
+        return [new[p] if ids is None else ids for p, ids in zip(pieces, found)]
+
+    def _part(self, text: str) -> bytes:
+        """Packed ids of a text without special strings."""
+        usual = USUAL_TEXT.fullmatch(text) is not None
+        if usual:
+            keys = text.lower().split()
+        else:
+            text = self.tokenizer.normalizer.normalize_str(text)
+            keys = [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        return b"".join(self.lookup(keys, cut=usual))
+
+    def _alone(self, text: str) -> np.ndarray:
+        """Ids of a text that holds special strings or unusual code points."""
+        out, at = [], 0
+        for found in self.specials.finditer(text):
+            out += [self._part(text[at : found.start()]), np.array(self.special[found[0]], self.packed).tobytes()]
+            at = found.end()
+        return np.frombuffer(b"".join([*out, self._part(text[at:])]), self.packed)
+
+    def _step(self, texts: list[str]) -> Iterator[np.ndarray]:
+        plain = [USUAL_TEXT.fullmatch(t) is not None and not any(h in t for h in self.hints) for t in texts]
+        cut = pc.utf8_split_whitespace(pa.array([t.lower() if p else "" for t, p in zip(texts, plain)], pa.large_string()))
+        coded = pc.dictionary_encode(cut.values)
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        each = self.lookup(pieces)
+        ends = np.cumsum([0, *map(len, each)]) // self.packed.itemsize
+        lists = pa.LargeListArray.from_arrays(ends, np.frombuffer(b"".join(each), self.packed)).take(coded.indices)
+        ids = lists.values.to_numpy()
+        # from pieces to texts
+        bounds = lists.offsets.to_numpy()[cut.offsets.to_numpy()].tolist()
+        for text, p, a, b in zip(texts, plain, bounds, bounds[1:]):
+            yield ids[a:b] if p else self._alone(text)
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each whole text in turn (None: empty), as the library gives them for the file."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= STEP_CHARS:
+                yield from self._step(held)
+                held, size = [], 0
+        if held:
+            yield from self._step(held)
+
+
 def encoder(path: str) -> Encoder:
     """The encoder of a file, once per worker."""
     return worker_table(__name__, path, Encoder)

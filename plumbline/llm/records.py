@@ -26,8 +26,8 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from plumbline.llm.bpe import encoder
-from plumbline.llm.frames import TEXT_ROWS, settle
+from plumbline.llm.bpe import LibraryEncoder
+from plumbline.llm.frames import TEXT_ROWS, keep_tables, settle, worker_table
 
 MAGIC = b"PLREC01"
 MASK_DELTA = 0xA282EAD8
@@ -93,34 +93,35 @@ def write_records(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(folder)
         store.create_dir(base, recursive=True)
-        tokenizer = encoder(path)
-        wide = len(tokenizer.tokens) > 1 << 16 or (end_id or 0) >= 1 << 16
+        keep_tables(__name__)
+        tokenizer = worker_table(__name__, path, LibraryEncoder)
+        wide = tokenizer.size > 1 << 16 or (end_id or 0) >= 1 << 16
         form = np.dtype("<u4" if wide else "<u2")
         end = np.array([] if end_id is None else [end_id], form).tobytes()
         shard, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         out, name, files, at, record, tokens = None, "", 0, 0, 0, 0
         try:
             for batch in batches:
-                for lo in range(0, batch.num_rows, TEXT_ROWS):
-                    piece = batch.slice(lo, TEXT_ROWS)
-                    index = []
-                    for key, value in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                        if out is None or at >= FILE_BYTES:
-                            if out is not None:
-                                out.close()
-                            name, at = f"ids-{shard:06d}-{files:04d}-{attempt}.rec", 8
-                            files += 1
-                            out = store.open_output_stream(f"{base}/{name}")
-                            out.write(MAGIC + bytes([form.itemsize]))
-                        ids = tokenizer.encode(value).astype(form).tobytes() + end
-                        n = len(ids) // form.itemsize
-                        data = frame(struct.pack(KEY, key is not None, key or 0) + ids)
-                        out.write(data)
-                        index.append((key, shard, name, record, at, len(data), n, tokens))
-                        record, at, tokens = record + 1, at + len(data), tokens + n
-                    columns = list(zip(*index)) if index else [[]] * 8
-                    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+                column = batch.column(1)
+                texts = (t for lo in range(0, batch.num_rows, TEXT_ROWS) for t in column.slice(lo, TEXT_ROWS).to_pylist())
+                index = []
+                for key, found in zip(batch.column(0).to_pylist(), tokenizer.encode_all(texts)):
+                    if out is None or at >= FILE_BYTES:
+                        if out is not None:
+                            out.close()
+                        name, at = f"ids-{shard:06d}-{files:04d}-{attempt}.rec", 8
+                        files += 1
+                        out = store.open_output_stream(f"{base}/{name}")
+                        out.write(MAGIC + bytes([form.itemsize]))
+                    ids = found.astype(form).tobytes() + end
+                    n = len(ids) // form.itemsize
+                    data = frame(struct.pack(KEY, key is not None, key or 0) + ids)
+                    out.write(data)
+                    index.append((key, shard, name, record, at, len(data), n, tokens))
+                    record, at, tokens = record + 1, at + len(data), tokens + n
+                columns = list(zip(*index)) if index else [[]] * 8
+                kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
         finally:
             if out is not None:
                 out.close()

@@ -62,6 +62,59 @@ def test_small_caches_change_nothing(monkeypatch):
     assert counts.TokenCounter(BYTES).count(text) == len(ids_of(BYTES, text))
 
 
+@given(st.lists(st.text(max_size=60) | st.text(alphabet="abcdeABC' .!1é\n", max_size=60) | st.text(alphabet="<|endoftx>\x1f\x85 aÃ©é", max_size=60), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_many_texts_encode_as_in_the_library(texts):
+    own = frames.worker_table("test", WORDS, bpe.LibraryEncoder)
+    assert [i.tolist() for i in own.encode_all(texts)] == [ids_of(WORDS, t) for t in texts]
+
+
+def test_texts_of_a_step_keep_their_order_and_ids():
+    own = bpe.LibraryEncoder(WORDS)
+    usual = [f"a{chr(c)}B {chr(c)}1" for c in range(0x3000) if bpe.USUAL_TEXT.fullmatch(chr(c))]
+    texts = [t for pair in zip(usual, [*TEXTS, "मानक हिन्दी", "<|endoftext|>😀"] * len(usual)) for t in pair][:300] + usual
+    assert [i.tolist() for i in own.encode_all(texts)] == [ids_of(WORDS, t) for t in texts]
+    assert list(own.encode_all([])) == []
+
+
+def test_small_steps_calls_and_caches_change_nothing(monkeypatch):
+    texts = [*TEXTS, "one two three four five, six seven. " * 20, "x" * 60 + ", " + "x" * 60 + "!"] * 2
+    want = [ids_of(WORDS, t) for t in texts]
+    for step, call, entries in ((1, 1, 3), (50, 7, 5), (1 << 21, 20, 1)):
+        monkeypatch.setattr(bpe, "STEP_CHARS", step)
+        monkeypatch.setattr(bpe, "CALL_CHARS", call)
+        monkeypatch.setattr(bpe, "CACHE_ENTRIES", entries)
+        own = bpe.LibraryEncoder(WORDS)
+        assert [i.tolist() for i in own.encode_all(texts)] == want
+        assert len(own.ids) <= entries and len(own.older) <= entries
+
+
+def test_the_library_gets_each_word_once_and_many_in_a_call():
+    own, got = bpe.LibraryEncoder(WORDS), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            got.append(texts[0].split(" "))
+            return model.encode_batch_fast(texts, **options)
+
+    model, own.model = own.model, Counted()
+    texts = [f"Word{chr(97 + n % 26)} word{chr(97 + n % 26)}, other. café😀" for n in range(1000)]
+    for _ in range(2):
+        assert [i.tolist() for i in own.encode_all(texts)] == [ids_of(WORDS, t) for t in texts]
+    words = [w for call in got for w in call]
+    # café and the emoji stand as bytes; only texts with the emoji are looked up one by one
+    assert len(words) == len(set(words)) == 26 + 5
+    got.clear()
+    fresh = [t.replace("😀", "").replace("o", "oo") for t in texts]
+    assert [i.tolist() for i in own.encode_all(fresh)] == [ids_of(WORDS, t) for t in fresh]
+    assert len(got) == 1
+
+
+def test_the_library_encoder_refuses_other_models():
+    with pytest.raises(ValueError, match="word ends"):
+        bpe.LibraryEncoder(BYTES)
+
+
 def test_encode_decode_frame(spark):
     out = bpe.encode_decode(frame(spark), WORDS)
     assert out.columns == ["doc_id", "text", "_text", "n_tokens", "ids", "decoded"]
