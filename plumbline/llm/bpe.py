@@ -34,6 +34,8 @@ STEP_CHARS, CALL_CHARS = 1 << 21, 1 << 16
 #: texts with others are normalised and cut by the tokenizer's own components
 USUAL = "\t-\r -~\x80-ɏЀ-ҁ‐-‧€一-鿿"
 USUAL_TEXT = re.compile(f"[{USUAL}]*")
+#: the blanks among them; nothing is composed, lower-cased or cut across one
+BLANKS = re.compile("[\t-\r \x85\xa0]+")
 #: what the vocabulary with word ends takes as words; the tokenizer file states it too
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -301,15 +303,23 @@ class LibraryEncoder:
             call()
         return made
 
-    def lookup(self, pieces: list[str], cut: bool = True) -> list[bytes]:
-        """Packed ids of each piece; without ``cut`` each piece is one word."""
+    def _cut(self, piece: str) -> list[str]:
+        """The words of a piece between blanks, as the tokenizer normalises and cuts it."""
+        if USUAL_TEXT.fullmatch(piece):
+            piece = piece.lower()
+            return [piece] if piece.isalpha() else self.words.findall(piece)
+        text = self.tokenizer.normalizer.normalize_str(piece)
+        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def lookup(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of each piece."""
         get, older = self.ids.get, self.older.get
         found = list(map(get, pieces))
         missing = dict.fromkeys([p for p, ids in zip(pieces, found) if ids is None])
         if not missing:
             return found
         again = {p: ids for p in missing if (ids := older(p)) is not None}
-        parts = {p: [p] if not cut or p.isalpha() else self.words.findall(p) for p in missing if p not in again}
+        parts = {p: self._cut(p) for p in missing if p not in again}
         words = dict.fromkeys([w for ws in parts.values() for w in ws])
         made = {w: ids for w in words if (ids := get(w) or older(w))}
         made |= self._encode_words([w for w in words if w not in made])
@@ -317,23 +327,13 @@ class LibraryEncoder:
         self._keep(made | new)
         return [new[p] if ids is None else ids for p, ids in zip(pieces, found)]
 
-    def _part(self, text: str) -> bytes:
-        """Packed ids of a text without special strings."""
-        usual = USUAL_TEXT.fullmatch(text) is not None
-        if usual:
-            keys = text.lower().split()
-        else:
-            text = self.tokenizer.normalizer.normalize_str(text)
-            keys = [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-        return b"".join(self.lookup(keys, cut=usual))
-
     def _alone(self, text: str) -> np.ndarray:
         """Ids of a text that holds special strings or unusual code points."""
         out, at = [], 0
         for found in self.specials.finditer(text):
-            out += [self._part(text[at : found.start()]), np.array(self.special[found[0]], self.packed).tobytes()]
+            out += [*self.lookup(BLANKS.split(text[at : found.start()])), np.array(self.special[found[0]], self.packed).tobytes()]
             at = found.end()
-        return np.frombuffer(b"".join([*out, self._part(text[at:])]), self.packed)
+        return np.frombuffer(b"".join([*out, *self.lookup(BLANKS.split(text[at:]))]), self.packed)
 
     def _step(self, texts: list[str]) -> Iterator[np.ndarray]:
         plain = [USUAL_TEXT.fullmatch(t) is not None and not any(h in t for h in self.hints) for t in texts]

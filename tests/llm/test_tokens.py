@@ -72,11 +72,22 @@ def test_many_texts_encode_as_in_the_library(texts):
 def test_texts_of_a_step_keep_their_order_and_ids():
     own = bpe.LibraryEncoder(WORDS)
     usual = [f"a{chr(c)}B {chr(c)}1" for c in range(0x3000) if bpe.USUAL_TEXT.fullmatch(chr(c))]
+    # each after and before a blank and what may combine
+    usual += [f"ΑΣ{b}́J{b}̌{b}İ{b}ᄀ{b}ᅡ" for b in "\t\n\v\f\r \x85\xa0\x1c\x1f\u2028\u3000\u200b\u180e"]
     texts = [t for pair in zip(usual, [*TEXTS, "मानक हिन्दी", "<|endoftext|>😀"] * len(usual)) for t in pair][:300] + usual
     assert [i.tolist() for i in own.encode_all(texts)] == [ids_of(WORDS, t) for t in texts]
     assert list(own.encode_all([])) == []
 
 
+def test_words_of_any_character_stand_for_themselves():
+    own = bpe.LibraryEncoder(WORDS)
+    odd = [*range(0x100, 0x3400), *range(0xA000, 0xD800, 7), *range(0xE000, 0x20000, 5), *range(0x1F000, 0x1F200)]
+    for c in odd:
+        for text in (chr(c), f"J{chr(c)}̌"):
+            for word in own._cut(text):
+                assert own._cut(word) == [word], hex(c)
+
+
 def test_small_steps_calls_and_caches_change_nothing(monkeypatch):
     texts = [*TEXTS, "one two three four five, six seven. " * 20, "x" * 60 + ", " + "x" * 60 + "!"] * 2
     want = [ids_of(WORDS, t) for t in texts]
