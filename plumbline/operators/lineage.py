@@ -22,6 +22,7 @@ from plumbline.functions.fixed import (
     LAYER_UNKNOWN,
 )
 from plumbline.operators import reach
+from plumbline.operators.lists import name_lists
 from plumbline.operators.ordered import cut
 from plumbline.operators.reach import closure
 
@@ -389,9 +390,7 @@ def table_index(
 
 def relation_lists(related: DataFrame) -> DataFrame:
     """Complete neighbour lists as text, with their lengths; the rows of ``related_tables`` are the same in long form."""
-    return related.groupBy("table_name", "relation").agg(
-        F.array_join(F.sort_array(F.collect_list("related_table")), ", ").alias("tables"), F.count(F.lit(1)).alias("table_count")
-    )
+    return name_lists(related, ["table_name", "relation"], "related_table", "tables", "table_count")
 
 
 def field_index(dictionary_rows: DataFrame, column_edges: DataFrame, resolved: DataFrame) -> DataFrame:

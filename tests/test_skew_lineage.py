@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import lineage, ordered, quality, reach, skew
+from plumbline.operators import lineage, lists, ordered, quality, reach, skew
 from plumbline.plans import quality_run, registered
 from plumbline.sources import sinks, tables
 from plumbline.sources.events import read_report_detail
@@ -398,6 +398,33 @@ def test_long_chains_and_many_neighbours(spark, by):
     assert lists["db.t0", "all_downstream"].table_count == 150
 
 
+@pytest.mark.parametrize("wide", [1, 1 << 24])
+def test_long_lists_are_put_together_from_pieces(spark, monkeypatch, wide):
+    """No aggregate holds a long list's names as a whole; the texts are those of one."""
+    for name, value in {"LONG": 50, "PIECE": 37, "SAMPLE": 1, "WIDE": wide}.items():
+        monkeypatch.setattr(lists, name, value)
+    data = [("a", "down", f"n{i * 7 % 1000}") for i in range(1000)] + [("b", None, f"é{i}") for i in range(300)] + [("b", None, None)] * 5
+    data += [(None, "up", ""), (None, "up", "x"), (None, None, None)] + [("z", "up", None)] * 70 + [("d", "down", x) for x in [""] * 60 + ["q"] * 30]
+    data += [(f"s{i}", "down", f"n{j}") for i in range(200) for j in range(i % 4 + 1)]
+    related = spark.createDataFrame(data, "table_name string, relation string, related_table string")
+    found = lineage.relation_lists(related)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "MapInArrow" in plan and found.columns == ["table_name", "relation", "tables", "table_count"]
+    got = {(r.table_name, r.relation): (r.tables, r.table_count) for r in found.collect()}
+    assert found.count() == len(got)
+    names = {}
+    for table, relation, other in data:
+        names.setdefault((table, relation), []).append(other)
+    assert got == {k: (", ".join(sorted(x for x in v if x is not None)), len(v)) for k, v in names.items()}
+
+
+def test_lists_are_short_where_no_key_has_many_names(spark):
+    related = spark.createDataFrame([("a", "up", "y"), ("a", "up", "x"), ("b", "up", None)], "table_name string, relation string, related_table string")
+    found = lineage.relation_lists(related)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("a", "up", "x, y", 2), ("b", "up", "", 1)]
+
+
 def test_layered_diamonds_end(spark):
     pairs = [(f"db.a{i}{x}", f"db.a{i + 1}{y}") for i in range(30) for x in "xy" for y in "xy"]
     edges = spark.createDataFrame(pairs, "source_table string, target_table string")
